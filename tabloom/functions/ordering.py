@@ -35,24 +35,21 @@ def with_position(
     `bucket` must never decrease along `order`.  One task orders one bucket, not one group;
     the bucket counts are the only rows a whole-group window sees.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    counts = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket")
+    # One struct key serves the count, the join and the window, so the rows move once; a null
+    # inside a struct equals another null.
+    keyed = df.withColumn("_key", F.struct(*group, bucket.alias("_bucket")))
+    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*[F.col("_key")[g] for g in group])
     offsets = counts.select(
-        *group, "_bucket",
-        (F.sum("_n").over(before) - F.col("_n")).alias("_offset"),
-        *([F.sum("_n").over(Window.partitionBy(*group)).alias(total)] if total else []),
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    same = [keyed[g].eqNullSafe(offsets[g]) for g in group]
-    same.append(keyed["_bucket"].eqNullSafe(offsets["_bucket"]))
-    joined = keyed.join(offsets, same, "inner").select(
-        *[keyed[c] for c in keyed.columns], offsets["_offset"],
-        *([offsets[total]] if total else []),
+        "_key",
+        (F.sum("_n").over(whole.orderBy(F.col("_key")["_bucket"])) - F.col("_n")).alias("_offset"),
+        *([F.sum("_n").over(whole).alias(total)] if total else []),
     )
+    inside = Window.partitionBy("_key").orderBy(*order)
     return (
-        joined.withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
-        .drop("_bucket", "_offset")
+        keyed.join(offsets, "_key")
+        .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
+        .drop("_key", "_offset")
     )
 
 

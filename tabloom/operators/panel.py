@@ -236,11 +236,21 @@ def null_dates(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("ds").try_cast("date").isNull()).alias("null_dates"))
 
 
-def missing_dates(df: DataFrame, ds: str = "BILLING_DATE") -> DataFrame:
-    """Calendar dates between first and last without any row."""
-    seen = df.select(F.to_date(ds).alias("ds")).distinct()
-    ends = seen.agg(F.min("ds").alias("_a"), F.max("ds").alias("_b"))
-    return ends.select(F.explode(F.sequence("_a", "_b")).alias("ds")).join(seen, "ds", "left_anti")
+def missing_dates(df: DataFrame, ds: str = "BILLING_DATE", key: str | None = None) -> DataFrame:
+    """Calendar dates between first and last without any row, over all rows or per key."""
+    keys = [key] if key else []
+    seen = df.select(*keys, F.to_date(ds).alias("ds")).distinct()
+    ends = seen.groupBy(*keys).agg(F.min("ds").alias("_a"), F.max("ds").alias("_b"))
+    return ends.select(*keys, F.explode(F.sequence("_a", "_b")).alias("ds")).join(seen, [*keys, "ds"], "left_anti")
+
+
+def whole_units(panel: DataFrame) -> DataFrame:
+    """The panel in whole currency units; sums of whole numbers do not depend on their order.
+
+    Amounts have four decimals.  The shift by half of the last one keeps the cut off the grid.
+    """
+    return panel.withColumns({c: F.floor(F.col(c) + 0.00005).cast("double")
+                              for c in MEASURES.values() if c in panel.columns})
 
 
 def frequency_share(df: DataFrame, col: str) -> DataFrame:

@@ -61,6 +61,16 @@ class Series:
 PANEL = Series()
 
 
+def spread(df: DataFrame, s: Series = PANEL) -> DataFrame:
+    """Place whole series on all shuffle partitions.
+
+    Rolling windows cost far more per byte than the byte-based merging of small partitions
+    assumes.  This is the shuffle the windows need anyway, so it adds none.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *s.ids)
+
+
 def _full(s: Series, n: int, value: Column, of: Column | None = None) -> Column:
     """`value` where the last n rows all exist and the series is longer than n."""
     filled = F.count(of if of is not None else s.y).over(s.last(n)) == n
@@ -113,6 +123,15 @@ def ewm_rows(alpha: float, precision: float = 1e-16) -> int:
     return math.ceil(math.log(precision) / math.log(1 - alpha)) + 1
 
 
+def _decay(keep: float):
+    """One fold step: both sums shrink, then the new value joins."""
+    def step(acc, x):
+        return F.struct(
+            (acc["num"] * keep + F.coalesce(x["v"], F.lit(0.0))).alias("num"),
+            (acc["den"] * keep + F.when(x["v"].isNull(), 0.0).otherwise(1.0)).alias("den"))
+    return step
+
+
 def ewm(df: DataFrame, s: Series = PANEL, alphas=ALPHAS) -> DataFrame:
     """Adjusted exponentially weighted mean, and the distance from it.
 
@@ -121,13 +140,9 @@ def ewm(df: DataFrame, s: Series = PANEL, alphas=ALPHAS) -> DataFrame:
     """
     cols = {}
     for a in alphas:
-        keep = 1.0 - a
         seen = F.collect_list(F.struct(s.y.cast("double").alias("v"))).over(s.last(ewm_rows(a)))
         start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-        step = lambda acc, x, k=keep: F.struct(
-            (acc["num"] * k + F.coalesce(x["v"], F.lit(0.0))).alias("num"),
-            (acc["den"] * k + F.when(x["v"].isNull(), 0.0).otherwise(1.0)).alias("den"))
-        cols[f"ewm_{a}"] = F.aggregate(seen, start, step, lambda acc: F.try_divide(acc["num"], acc["den"]))
+        cols[f"ewm_{a}"] = F.aggregate(seen, start, _decay(1.0 - a), lambda acc: F.try_divide(acc["num"], acc["den"]))
     out = df.withColumns(cols)
     return out.withColumns({f"dist_from_ewm_{a}": s.y - F.col(f"`ewm_{a}`") for a in alphas})
 
@@ -187,6 +202,7 @@ def zscore_regime(df: DataFrame, s: Series = PANEL, windows=REGIME, limit: float
 
 def all_features(df: DataFrame, s: Series = PANEL) -> DataFrame:
     """W1–W12 over one shuffle and one sort."""
+    df = spread(df, s)
     for step in (lags, rolling_basic, rolling_quantiles, rolling_shape, distance_from_rolling, ewm,
                  differences, autocorr, volatility, rolling_trend, ma_ratio_diff, zscore_regime):
         df = step(df, s)

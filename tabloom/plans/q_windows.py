@@ -8,11 +8,11 @@ from tabloom.functions.ordering import with_position
 from tabloom.operators import regularise as G
 from tabloom.operators import splits as H
 from tabloom.operators import windows as W
-from tabloom.plans.q_panel import brand_panel, brand_sales, pair_sales, type_panel
+from tabloom.plans.q_panel import brand_sales, pair_sales, whole_brand_panel as brand_panel, whole_type_panel
 from tabloom.plans.registry import BRAND_KEY, RETAIL, TYPE_KEY, panel_sql, query, rnd
 from tabloom.sources.tables import table
 
-TYPED = f"WITH {RETAIL}, {panel_sql(TYPE_KEY, 'raw')}, panel AS (SELECT unique_id, ds, y, " \
+TYPED = f"WITH {RETAIL}, {panel_sql(TYPE_KEY, 'raw', whole=True)}, panel AS (SELECT unique_id, ds, y, " \
         "row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS idx, " \
         "count(*) OVER (PARTITION BY unique_id) AS n FROM raw) "
 O = "PARTITION BY unique_id ORDER BY ds"
@@ -27,7 +27,7 @@ def _full(n, expr, name):
 
 
 def ys(spark, sf):
-    return type_panel(spark, sf).select("unique_id", "ds", "y")
+    return W.spread(whole_type_panel(spark, sf).select("unique_id", "ds", "y"))
 
 
 def _sql(cols, digits=4):
@@ -151,7 +151,7 @@ def w14(spark, sf):
     return W.seasonality_strength(W.seasonal_decompose(ys(spark, sf)))
 
 
-SPINE = f"""WITH {RETAIL}, {panel_sql(BRAND_KEY)}, sp AS (SELECT unique_id,
+SPINE = f"""WITH {RETAIL}, {panel_sql(BRAND_KEY, whole=True)}, sp AS (SELECT unique_id,
     unnest(generate_series(min(ds)::TIMESTAMP, max(ds)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS ds FROM panel GROUP BY 1),
   j AS (SELECT sp.unique_id, sp.ds, y, qty, margin, gross_sales, discount FROM sp LEFT JOIN panel USING (unique_id, ds))"""
 

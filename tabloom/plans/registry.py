@@ -72,12 +72,13 @@ BRAND_KEY = "coalesce(BRAND, 'UNKNOWN_BRAND')"
 TYPE_KEY = "MH_SEGMENT"
 
 
-def panel_sql(key: str, name: str = "panel") -> str:
+def panel_sql(key: str, name: str = "panel", whole: bool = False) -> str:
     """The daily panel as a common table expression; needs RETAIL before it."""
+    cut = (lambda e: f"CAST(floor({e} + 0.00005) AS DOUBLE)") if whole else (lambda e: e)
     return f"""{name} AS (
-  SELECT {key} AS unique_id, BILLING_DATE AS ds, sum(greatest(TOTAL_NET_SALES, 0)) AS y,
-    sum(TOTAL_BILLING_QTY) AS qty, sum(TOTAL_GROSS_MARGIN) AS margin, sum(TOTAL_GROSS_SALES) AS gross_sales,
-    sum(TOTAL_DISCOUNT) AS discount
+  SELECT {key} AS unique_id, BILLING_DATE AS ds, {cut('sum(greatest(TOTAL_NET_SALES, 0))')} AS y,
+    {cut('sum(TOTAL_BILLING_QTY)')} AS qty, {cut('sum(TOTAL_GROSS_MARGIN)')} AS margin,
+    {cut('sum(TOTAL_GROSS_SALES)')} AS gross_sales, {cut('sum(TOTAL_DISCOUNT)')} AS discount
   FROM retail GROUP BY 1, 2)"""
 
 
