@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.stats import unpivot
+from tabloom.session import durable
 
 #: Largest estimated input that `percentile`, whose state holds every distinct value,
 #: may aggregate in one buffer.
@@ -53,6 +54,21 @@ def with_position(
     )
 
 
+def dense_number(values: DataFrame, col: str, name: str, limit: int = 1_000_000) -> DataFrame:
+    """0..k−1 in the order of distinct values.
+
+    Up to `limit` values are numbered in one task.  Beyond it they are range-partitioned, the
+    partition number is stored with them in a written table, and numbers are offsets per partition.
+    """
+    one = F.lit(0)
+    if values.count() <= limit:
+        placed = values.withColumn("_p", one)
+    else:
+        placed = durable(values.repartitionByRange(col).withColumn("_p", F.spark_partition_id()), "numbered")
+    whole = placed.withColumn("_g", one)
+    return with_position(whole, ["_g"], [col], F.col("_p"), name).drop("_g", "_p")
+
+
 def hash_order(key: Column | str, seed: int = 42) -> Column:
     """Portable pseudo-random order of a key: 60 bits of an MD5 as a long."""
     key = F.col(key) if isinstance(key, str) else key

@@ -32,6 +32,22 @@ def _shifted(x: np.ndarray, by: list[int], start: int) -> np.ndarray:
     return np.column_stack([x[start - k: len(x) - k] for k in by]) if by else np.empty((len(x) - start, 0))
 
 
+def _stable(coef: np.ndarray, lags: list[int]) -> np.ndarray:
+    """Own-lag coefficients shrunk until their recursion no longer grows."""
+    if not lags:
+        return coef
+    top = np.zeros(max(lags))
+    np.add.at(top, np.array(lags) - 1, coef[: len(lags)])
+    companion = np.diag(np.ones(len(top) - 1), -1)
+    companion[0] = top
+    radius = np.abs(np.linalg.eigvals(companion)).max()
+    if radius < 0.99:
+        return coef
+    out = coef.copy()
+    out[: len(lags)] *= (0.99 / radius) ** np.array(lags)
+    return out
+
+
 def _arima(y: np.ndarray, h: int, ar: list[int], diffs: list[int], ma: list[int]):
     """(forecast, sigma, aic) of a regression on own lags and on lagged long-AR residuals."""
     w, stack = y.astype(float), []
@@ -54,6 +70,7 @@ def _arima(y: np.ndarray, h: int, ar: list[int], diffs: list[int], ma: list[int]
     coef = np.linalg.lstsq(X, w[start:], rcond=None)[0] if X.shape[1] else np.empty(0)
     err = w[start:] - (X @ coef if X.shape[1] else 0.0)
     var = max(float(err @ err) / len(err), 1e-12)
+    coef = _stable(coef, ar)
     past, noise = list(w), list(np.concatenate([np.zeros(start), err]))
     for _ in range(h):
         terms = [past[-k] for k in ar] + [noise[-k] for k in ma]

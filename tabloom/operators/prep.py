@@ -12,11 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.ordering import column_medians, with_position
+from tabloom.functions.ordering import column_medians, dense_number
 from tabloom.functions.stats import numeric_columns, text_columns
 from tabloom.operators.panel import frequency_share
 from tabloom.operators.profile import top_values, value_counts
-from tabloom.session import durable
 
 #: Distinct categories that one task may number.
 ONE_TASK_CATEGORIES = 1_000_000
@@ -53,21 +52,11 @@ def apply_impute(df: DataFrame, fill: dict) -> DataFrame:
 # ---------------------------------------------------------------- X2–X4 encode
 
 def label_codes(df: DataFrame, col: str, null_as: str | None = "nan", limit: int = ONE_TASK_CATEGORIES) -> DataFrame:
-    """(value, code) with codes 0..k−1 in value order; a null is the text 'nan'.
-
-    Up to `limit` values are numbered in one task.  Beyond it they are range-partitioned, the
-    partition number is stored with them in a written table, and codes are offsets per partition.
-    """
+    """(value, code) with codes 0..k−1 in value order; a null is the text 'nan'."""
     v = F.col(col).cast("string")
     values = df.select((F.coalesce(v, F.lit(null_as)) if null_as else v).alias("value"))
     values = values.filter(F.col("value").isNotNull()).distinct()
-    one = F.lit(0)
-    if values.count() <= limit:
-        placed = values.withColumn("_p", one)
-    else:
-        placed = durable(values.repartitionByRange("value").withColumn("_p", F.spark_partition_id()), "codes")
-    whole = placed.withColumn("_g", one)
-    return with_position(whole, ["_g"], ["value"], F.col("_p"), "code").select("value", F.col("code").cast("long"))
+    return dense_number(values, "value", "code", limit).select("value", F.col("code").cast("long"))
 
 
 def apply_codes(df: DataFrame, col: str, codes: DataFrame, out: str | None = None, null_as: str | None = "nan") -> DataFrame:

@@ -77,7 +77,7 @@ def x6(spark, sf):
 
 @query("X7_outlier_to_median", rnd(f"""WITH v AS (SELECT {_LK}, l_extendedprice * l_discount * l_discount AS v FROM lineitem),
   s AS (SELECT avg(v) AS m, stddev_pop(v) AS s, quantile_cont(v, 0.5) AS q FROM v)
-  SELECT {_LK}, CASE WHEN abs((v - m) / s.s) > 3 THEN q ELSE v END AS v FROM v, s""", "v"))
+  SELECT {_LK}, CASE WHEN abs((v - m) / s.s) > 3 THEN q ELSE v END AS v FROM v, s""", "v", 7), 7)
 def x7(spark, sf):
     d = table(spark, sf, "lineitem").select(*_LK.split(", "), (
         F.col("l_extendedprice") * F.col("l_discount") * F.col("l_discount")).alias("v"))

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("q_profile", "q_panel", "q_windows", "q_evaluate", "q_forecast", "q_rules")
+MODULES = ("q_profile", "q_panel", "q_windows", "q_rules", "q_evaluate", "q_forecast", "q_models", "q_sources")
 
 
 def query(name: str, sql: str | None = None, digits: int = 4) -> Callable[[Query], Query]:
