@@ -14,8 +14,8 @@ from tabloom.functions.stats import unpivot
 from tabloom.session import durable
 
 #: Largest estimated input that `percentile`, whose state holds every distinct value,
-#: may aggregate in one buffer.
-ONE_BUFFER_BYTES = 256 * 1024 * 1024
+#: may aggregate in one buffer.  Above it the bucketed plan is also the faster one.
+ONE_BUFFER_BYTES = 4 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -23,6 +23,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def fits_one_buffer(df: DataFrame, limit: int = ONE_BUFFER_BYTES) -> bool:
+    """The size check before an exact quantile may use one aggregation buffer."""
+    return estimated_bytes(df) <= limit
+
+
 def with_position(
     df: DataFrame,
     group: list[str],
@@ -100,7 +105,7 @@ def exact_quantiles(
     value, located through a histogram of magnitude buckets, and only the buckets that hold a
     wanted rank are ordered.
     """
-    if estimated_bytes(df.select(*by, *cols)) <= one_buffer_bytes:
+    if fits_one_buffer(df.select(*by, *cols), one_buffer_bytes):
         p_array = F.array(*[F.lit(float(p)) for p in probs])
         aggs = [F.percentile(F.col(c).cast("double"), p_array).alias(c) for c in cols]
         wide = (df.groupBy(*by) if by else df).agg(*aggs)

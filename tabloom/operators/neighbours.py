@@ -99,22 +99,27 @@ def _cell(cols: list[str], side: float, prefix: str = "") -> Column:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, root): smallest reachable node, by hooking to the smallest neighbour and shortcuts.
+    """(node, root): smallest reachable node.
 
-    Every round is written to the shared folder, so a lost executor costs one round at most.
+    Each round every root moves to the smallest root next to any of its members, and the moves are
+    followed eight steps far, so the number of rounds grows with the logarithm of the longest
+    chain.  Rounds are written to the shared folder; a lost executor costs one round at most.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = durable(both.distinct(), "edges")
     label = durable(nodes.select("node", F.col("node").alias("root")), "roots")
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("_m"))
-        hooked = label.join(near.withColumnRenamed("a", "node"), "node", "left").select(
-            "node", F.col("root").alias("_old"), F.least("root", "_m").alias("root"))
-        up = label.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        new = durable(hooked.join(up, "root", "left").select("node", "_old", F.least("root", "_up").alias("root")), "roots")
-        if new.filter(F.col("_old") != F.col("root")).limit(1).count() == 0:
-            return new.select("node", "root")
-        label = new.select("node", "root")
+        of = lambda n: label.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+        touching = both.join(of("a"), "a").join(of("b"), "b").groupBy(F.col("a_root").alias("root")).agg(
+            F.min("b_root").alias("to"))
+        moves = durable(touching.filter(F.col("to") < F.col("root")), "moves")
+        if moves.limit(1).count() == 0:
+            return label
+        jump = moves
+        for _ in range(3):
+            onward = jump.select(F.col("root").alias("to"), F.col("to").alias("_next"))
+            jump = jump.join(onward, "to", "left").select("root", F.coalesce("_next", "to").alias("to"))
+        label = durable(label.join(jump, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
 
 
 def _linked_cells(core: DataFrame, cols: list[str], eps: float, side: float, around: list[tuple], factor: int = 8) -> DataFrame:
@@ -165,12 +170,12 @@ def _linked_cells(core: DataFrame, cols: list[str], eps: float, side: float, aro
     return linked
 
 
-def dbscan(points: DataFrame, cols: list[str], eps: float = 0.5, min_pts: int = 3, salts: int = 16) -> DataFrame:
+def dbscan(points: DataFrame, cols: list[str], eps: float = 0.5, min_pts: int = 3, piece: int = 100_000) -> DataFrame:
     """Exact density clusters of (id, cols…) in up to four dimensions: (id, is_core, cluster).
 
     The grid has side eps/√d: a cell with min_pts points is all core, and every other point sits
     in a cell with fewer than min_pts, so each point takes part in a bounded number of distance
-    tests however crowded a cell is.  Clusters are numbered by their first core point, noise is
+    tests however crowded a cell is; cells above `piece` points are asked in pieces.  Clusters are numbered by their first core point, noise is
     −1, and a border point joins the lowest-numbered cluster that reaches it.
     """
     d = len(cols)
@@ -181,13 +186,15 @@ def dbscan(points: DataFrame, cols: list[str], eps: float = 0.5, min_pts: int =
     around = [o for o in itertools.product(range(-reach, reach + 1), repeat=d)]
     rows = points.select("id", *[F.col(c).cast("double").alias(c) for c in cols]).withColumn("cell", _cell(cols, side))
     counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    rows = durable(rows.join(counts, "cell").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts))), "points")
+    pieces = F.ceil(F.col("_n") / piece)
+    rows = durable(rows.join(counts, "cell").withColumn("_salt", F.pmod(F.xxhash64("id"), pieces)), "points")
 
     sparse = rows.filter(F.col("_n") < min_pts).select("id", "cell", *[F.col(c).alias(f"p_{c}") for c in cols])
     shift = F.array(*[F.array(*[F.lit(int(v)) for v in o]) for o in around])
+    full = rows.groupBy("cell").agg((F.max("_salt") + 1).alias("_pieces"))
     asks = sparse.withColumn("_o", F.explode(shift)).withColumn(
-        "cell", F.zip_with("cell", "_o", lambda x, y: x + y)).withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
+        "cell", F.zip_with("cell", "_o", lambda x, y: x + y)).drop("_o").join(full, "cell").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1))).drop("_pieces")
     others = rows.select("cell", "_salt", F.col("id").alias("qid"), *[F.col(c).alias(f"q_{c}") for c in cols])
     close = asks.join(others, ["cell", "_salt"]).filter(_sq(cols, "p_", "q_") <= eps * eps)
     sparse_core = close.groupBy("id").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= min_pts).select("id")

@@ -42,22 +42,57 @@ def daily_panel(df: DataFrame, key: str, ds: str = "BILLING_DATE",
     )
 
 
+def _quality(base: DataFrame) -> DataFrame:
+    """Span, density and variation from the rounded sums."""
+    mean = F.when(F.col("avg_sales") == 0, F.lit(1.0)).otherwise(F.col("avg_sales"))
+    return base.withColumns({
+        "data_span_days": F.date_diff("last_date", "first_date") + 1,
+        "cv": F.col("sales_std") / mean,
+    }).withColumn("data_density", F.col("unique_days") / F.col("data_span_days"))
+
+
 def series_quality(df: DataFrame, key: str, ds: str = "BILLING_DATE") -> DataFrame:
     """Totals, spread, span, density and variation per series; sums at two decimals."""
     s = not_below_zero("TOTAL_NET_SALES")
-    base = df.groupBy(F.col(key).alias("unique_id")).agg(
+    return _quality(df.groupBy(F.col(key).alias("unique_id")).agg(
         money(F.sum(s)).alias("total_sales"), money(F.avg(s)).alias("avg_sales"),
         F.count(s).alias("transaction_count"), money(F.stddev_samp(s)).alias("sales_std"),
         F.min(ds).alias("first_date"), F.max(ds).alias("last_date"),
         F.count_distinct(ds).alias("unique_days"),
         money(F.sum("TOTAL_BILLING_QTY")).alias("total_qty"),
         money(F.sum("TOTAL_GROSS_MARGIN")).alias("total_margin"),
+    ))
+
+
+def daily_parts(df: DataFrame, key: str, ds: str = "BILLING_DATE") -> DataFrame:
+    """The daily panel with the line count and spread of each day.
+
+    It is small against the billing lines and holds all that choosing series needs, so a run
+    reads the lines once.
+    """
+    s = not_below_zero("TOTAL_NET_SALES")
+    return (
+        df.groupBy(F.col(key).cast("string").alias("unique_id"), F.to_date(ds).alias("ds"))
+        .agg(*[F.sum(s if c == "TOTAL_NET_SALES" else F.col(c)).alias(n) for c, n in MEASURES.items()],
+             F.count(s).alias("lines"), F.var_pop(s).alias("line_var"))
+        .filter(F.col("y").isNotNull())
     )
-    mean = F.when(F.col("avg_sales") == 0, F.lit(1.0)).otherwise(F.col("avg_sales"))
-    return base.withColumns({
-        "data_span_days": F.date_diff("last_date", "first_date") + 1,
-        "cv": F.col("sales_std") / mean,
-    }).withColumn("data_density", F.col("unique_days") / F.col("data_span_days"))
+
+
+def series_quality_daily(parts: DataFrame) -> DataFrame:
+    """A12 from daily parts: the line variance is that within days plus that between day means."""
+    n = F.sum("lines")
+    mean_of_day = F.col("y") / F.col("lines")
+    between = F.col("lines") * (mean_of_day - F.col("_mean")) * (mean_of_day - F.col("_mean"))
+    whole = Window.partitionBy("unique_id")
+    placed = parts.withColumn("_mean", F.sum("y").over(whole) / F.sum("lines").over(whole))
+    spread = F.sqrt(F.try_divide(F.sum(F.col("lines") * F.col("line_var") + between), n - 1))
+    return _quality(placed.groupBy("unique_id").agg(
+        money(F.sum("y")).alias("total_sales"), money(F.sum("y") / n).alias("avg_sales"),
+        n.alias("transaction_count"), money(spread).alias("sales_std"),
+        F.min("ds").alias("first_date"), F.max("ds").alias("last_date"), F.count("ds").alias("unique_days"),
+        money(F.sum("qty")).alias("total_qty"), money(F.sum("margin")).alias("total_margin"),
+    ))
 
 
 def viable_series(quality: DataFrame, top_n: int = 8) -> DataFrame:
@@ -220,9 +255,22 @@ def spine(panel: DataFrame) -> DataFrame:
     return ends.select("unique_id", F.explode(F.sequence("_a", "_b")).alias("ds"))
 
 
+def until_next(panel: DataFrame) -> DataFrame:
+    """Every row repeated for its own date and the empty dates up to the next row: column `day`.
+
+    The rows of a spine joined with the panel, but from one window over the panel, so the panel is
+    computed once and not joined to itself.  Needs one row per series and date.
+    """
+    after = F.lead("ds").over(Window.partitionBy("unique_id").orderBy("ds"))
+    last = F.coalesce(F.date_sub(F.col("_next"), 1), F.col("ds"))
+    return panel.withColumn("_next", after).withColumn("day", F.explode(F.sequence(F.col("ds"), last))).drop("_next")
+
+
 def spine_left_join(panel: DataFrame) -> DataFrame:
     """Every date of every series, with the observations where there are any."""
-    return spine(panel).join(panel, ["unique_id", "ds"], "left")
+    seen = lambda c: F.when(F.col("day") == F.col("ds"), F.col(c)).alias(c)
+    rest = [c for c in panel.columns if c not in ("unique_id", "ds")]
+    return until_next(panel).select("unique_id", F.col("day").alias("ds"), *[seen(c) for c in rest])
 
 
 def join_actual_forecast(actual: DataFrame, forecast: DataFrame, yhat: str = "yhat") -> DataFrame:

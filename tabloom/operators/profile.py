@@ -9,16 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.ordering import quantile_columns
+from tabloom.functions.ordering import fits_one_buffer, quantile_columns
 from tabloom.functions.stats import (
     corrected_skew, describe_dtype, numeric_columns, paired_corr, text_columns, unpivot,
 )
 
 
-def _tall(df: DataFrame, cols: list[str], stats: dict) -> DataFrame:
-    """One aggregation over all columns, turned into one row per column."""
+def _tall(df: DataFrame, cols: list[str], stats: dict, numbers_only: tuple[str, ...] = ()) -> DataFrame:
+    """One aggregation over all columns, turned into one row per column.
+
+    Statistics in `numbers_only` are null for the other columns.
+    """
+    numbers = set(numeric_columns(df))
+    value = lambda c, n, f: F.lit(None).cast("double") if n in numbers_only and c not in numbers else f(F.col(c))
     wide = df.agg(*[
-        F.struct(F.lit(c).alias("column"), *[f(F.col(c)).alias(n) for n, f in stats.items()]).alias(f"_{i}")
+        F.struct(F.lit(c).alias("column"), *[value(c, n, f).alias(n) for n, f in stats.items()]).alias(f"_{i}")
         for i, c in enumerate(cols)
     ])
     return wide.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(cols))])))
@@ -59,16 +64,23 @@ def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
     return df.limit(n)
 
 
+def _with_quantiles(df: DataFrame, cols: list[str], stats: dict, probs: dict[str, float]) -> DataFrame:
+    """Moments and exact quantiles per column: one scan when small, a second one beyond."""
+    if fits_one_buffer(df.select(*cols)):
+        wanted = F.array(*[F.lit(p) for p in probs.values()])
+        tall = _tall(df, cols, {**stats, "_q": lambda c: F.percentile(c.cast("double"), wanted)})
+        return tall.withColumns({n: F.col("_q")[i] for i, n in enumerate(probs)}).drop("_q")
+    return _tall(df, cols, stats).join(quantile_columns(df, cols, probs), "column", "left")
+
+
 def numeric_describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A2: count, mean, std, min, quartiles (exact), max per numeric column."""
     cols = cols or numeric_columns(df)
-    moments = _tall(df, cols, {
+    return _with_quantiles(df, cols, {
         "count": F.count, "mean": lambda c: F.avg(c.cast("double")),
         "std": lambda c: F.stddev_samp(c.cast("double")),
         "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double")),
-    })
-    quartiles = quantile_columns(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return moments.join(quartiles, "column", "left")
+    }, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> DataFrame:
@@ -133,14 +145,13 @@ def numeric_target_profile(df: DataFrame, cols: list[str] | None = None) -> Data
     """What the regression rules look at, per numeric column."""
     cols = cols or numeric_columns(df)
     d = lambda c: c.cast("double")
-    moments = _tall(df, cols, {
+    moments = _with_quantiles(df, cols, {
         "n": lambda c: F.count(F.lit(1)), "valid": F.count,
         "variance": lambda c: F.var_samp(d(c)), "std": lambda c: F.stddev_samp(d(c)),
         "range": lambda c: F.max(d(c)) - F.min(d(c)), "mean": lambda c: F.avg(d(c)),
-    })
-    quartiles = quantile_columns(df, cols, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    }, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     return (
-        moments.join(distinct_counts(df, cols), "column").join(quartiles, "column", "left")
+        moments.join(distinct_counts(df, cols), "column")
         .withColumn("unique_ratio", F.try_divide(F.col("nunique"), F.col("n")))
         .withColumn("missing_pct", F.try_divide(F.col("n") - F.col("valid"), F.col("n")) * 100)
         .drop("valid")

@@ -33,12 +33,13 @@ HOUSE_TARGET = "median_house_value"
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """What the rules need to know per column; `variance` is null for text and dates."""
     numbers = set(numeric_columns(df))
-    tall = _tall(df, df.columns, {"n": lambda c: F.count(F.lit(1)), "missing": lambda c: F.count_if(c.isNull())})
-    var = _tall(df, sorted(numbers), {"variance": lambda c: F.var_samp(c.cast("double"))}) if numbers else None
+    tall = _tall(df, df.columns, {
+        "n": lambda c: F.count(F.lit(1)), "missing": lambda c: F.count_if(c.isNull()),
+        "variance": lambda c: F.var_samp(c.cast("double")),
+    }, numbers_only=("variance",))
     types = {f.name: describe_dtype(f) for f in df.schema.fields}
     lookup = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("column")]
     out = tall.join(distinct_counts(df, df.columns, approximate), "column")
-    out = out.join(var, "column", "left") if var is not None else out.withColumn("variance", F.lit(None).cast("double"))
     return out.withColumns({
         "position": lookup({c: i for i, c in enumerate(df.columns)}), "dtype": lookup(types),
         "unique_ratio": F.try_divide(F.col("nunique"), F.col("n")),

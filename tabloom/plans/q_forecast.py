@@ -21,7 +21,7 @@ _FC = "yhat lo-80 hi-80 lo-90 hi-90"
 
 
 def regular(spark, sf):
-    return G.regularise_daily(whole_brand_panel(spark, sf))
+    return G.regularise_daily(whole_brand_panel(spark, sf), unique=True)
 
 
 #: Regular brand series, last 21 days held out, seasonal-naive forecast of 7 days, joined.

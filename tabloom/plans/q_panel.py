@@ -60,6 +60,11 @@ def a12(spark, sf):
     return S.series_quality(pair_sales(spark, sf), "KEY2")
 
 
+@query("A12_series_quality_daily", rnd(f"WITH {RETAIL} {quality_sql(PAIR_KEY)}", _QD))
+def a12b(spark, sf):
+    return S.series_quality_daily(S.daily_parts(pair_sales(spark, sf), "KEY2"))
+
+
 @query("A13_viable_series", rnd(f"""WITH {RETAIL}, q AS ({quality_sql(BRAND_KEY)})
   SELECT * FROM q WHERE {_STRICT} ORDER BY total_sales DESC, unique_id LIMIT 8""", _QD))
 def a13(spark, sf):
@@ -184,7 +189,7 @@ def a22(spark, sf):
     """All series before and after completing them: the first half is irregular."""
     from tabloom.operators.regularise import regularise_daily_simple
     raw = brand_panel(spark, sf).select("unique_id", "ds", "y")
-    done = regularise_daily_simple(raw, "zero", min_rows=1)
+    done = regularise_daily_simple(raw, "zero", min_rows=1, unique=True)
     both = raw.withColumn("unique_id", F.concat(F.lit("raw "), "unique_id")).unionByName(done)
     return S.frequency_verify(S.frequency_diagnosis(both))
 

@@ -188,7 +188,7 @@ REGULAR = SPINE + """, st AS (SELECT unique_id, count(*) AS rows_, 1 - count(*)
 
 @query("W16_regularise_daily", rnd(REGULAR + " SELECT * FROM regular", " ".join(_M)))
 def w16(spark, sf):
-    return G.regularise_daily(brand_panel(spark, sf))
+    return G.regularise_daily(brand_panel(spark, sf), unique=True)
 
 
 @query("W17_regularise_methods", rnd(SPINE + """, known AS (SELECT unique_id, ds AS d, y AS p,
@@ -200,7 +200,7 @@ def w16(spark, sf):
   UNION ALL SELECT 'smart_fill', unique_id, ds, coalesce(y, p) FROM f""", "y"))
 def w17(spark, sf):
     panel = brand_panel(spark, sf)
-    parts = [G.regularise_daily_simple(panel, m).withColumn("method", F.lit(m))
+    parts = [G.regularise_daily_simple(panel, m, unique=True).withColumn("method", F.lit(m))
              for m in ("interpolate", "zero", "smart_fill")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -211,7 +211,7 @@ def w17(spark, sf):
   FROM a JOIN b USING (unique_id)""")
 def w17b(spark, sf):
     panel = brand_panel(spark, sf)
-    return G.fix_summary(panel, G.regularise_daily_simple(panel))
+    return G.fix_summary(panel, G.regularise_daily_simple(panel, unique=True))
 
 
 # ---------------------------------------------------------------- splits
