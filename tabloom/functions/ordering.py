@@ -32,46 +32,54 @@ def with_position(
     df: DataFrame,
     group: list[str],
     order: list[str],
-    bucket: Column,
+    bucket: Column | list[Column],
     name: str = "pos",
     total: str | None = None,
 ) -> DataFrame:
     """0-based position of each row within its group, in `order`.
 
-    `bucket` must never decrease along `order`.  One task orders one bucket, not one group;
-    the bucket counts are the only rows a whole-group window sees.
+    `bucket` must never decrease along `order`; a list goes from coarse to fine, so that a busy
+    coarse bucket is split by the next level.  One task orders one finest bucket, not one group,
+    and the running totals of a level are taken within the level above.
     """
+    levels = bucket if isinstance(bucket, list) else [bucket]
+    names = [f"_b{i}" for i in range(len(levels))]
     # One struct key serves the count, the join and the window, so the rows move once; a null
     # inside a struct equals another null.
-    keyed = df.withColumn("_key", F.struct(*group, bucket.alias("_bucket")))
+    keyed = df.withColumn("_key", F.struct(*group, *[b.alias(n) for b, n in zip(levels, names)]))
     counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*[F.col("_key")[g] for g in group])
-    offsets = counts.select(
-        "_key",
-        (F.sum("_n").over(whole.orderBy(F.col("_key")["_bucket"])) - F.col("_n")).alias("_offset"),
-        *([F.sum("_n").over(whole).alias(total)] if total else []),
-    )
+    part = lambda depth: F.struct(*[F.col("_key")[c].alias(c) for c in [*group, *names[:depth]]])
+    offsets = counts.withColumn("_offset", F.lit(0).cast("long"))
+    for depth in range(len(names)):
+        level = counts.groupBy(part(depth + 1).alias("_at")).agg(F.sum("_n").alias("_m"))
+        above = Window.partitionBy(*[F.col("_at")[c] for c in [*group, *names[:depth]]])
+        level = level.select(
+            "_at", (F.sum("_m").over(above.orderBy(F.col("_at")[names[depth]])) - F.col("_m")).alias("_before"),
+            *([F.sum("_m").over(above).alias(total)] if total and depth == 0 else []))
+        offsets = offsets.withColumn("_at", part(depth + 1)).join(level, "_at").withColumn(
+            "_offset", F.col("_offset") + F.col("_before")).drop("_at", "_before")
     inside = Window.partitionBy("_key").orderBy(*order)
     return (
-        keyed.join(offsets, "_key")
+        keyed.join(offsets.drop("_n"), "_key")
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_key", "_offset")
     )
 
 
-def dense_number(values: DataFrame, col: str, name: str, limit: int = 1_000_000) -> DataFrame:
-    """0..k−1 in the order of distinct values.
+def dense_number(values: DataFrame, group: list[str], col: str, name: str, limit: int = 1_000_000) -> DataFrame:
+    """0..k−1 in the order of a group's distinct values; computes `values` once.
 
-    Up to `limit` values are numbered in one task.  Beyond it they are range-partitioned, the
-    partition number is stored with them in a written table, and numbers are offsets per partition.
+    Up to `limit` values are numbered in one task per group.  Beyond it they are range-partitioned,
+    the partition number is stored with them in a written table, and numbers are offsets per
+    partition.
     """
-    one = F.lit(0)
-    if values.count() <= limit:
-        placed = values.withColumn("_p", one)
+    kept = durable(values.select(*group, col), "values")
+    if kept.count() <= limit:
+        placed = kept.withColumn("_p", F.lit(0))
     else:
-        placed = durable(values.repartitionByRange(col).withColumn("_p", F.spark_partition_id()), "numbered")
-    whole = placed.withColumn("_g", one)
-    return with_position(whole, ["_g"], [col], F.col("_p"), name).drop("_g", "_p")
+        placed = durable(kept.repartitionByRange(*group, col).withColumn("_p", F.spark_partition_id()), "numbered")
+    whole = placed.withColumn("_g", F.lit(0))
+    return with_position(whole, group or ["_g"], [col], F.col("_p"), name).drop("_g", "_p")
 
 
 def hash_order(key: Column | str, seed: int = 42) -> Column:

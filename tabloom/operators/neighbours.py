@@ -197,6 +197,7 @@ def dbscan(points: DataFrame, cols: list[str], eps: float = 0.5, min_pts: int =
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1))).drop("_pieces")
     others = rows.select("cell", "_salt", F.col("id").alias("qid"), *[F.col(c).alias(f"q_{c}") for c in cols])
     close = asks.join(others, ["cell", "_salt"]).filter(_sq(cols, "p_", "q_") <= eps * eps)
+    close = durable(close.select("id", "qid"), "close")
     sparse_core = close.groupBy("id").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") >= min_pts).select("id")
     core = durable(rows.filter(F.col("_n") >= min_pts).select("id", "cell", *cols).unionByName(
         rows.join(sparse_core, "id", "left_semi").select("id", "cell", *cols)), "core")
@@ -206,7 +207,7 @@ def dbscan(points: DataFrame, cols: list[str], eps: float = 0.5, min_pts: int =
     edges = _linked_cells(core, cols, eps, side, around).join(name("a"), "a_cell").join(name("b"), "b_cell")
     roots = components(cells.select("node"), edges)
     clusters = roots.select("root").distinct()
-    number = dense_number(clusters, "root", "cluster")
+    number = dense_number(clusters, [], "root", "cluster")
     of_cell = cells.join(roots, "node").join(number, "root").select("cell", "cluster")
     of_core = core.join(of_cell, "cell").select("id", "cluster")
     border = close.join(of_core.withColumnRenamed("id", "qid"), "qid").groupBy("id").agg(F.min("cluster").alias("_c"))

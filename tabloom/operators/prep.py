@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.ordering import column_medians, dense_number
 from tabloom.functions.stats import numeric_columns, text_columns
 from tabloom.operators.panel import frequency_share
-from tabloom.operators.profile import top_values, value_counts
+from tabloom.operators.profile import top_values, value_counts, with_quantiles
 
 #: Distinct categories that one task may number.
 ONE_TASK_CATEGORIES = 1_000_000
@@ -51,29 +51,38 @@ def apply_impute(df: DataFrame, fill: dict) -> DataFrame:
 
 # ---------------------------------------------------------------- X2–X4 encode
 
-def label_codes(df: DataFrame, col: str, null_as: str | None = "nan", limit: int = ONE_TASK_CATEGORIES) -> DataFrame:
-    """(value, code) with codes 0..k−1 in value order; a null is the text 'nan'."""
-    v = F.col(col).cast("string")
-    values = df.select((F.coalesce(v, F.lit(null_as)) if null_as else v).alias("value"))
-    values = values.filter(F.col("value").isNotNull()).distinct()
-    return dense_number(values, "value", "code", limit).select("value", F.col("code").cast("long"))
+def category_codes(df: DataFrame, cols: list[str], null_as: str = "nan", limit: int = ONE_TASK_CATEGORIES) -> DataFrame:
+    """(column, value, code) for all text columns from one scan, codes 0..k−1 in value order.
+
+    A null is the text 'nan'.
+    """
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(null_as)).alias(c) for c in cols])
+    values = value_counts(text, cols).select("column", "value")
+    return dense_number(values, ["column"], "value", "code", limit).select("column", "value", F.col("code").cast("long"))
+
+
+def label_codes(df: DataFrame, col: str) -> DataFrame:
+    """(value, code) of one column."""
+    return category_codes(df, [col]).select("value", "code")
 
 
-def apply_codes(df: DataFrame, col: str, codes: DataFrame, out: str | None = None, null_as: str | None = "nan") -> DataFrame:
+def apply_codes(df: DataFrame, col: str, codes: DataFrame, null_as: str = "nan") -> DataFrame:
     """Replace a category by its code; an unseen one becomes null."""
-    v = F.col(col).cast("string")
-    key = F.coalesce(v, F.lit(null_as)) if null_as else v
     m = codes.select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-    joined = df.withColumn("_v", key).join(m, "_v", "left")
-    return joined.withColumn(out or col, F.col("_code")).drop("_v", "_code").select(
-        *df.columns, *([out] if out and out not in df.columns else []))
+    joined = df.withColumn("_v", F.coalesce(F.col(col).cast("string"), F.lit(null_as))).join(m, "_v", "left")
+    return joined.withColumn(col, F.col("_code")).drop("_v", "_code").select(*df.columns)
+
+
+def apply_all_codes(df: DataFrame, cols: list[str], codes: DataFrame) -> DataFrame:
+    for c in cols:
+        df = apply_codes(df, c, codes.filter(F.col("column") == c))
+    return df
 
 
 def label_encode(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """X2 on its own data."""
-    for c in cols or text_columns(df):
-        df = apply_codes(df, c, label_codes(df, c))
-    return df
+    cols = cols or text_columns(df)
+    return apply_all_codes(df, cols, category_codes(df, cols)) if cols else df
 
 
 def frequency_encode(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -143,6 +152,23 @@ def preprocess_plan(profile: DataFrame, algorithms: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- X9, X10 fitted object
 
+def _filled_scale(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
+    """Medians, and mean and population std after filling nulls with the median, from one profile.
+
+    Filling adds `gaps` copies of the median, which moves mean and variance by a closed formula.
+    """
+    stats = {"n": lambda c: F.count(F.lit(1)), "valid": F.count, "mean": lambda c: F.avg(c.cast("double")),
+             "var": lambda c: F.var_pop(c.cast("double"))}
+    medians, scale = {}, {}
+    for r in with_quantiles(df, cols, stats, {"median": 0.5}).collect():  # one row per column
+        n, valid, mid = r["n"], r["valid"], r["median"] or 0.0
+        mean, var, gaps = r["mean"] or 0.0, r["var"] or 0.0, r["n"] - r["valid"]
+        new = (valid * mean + gaps * mid) / n if n else 0.0
+        spread = (valid * (var + (mean - new) ** 2) + gaps * (mid - new) ** 2) / n if n else 0.0
+        medians[r["column"]], scale[r["column"]] = mid, (new, spread ** 0.5 or 1.0)
+    return medians, scale
+
+
 @dataclass
 class Preprocessor:
     """Encode, fill with the median, standardise — fitted once and kept.
@@ -154,21 +180,17 @@ class Preprocessor:
     text: list[str]
     medians: dict = field(default_factory=dict)
     scale: dict = field(default_factory=dict)
-    codes: dict[str, DataFrame] = field(default_factory=dict)
+    codes: DataFrame | None = None
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str]) -> "Preprocessor":
         text = [c for c in text_columns(df) if c in features]
-        out = cls(features, text, codes={c: label_codes(df, c) for c in text})
-        encoded = out._encode(df)
-        out.medians = {c: v or 0.0 for c, v in column_medians(encoded, features).first().asDict().items()}
-        out.scale = fit_standard(apply_impute(encoded, out.medians), features)
+        out = cls(features, text, codes=category_codes(df, text) if text else None)
+        out.medians, out.scale = _filled_scale(out._encode(df), features)
         return out
 
     def _encode(self, df: DataFrame) -> DataFrame:
-        for c in self.text:
-            df = apply_codes(df, c, self.codes[c])
-        return df
+        return apply_all_codes(df, self.text, self.codes) if self.text else df
 
     def transform(self, df: DataFrame) -> DataFrame:
         """All other columns stay; the features become standardised doubles."""
@@ -177,12 +199,12 @@ class Preprocessor:
     def save(self, spark: SparkSession, path: str) -> None:
         meta = json.dumps({"features": self.features, "text": self.text, "medians": self.medians, "scale": self.scale})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-        for i, c in enumerate(self.text):
-            self.codes[c].write.mode("overwrite").parquet(f"{path}/codes{i}")
+        if self.text:
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Preprocessor":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        codes = {c: spark.read.parquet(f"{path}/codes{i}") for i, c in enumerate(meta["text"])}
+        codes = spark.read.parquet(f"{path}/codes") if meta["text"] else None
         scale = {c: tuple(v) for c, v in meta["scale"].items()}
         return cls(meta["features"], meta["text"], meta["medians"], scale, codes)

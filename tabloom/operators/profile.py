@@ -64,7 +64,7 @@ def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
     return df.limit(n)
 
 
-def _with_quantiles(df: DataFrame, cols: list[str], stats: dict, probs: dict[str, float]) -> DataFrame:
+def with_quantiles(df: DataFrame, cols: list[str], stats: dict, probs: dict[str, float]) -> DataFrame:
     """Moments and exact quantiles per column: one scan when small, a second one beyond."""
     if fits_one_buffer(df.select(*cols)):
         wanted = F.array(*[F.lit(p) for p in probs.values()])
@@ -76,7 +76,7 @@ def _with_quantiles(df: DataFrame, cols: list[str], stats: dict, probs: dict[str
 def numeric_describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """A2: count, mean, std, min, quartiles (exact), max per numeric column."""
     cols = cols or numeric_columns(df)
-    return _with_quantiles(df, cols, {
+    return with_quantiles(df, cols, {
         "count": F.count, "mean": lambda c: F.avg(c.cast("double")),
         "std": lambda c: F.stddev_samp(c.cast("double")),
         "min": lambda c: F.min(c.cast("double")), "max": lambda c: F.max(c.cast("double")),
@@ -145,7 +145,7 @@ def numeric_target_profile(df: DataFrame, cols: list[str] | None = None) -> Data
     """What the regression rules look at, per numeric column."""
     cols = cols or numeric_columns(df)
     d = lambda c: c.cast("double")
-    moments = _with_quantiles(df, cols, {
+    moments = with_quantiles(df, cols, {
         "n": lambda c: F.count(F.lit(1)), "valid": F.count,
         "variance": lambda c: F.var_samp(d(c)), "std": lambda c: F.stddev_samp(d(c)),
         "range": lambda c: F.max(d(c)) - F.min(d(c)), "mean": lambda c: F.avg(d(c)),

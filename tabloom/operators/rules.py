@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.ordering import column_medians, quantile_columns
 from tabloom.functions.stats import describe_dtype, numeric_columns, paired_corr, text_columns, unpivot
-from tabloom.operators.prep import apply_codes, label_codes
+from tabloom.operators.prep import label_encode
 from tabloom.operators.profile import _tall, distinct_counts
 
 # Name parts that mark likely targets and time columns.
@@ -198,9 +198,8 @@ def target_correlation(df: DataFrame, target: str, cols: list[str]) -> DataFrame
 
 
 def _encoded(df: DataFrame, cols: list[str]) -> DataFrame:
-    for c in [c for c in text_columns(df) if c in cols]:
-        df = apply_codes(df, c, label_codes(df, c))
-    return df
+    words = [c for c in text_columns(df) if c in cols]
+    return label_encode(df, words) if words else df
 
 
 def filter_features_generic(df: DataFrame, profile: DataFrame, target: str, features: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ def holdout_tail(panel: DataFrame, n: int = 21, s: Series = PANEL) -> DataFrame:
     return panel.withColumn("part", F.when(back <= n, "test").otherwise("train"))
 
 
-def holdout_fraction(df: DataFrame, group: list[str], order: list[str], bucket: Column,
+def holdout_fraction(df: DataFrame, group: list[str], order: list[str], bucket: Column | list[Column],
                      fraction: float = 0.8) -> DataFrame:
     """The first ⌊fraction·n⌋ rows by time train, the rest test.
 
@@ -74,10 +74,10 @@ def train_test_split(df: DataFrame, key: list[str], train_tenths: int = 8, seed:
 def stratified_split(df: DataFrame, label: str, key: list[str], fraction: float = 0.8, seed: int = 42) -> DataFrame:
     """The same share of every class, by exact rank of the key hash within the class.
 
-    A class may hold most rows; its ranks come from 4096 hash slices.
+    A class may hold most rows; its ranks come from 4096 hash slices of 256 pieces each.
     """
     hashed = df.withColumn("_h", hash_order(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), seed))
-    placed = with_position(hashed, [label], ["_h", *key], F.shiftright("_h", 48), "_pos", "_total")
+    placed = with_position(hashed, [label], ["_h", *key], [F.shiftright("_h", 48), F.shiftright("_h", 40)], "_pos", "_total")
     part = F.when(F.col("_pos") < F.floor(F.col("_total") * F.lit(fraction)), "train").otherwise("test")
     return placed.withColumn("part", part).drop("_h", "_pos", "_total")
 
@@ -91,5 +91,5 @@ def add_folds(df: DataFrame, key: list[str], folds: int = 5, seed: int = 7) -> D
 def add_stratified_folds(df: DataFrame, label: str, key: list[str], folds: int = 5, seed: int = 7) -> DataFrame:
     """Folds with equal shares of every class: the rank within the class, modulo the folds."""
     hashed = df.withColumn("_h", hash_order(F.concat_ws("|", *[F.col(k).cast("string") for k in key]), seed))
-    placed = with_position(hashed, [label], ["_h", *key], F.shiftright("_h", 48), "_pos")
+    placed = with_position(hashed, [label], ["_h", *key], [F.shiftright("_h", 48), F.shiftright("_h", 40)], "_pos")
     return placed.withColumn("fold", (F.col("_pos") % folds).cast("int")).drop("_h", "_pos")

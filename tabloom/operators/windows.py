@@ -270,7 +270,7 @@ def lookback_windows(df: DataFrame, s: Series = PANEL, shortest: int = 10, longe
 
 
 def in_chunks(df: DataFrame, step: Callable[[DataFrame, Series], DataFrame], s: Series, lookback: int,
-              bucket: Column, chunk_rows: int = 1_000_000) -> DataFrame:
+              bucket: Column | list[Column], chunk_rows: int = 1_000_000) -> DataFrame:
     """Run a backward-looking step on a series of any length without one task per series.
 
     Rows get their position from bucket counts; every chunk also receives the `lookback` rows

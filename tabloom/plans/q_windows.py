@@ -226,7 +226,8 @@ def w18(spark, sf):
   floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM events""")
 def w19(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts")
-    return H.holdout_fraction(e, [], ["ts", "event_id"], F.date_trunc("hour", "ts")).select("event_id", "part")
+    at = [F.date_trunc("hour", "ts"), F.date_trunc("second", "ts")]
+    return H.holdout_fraction(e, [], ["ts", "event_id"], at).select("event_id", "part")
 
 
 @query("W19_holdout_fraction_grouped", """SELECT event_id, event_type, CASE WHEN row_number() OVER (PARTITION BY event_type
@@ -234,7 +235,7 @@ def w19(spark, sf):
   FROM events""")
 def w19b(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "ts")
-    out = H.holdout_fraction(e, ["event_type"], ["ts", "event_id"], F.date_trunc("hour", "ts"))
+    out = H.holdout_fraction(e, ["event_type"], ["ts", "event_id"], [F.date_trunc("hour", "ts"), F.date_trunc("second", "ts")])
     return out.select("event_id", "event_type", "part")
 
 
@@ -297,7 +298,8 @@ def w_chunks(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "value", F.struct("ts", "event_id").alias("at"))
     s = W.Series(("event_type",), "at", "value")
     step = lambda d, p: W.rolling_basic(W.lags(d, p, (1, 7)), p, (30,))
-    out = W.in_chunks(e, step, s, lookback=30, bucket=F.date_trunc("hour", F.col("at.ts")), chunk_rows=500)
+    out = W.in_chunks(e, step, s, lookback=30, bucket=[F.date_trunc("hour", F.col("at.ts")), F.date_trunc("second", F.col("at.ts"))],
+                      chunk_rows=500)
     return out.select("event_id", "event_type", "value", "target_lag_1", "target_lag_7", "rolling_mean_30", "rolling_std_30")
 
 
