@@ -9,9 +9,13 @@ from tabloom.functions.ordering import exact_quantiles, fits_one_buffer
 
 
 def r_squared(y: Column, yhat: Column) -> Column:
-    """1 − residual over total sum of squares; a constant actual gives 1 if met exactly, else 0."""
+    """1 − residual over total sum of squares; a constant actual gives 1 if met exactly, else 0.
+
+    Null without rows.
+    """
     res, tot = F.sum((y - yhat) * (y - yhat)), F.var_pop(y) * F.count(y)
-    return F.when(tot > 0, 1 - res / F.when(tot > 0, tot)).when(res == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(tot > 0, 1 - res / F.when(tot > 0, tot)).when(res == 0, F.lit(1.0)).when(
+        F.count(y) > 0, F.lit(0.0))
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by: tuple[str, ...] = (),

@@ -176,7 +176,7 @@ def f14(spark, sf):
     return E.category_counts(E.mape_category(Q.per_series_metrics(held_out(spark, sf))))
 
 
-@query("A30_histogram", rnd(PER + """, b AS (SELECT min(smape) AS lo, max(smape) AS hi FROM per)
+@query("A30_histogram", rnd(PER + """, b AS (SELECT coalesce(min(smape), 0) AS lo, coalesce(max(smape), 1) AS hi FROM per)
   SELECT bin, lo + bin * (hi - lo) / 10 AS lower, (SELECT count(*) FROM per WHERE least(floor((smape - lo) / ((hi - lo) / 10)), 9)
     = bin) AS n FROM b, (SELECT unnest(range(0, 10)) AS bin)""", "lower"))
 def a30(spark, sf):

@@ -65,17 +65,19 @@ def a12b(spark, sf):
     return S.series_quality_daily(S.daily_parts(pair_sales(spark, sf), "KEY2"))
 
 
-@query("A13_viable_series", rnd(f"""WITH {RETAIL}, q AS ({quality_sql(BRAND_KEY)})
-  SELECT * FROM q WHERE {_STRICT} ORDER BY total_sales DESC, unique_id LIMIT 8""", _QD))
+def _viable_sql(key):
+    return rnd(f"""WITH {RETAIL}, q AS ({quality_sql(key)}), strict AS (SELECT * FROM q WHERE {_STRICT}),
+  lenient AS (SELECT * FROM q WHERE unique_days >= 30 AND total_sales >= 5000)
+  SELECT * FROM (SELECT * FROM strict UNION ALL
+    SELECT * FROM lenient WHERE NOT EXISTS (SELECT 1 FROM strict)) ORDER BY total_sales DESC, unique_id LIMIT 8""", _QD)
+
+
+@query("A13_viable_series", _viable_sql(BRAND_KEY))
 def a13(spark, sf):
     return S.viable_series(S.series_quality(brand_sales(spark, sf), "BRAND"))
 
 
-@query("A13_viable_series_fallback", rnd(f"""WITH {RETAIL}, q AS ({quality_sql(PAIR_KEY)}),
-  strict AS (SELECT * FROM q WHERE {_STRICT}),
-  lenient AS (SELECT * FROM q WHERE unique_days >= 30 AND total_sales >= 5000)
-  SELECT * FROM (SELECT * FROM strict UNION ALL
-    SELECT * FROM lenient WHERE NOT EXISTS (SELECT 1 FROM strict)) ORDER BY total_sales DESC, unique_id LIMIT 8""", _QD))
+@query("A13_viable_series_fallback", _viable_sql(PAIR_KEY))
 def a13b(spark, sf):
     return S.viable_series(S.series_quality(pair_sales(spark, sf), "KEY2"))
 
