@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.stats import finite
 from tabloom.operators.evaluate import r_squared
 from tabloom.operators.panel import join_actual_forecast, money
-from tabloom.operators.splits import expanding_folds, future_spine
+from tabloom.operators.splits import expanding_folds
 from tabloom.operators.windows import PANEL, Series
 
 # Fixed value: the interval levels in percent.
@@ -35,37 +35,39 @@ def with_intervals(forecast: DataFrame, levels=LEVELS, sigma: str = "sigma") ->
 
 
 def baseline_fit(train: DataFrame, method: str, season: int = 7, window: int = 7) -> DataFrame:
-    """One row per series: the values the future repeats and the std of in-sample errors.
+    """One row per series: its last date, the values the future repeats, the std of in-sample errors.
 
     mean repeats the mean, moving_average the mean of the last `window` rows, seasonal_naive the
     last `season` rows in turn.
     """
     s = PANEL
     back = F.row_number().over(s.whole.orderBy(F.desc("ds")))
+    last_date = F.max("ds").alias("last_date")
     if method == "mean":
-        return train.groupBy("unique_id").agg(F.array(F.avg("y")).alias("values"), F.stddev_samp("y").alias("sigma"))
+        return train.groupBy("unique_id").agg(last_date, F.array(F.avg("y")).alias("values"), F.stddev_samp("y").alias("sigma"))
     if method == "moving_average":
         past = F.avg("y").over(s.ordered.rowsBetween(-window, -1))
         full = F.count("y").over(s.ordered.rowsBetween(-window, -1)) == window
         marked = train.withColumns({"_e": F.when(full, F.col("y") - past), "_b": back})
         return marked.groupBy("unique_id").agg(
-            F.array(F.avg(F.when(F.col("_b") <= window, F.col("y")))).alias("values"),
+            last_date, F.array(F.avg(F.when(F.col("_b") <= window, F.col("y")))).alias("values"),
             F.stddev_samp("_e").alias("sigma"))
     if method == "seasonal_naive":
         marked = train.withColumns({"_e": F.col("y") - F.lag("y", season).over(s.ordered), "_b": back})
         last = F.collect_list(F.when(F.col("_b") <= season, F.struct("ds", "y")))
         return marked.groupBy("unique_id").agg(
-            F.transform(F.array_sort(last), lambda r: r["y"]).alias("values"), F.stddev_samp("_e").alias("sigma"))
+            last_date, F.transform(F.array_sort(last), lambda r: r["y"]).alias("values"), F.stddev_samp("_e").alias("sigma"))
     raise ValueError(f"unknown baseline {method!r}")
 
 
 def forecast_baseline(train: DataFrame, horizon: int, method: str = "seasonal_naive", season: int = 7,
                       window: int = 7, levels=LEVELS) -> DataFrame:
-    """Q7: baseline forecasts over the dates after each series' end."""
+    """Q7: baseline forecasts over the dates after each series' end, from one pass over the history."""
     fit = baseline_fit(train, method, season, window)
-    days = future_spine(train, horizon, covariates=False)
-    repeated = F.element_at("values", ((F.col("step") - 1) % F.size("values") + 1).cast("int"))
-    rows = days.join(fit, "unique_id").select("unique_id", "ds", "step", repeated.alias("yhat"), "sigma")
+    ahead = F.sequence(F.date_add("last_date", 1), F.date_add("last_date", horizon))
+    days = fit.select("unique_id", "values", "sigma", F.posexplode(ahead).alias("_at", "ds"))
+    repeated = F.element_at("values", (F.col("_at") % F.size("values") + 1).cast("int"))
+    rows = days.select("unique_id", "ds", (F.col("_at") + 1).alias("step"), repeated.alias("yhat"), "sigma")
     return with_intervals(rows, levels)
 
 

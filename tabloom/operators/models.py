@@ -253,8 +253,7 @@ def forecast_on_features(split: DataFrame, model: str = "LinearRegression", tree
     The series' train mean stands for the series.  Without features the forecast is that mean.
     """
     wide, names = lag_features(split)
-    means = split.filter("part = 'train'").groupBy("unique_id").agg(F.avg("y").alias("series_mean"))
-    rows = wide.join(means, "unique_id")
+    rows = wide.withColumn("series_mean", F.avg(F.when(F.col("part") == "train", F.col("y"))).over(PANEL.whole))
     if features is not None and not features:
         return rows.filter("part = 'test'").select("unique_id", "ds", "y", F.col("series_mean").alias("yhat"))
     ready = assemble(rows, [*(features or names), "series_mean"], "y")
@@ -275,9 +274,9 @@ def forecast_with_features(train: DataFrame, horizon: int, future: DataFrame | N
     both = train.select("unique_id", "ds", "y", *covariates, F.lit(0).alias("step")).unionByName(
         days.withColumn("y", F.lit(None).cast("double")), allowMissingColumns=True)
     wide, names = lag_features(both.fillna(0, covariates) if covariates else both, horizon)
-    means = train.groupBy("unique_id").agg(F.avg("y").alias("series_mean"))
+    wide = wide.withColumn("series_mean", F.avg("y").over(PANEL.whole))  # future rows have no y
     inputs = [*names, *covariates, "series_mean"]
-    rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(wide.join(means, "unique_id"))
+    rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(wide)
     known = rows.filter("step = 0").withColumn("label", F.col("y"))
     fitted = regressor("LinearRegression").fit(known)
     spread = fitted.transform(known).groupBy("unique_id").agg(

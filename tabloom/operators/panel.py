@@ -255,15 +255,21 @@ def spine(panel: DataFrame) -> DataFrame:
     return ends.select("unique_id", F.explode(F.sequence("_a", "_b")).alias("ds"))
 
 
-def until_next(panel: DataFrame) -> DataFrame:
+def next_date() -> Column:
+    """The date of a series' next row."""
+    return F.lead("ds").over(Window.partitionBy("unique_id").orderBy("ds"))
+
+
+def until_next(panel: DataFrame, after: str = "_next") -> DataFrame:
     """Every row repeated for its own date and the empty dates up to the next row: column `day`.
 
     The rows of a spine joined with the panel, but from one window over the panel, so the panel is
-    computed once and not joined to itself.  Needs one row per series and date.
+    computed once and not joined to itself.  Needs one row per series and date; `after` may
+    already hold the next date.
     """
-    after = F.lead("ds").over(Window.partitionBy("unique_id").orderBy("ds"))
-    last = F.coalesce(F.date_sub(F.col("_next"), 1), F.col("ds"))
-    return panel.withColumn("_next", after).withColumn("day", F.explode(F.sequence(F.col("ds"), last))).drop("_next")
+    rows = panel if after in panel.columns else panel.withColumn(after, next_date())
+    last = F.coalesce(F.date_sub(F.col(after), 1), F.col("ds"))
+    return rows.withColumn("day", F.explode(F.sequence(F.col("ds"), last))).drop(after)
 
 
 def spine_left_join(panel: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.stats import not_below_zero
-from tabloom.operators.panel import until_next
+from tabloom.operators.panel import next_date, until_next
 from tabloom.operators.project import dedupe_keep_first
 from tabloom.operators.windows import PANEL, fill_forward_back
 
@@ -26,9 +26,9 @@ def _gaps(one: DataFrame, cols: list[str]) -> DataFrame:
     series = Window.partitionBy("unique_id")
     upto = series.orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
     after = series.orderBy(F.desc("ds")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = one.withColumns({f"_p_{c}": F.last(_known(c), ignorenulls=True).over(upto) for c in cols})
-    rows = until_next(rows.withColumns({f"_q_{c}": F.last(_known(c), ignorenulls=True).over(after) for c in cols}))
-    return rows
+    rows = one.withColumns({"_next": next_date(),
+                            **{f"_p_{c}": F.last(_known(c), ignorenulls=True).over(upto) for c in cols}})
+    return until_next(rows.withColumns({f"_q_{c}": F.last(_known(c), ignorenulls=True).over(after) for c in cols}))
 
 
 def _observed(c: str) -> Column:
