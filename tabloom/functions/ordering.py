@@ -49,18 +49,20 @@ def with_position(
     keyed = df.withColumn("_key", F.struct(*group, *[b.alias(n) for b, n in zip(levels, names)]))
     counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     part = lambda depth: F.struct(*[F.col("_key")[c].alias(c) for c in [*group, *names[:depth]]])
-    offsets = counts.withColumn("_offset", F.lit(0).cast("long"))
-    for depth in range(len(names)):
+    above = lambda at, depth: Window.partitionBy(*[F.col(at)[c] for c in [*group, *names[:depth]]])
+    before = lambda at, depth, n: F.sum(n).over(above(at, depth).orderBy(F.col(at)[names[depth]])) - F.col(n)
+    whole = lambda at, n: [F.sum(n).over(above(at, 0)).alias(total)] if total else []
+    # every level reads the same counts, so Spark computes and shuffles them once
+    last = len(names) - 1
+    offsets = counts.select("_key", before("_key", last, "_n").alias("_offset"), *(whole("_key", "_n") if last == 0 else []))
+    for depth in range(last):
         level = counts.groupBy(part(depth + 1).alias("_at")).agg(F.sum("_n").alias("_m"))
-        above = Window.partitionBy(*[F.col("_at")[c] for c in [*group, *names[:depth]]])
-        level = level.select(
-            "_at", (F.sum("_m").over(above.orderBy(F.col("_at")[names[depth]])) - F.col("_m")).alias("_before"),
-            *([F.sum("_m").over(above).alias(total)] if total and depth == 0 else []))
+        level = level.select("_at", before("_at", depth, "_m").alias("_before"), *(whole("_at", "_m") if depth == 0 else []))
         offsets = offsets.withColumn("_at", part(depth + 1)).join(level, "_at").withColumn(
             "_offset", F.col("_offset") + F.col("_before")).drop("_at", "_before")
     inside = Window.partitionBy("_key").orderBy(*order)
     return (
-        keyed.join(offsets.drop("_n"), "_key")
+        keyed.join(offsets, "_key")
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_key", "_offset")
     )

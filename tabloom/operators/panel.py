@@ -159,16 +159,21 @@ def week_ending_monday(ds: Column) -> Column:
     return F.next_day(F.date_sub(ds, 1), "Mon")
 
 
-def _weekly_spine(weeks: DataFrame) -> DataFrame:
-    span = weeks.groupBy("unique_id").agg(F.min("ds").alias("_a"), F.max("ds").alias("_b"))
-    return span.select("unique_id", F.explode(F.expr("sequence(_a, _b, interval 7 day)")).alias("ds"))
+def _every_week(weeks: DataFrame) -> DataFrame:
+    """Each week repeated over the empty weeks after it, whose values are null."""
+    after = F.lead("ds").over(Window.partitionBy("unique_id").orderBy("ds"))
+    last = F.coalesce(F.date_sub(after, 7), F.col("ds"))
+    full = weeks.withColumn("_last", last).withColumn("_week", F.explode(F.expr("sequence(ds, _last, interval 7 day)")))
+    rest = [c for c in weeks.columns if c not in ("unique_id", "ds")]
+    own = lambda c: F.when(F.col("_week") == F.col("ds"), F.col(c)).alias(c)
+    return full.select("unique_id", F.col("_week").alias("ds"), *[own(c) for c in rest])
 
 
 def resample_weekly(df: DataFrame, key: str, ds: str, value: str) -> DataFrame:
     """Weekly sums labelled by the closing Monday, empty weeks 0."""
     weeks = df.groupBy(F.col(key).alias("unique_id"), week_ending_monday(F.to_date(ds)).alias("ds")).agg(
         F.sum(value).alias("y"))
-    return _weekly_spine(weeks).join(weeks, ["unique_id", "ds"], "left").fillna(0.0, ["y"])
+    return _every_week(weeks).fillna(0.0, ["y"])
 
 
 def resample_weekly_covariates(df: DataFrame, key: str, ds: str, holiday: Column) -> DataFrame:
@@ -177,7 +182,7 @@ def resample_weekly_covariates(df: DataFrame, key: str, ds: str, holiday: Column
     weeks = df.groupBy(F.col(key).alias("unique_id"), week_ending_monday(day).alias("ds")).agg(
         F.sum("TOTAL_BILLING_QTY").alias("qty"), F.sum("TOTAL_DISCOUNT").alias("discount"),
         F.avg(F.weekday(day)).alias("dayofweek"), F.sum(holiday).alias("is_holiday"))
-    return _weekly_spine(weeks).join(weeks, ["unique_id", "ds"], "left").fillna(0, ["qty", "discount", "is_holiday"])
+    return _every_week(weeks).fillna(0, ["qty", "discount", "is_holiday"])
 
 
 def weekday_totals(df: DataFrame, ds: str = "BILLING_DATE", value: str = "TOTAL_NET_SALES") -> DataFrame:

@@ -91,7 +91,8 @@ def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> Dat
     """
     cols = cols or text_columns(df)
     counts = value_counts(df, cols)
-    nunique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
+    # counting `n` and not rows keeps both uses of the counts alike, so they are computed once
+    nunique = counts.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("nunique"))
     ranked = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     top = counts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return top.join(nunique, "column").select("column", "nunique", "rank", "value", "n")

@@ -253,7 +253,7 @@ def mutual_information(df: DataFrame, target: str, features: list[str], classes:
         F.count(F.lit(1)).alias("n"))
     px = joint.groupBy("column", "bin").agg(F.sum("n").alias("nx"))
     py = joint.groupBy("column", "_y").agg(F.sum("n").alias("ny"))
-    total = joint.groupBy("column").agg(F.sum("n").alias("nt"))
+    total = px.groupBy("column").agg(F.sum("nx").alias("nt"))
     all_ = joint.join(px, ["column", "bin"]).join(py, ["column", "_y"]).join(total, "column")
     term = F.col("n") / F.col("nt") * F.log(F.col("n") * F.col("nt") / (F.col("nx") * F.col("ny")))
     return all_.groupBy("column").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))

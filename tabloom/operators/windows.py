@@ -225,13 +225,14 @@ def seasonal_decompose(df: DataFrame, s: Series = PANEL, longest: int = 12) -> D
     mean = (total - 0.5 * ends) / p if p % 2 == 0 else total / p
     out = data.withColumn("trend", F.when(full, mean)).withColumn(
         "_phase", (F.row_number().over(s.ordered) - 1) % p).withColumn("_det", s.y - F.col("trend"))
+    # placed by series already, so the phase windows need no shuffle and no join
     by_phase = Window.partitionBy(*s.ids, "_phase")
-    phases = out.groupBy(*s.ids, "_phase").agg(F.avg("_det").alias("_pm"))
-    centred = phases.withColumn("seasonal", F.col("_pm") - F.avg("_pm").over(s.whole)).drop("_pm")
+    out = out.withColumns({"_pm": F.avg("_det").over(by_phase), "_rows": F.count(F.lit(1)).over(by_phase)})
+    centre = F.sum(F.col("_pm") / F.col("_rows")).over(s.whole) / p
     return (
-        out.join(centred, [*s.ids, "_phase"])
+        out.withColumn("seasonal", F.col("_pm") - centre)
         .withColumn("resid", s.y - F.col("trend") - F.col("seasonal"))
-        .drop("_n", "_phase", "_det")
+        .drop("_n", "_phase", "_det", "_pm", "_rows")
     )
 
 
