@@ -29,10 +29,17 @@ def binary_views(column: pa.Array) -> Iterator[memoryview | None]:
         yield None if nulls is not None and nulls[i] else view[at[i]: at[i + 1]]
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column by name, or a field of a struct column by `struct.field`."""
+    outer, _, inner = name.partition(".")
+    col = batch.column(batch.schema.get_field_index(outer))
+    return col.field(inner) if inner else col
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about `most` bytes of a text column; a longer text is a slice alone."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(column))
+        col = column_of(batch, column)
         if not len(col):
             continue
         sizes = np.fromiter((0 if v is None else len(v) for v in binary_views(col)), dtype=np.int64, count=len(col))

@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import map_slices
+from tabloom.llm.common import column_of, map_slices
 
 SPACE = "▁"
-#: Two moduli of a rolling hash; together a substring has 61 bits.
-_MOD = (np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 35))
-_BASE = (np.uint64(1_000_003), np.uint64(786_433))
+#: Base of a rolling hash of 64 bits.  Code points are mixed first, so that all bits of a key count.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: What a byte piece costs beside the worst piece: spelling in bytes is the last resort.
 BYTE_PENALTY = 10.0
 
@@ -33,12 +32,7 @@ class PieceTable:
     def __init__(self, pieces: list[str], scores: np.ndarray) -> None:
         self.pieces, self.scores = pieces, np.asarray(scores, dtype=np.float64)
         self.longest = max(map(len, pieces), default=1)
-        self._powers = []
-        for base, mod in zip(_BASE, _MOD):
-            p = np.ones(self.longest + 1, dtype=np.uint64)
-            for i in range(1, len(p)):
-                p[i] = p[i - 1] * base % mod
-            self._powers.append(p)
+        self._powers = _BASE ** np.arange(self.longest + 1, dtype=np.uint64)
         keys = np.zeros(len(pieces), dtype=np.uint64)
         for rows, chars in word_groups(pieces):
             prefix = self.prefixes(chars)
@@ -48,21 +42,20 @@ class PieceTable:
         if (self._sorted[1:] == self._sorted[:-1]).any():
             raise ValueError("two pieces share a hash key")
 
-    def prefixes(self, chars: np.ndarray) -> list[np.ndarray]:
+    def prefixes(self, chars: np.ndarray) -> np.ndarray:
         """Rolling hashes of all prefixes, one row per prefix length."""
-        out = []
-        for base, mod in zip(_BASE, _MOD):
-            h = np.zeros((chars.shape[1] + 1, chars.shape[0]), dtype=np.uint64)
-            for i in range(chars.shape[1]):
-                h[i + 1] = (h[i] * base + chars[:, i] + np.uint64(1)) % mod
-            out.append(h)
-        return out
-
-    def _key(self, prefix: list[np.ndarray], start: int, end: int) -> np.ndarray:
-        one, two = ((h[end] + mod * mod - h[start] * p[end - start]) % mod for h, mod, p in zip(prefix, _MOD, self._powers))
-        return (one << np.uint64(30)) | two
-
-    def probe(self, prefix: list[np.ndarray], start: int, end: int) -> np.ndarray:
+        mixed = (chars + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        h = np.zeros((chars.shape[1] + 1, chars.shape[0]), dtype=np.uint64)
+        for i in range(chars.shape[1]):
+            h[i + 1] = h[i] * _BASE + mixed[:, i]
+        return h
+
+    def _key(self, prefix: np.ndarray, start: int, end: int) -> np.ndarray:
+        return prefix[end] - prefix[start] * self._powers[end - start]
+
+    def probe(self, prefix: np.ndarray, start: int, end: int) -> np.ndarray:
         """The piece that each word spells between two positions, or -1."""
         key = self._key(prefix, start, end)
         at = np.searchsorted(self._sorted, key)
@@ -74,8 +67,8 @@ class PieceTable:
 TOGETHER = 1 << 16
 
 
-def word_groups(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, code points) of words of equal length, at most TOGETHER at once."""
+def word_groups(words: list[str], together: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, code points) of words of equal length, at most `together` of eight characters at once."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     order = np.argsort(sizes, kind="stable")
     cuts = np.flatnonzero(np.diff(sizes[order])) + 1
@@ -83,7 +76,7 @@ def word_groups(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = int(sizes[rows[0]]) if len(rows) else 0
         if not n:
             continue
-        most = max(1, TOGETHER * 8 // max(n, 8))
+        most = max(1, together * 8 // max(n, 8))
         for at in range(0, len(rows), most):
             few = rows[at: at + most]
             raw = "".join([words[i] for i in few.tolist()]).encode("utf-32-le", "surrogatepass")
@@ -245,12 +238,11 @@ def encode_table(docs: DataFrame, text_col: str = "text", vocabulary: str | None
     """
     path = vocabulary or vocabulary_path()
     rest = docs.drop("ids", "n_ids", "round_trip")
-    names = [F.col(f"`{c}`") for c in rest.columns]
-    rows = rest.select(F.struct(*names).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = rest.select(F.struct(*[F.col(f"`{c}`").alias("__text" if c == text_col else c) for c in rest.columns]).alias("row"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        texts = batch.column(1).to_pylist()
+        texts = column_of(batch, "row.__text").to_pylist()
         ids, counts = c.encode(texts)
         ends = np.concatenate(([0], np.cumsum(counts)))
         out = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(counts)]
@@ -261,8 +253,8 @@ def encode_table(docs: DataFrame, text_col: str = "text", vocabulary: str | None
 
     schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()),
                            *([T.StructField("round_trip", T.BooleanType())] if check else [])])
-    made = map_slices(rows, work, schema, most=4 << 20)
-    return made.select("row.*", *[c for c in ("ids", "n_ids", "round_trip") if c in made.columns])
+    made = map_slices(rows, work, schema, "row.__text", 4 << 20)
+    return made.select(*[F.col(f"row.`{'__text' if c == text_col else c}`").alias(c) for c in rest.columns], *[c for c in ("ids", "n_ids", "round_trip") if c in made.columns])
 
 
 def decode_table(rows: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
