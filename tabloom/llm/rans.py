@@ -87,15 +87,15 @@ def encode_block(table: Table, ids: np.ndarray, docs: list[int | None], sizes: n
     words: list[np.ndarray] = [np.zeros(0, dtype=np.uint16)] * steps
     states: dict[int, np.ndarray] = {}
     shift = np.uint64(16)
+    freqs, starts, ratios = table.freq[symbol], table.start[symbol], ratio[symbol]
+    limits = freqs << shift
     for t in range(steps - 1, -1, -1):
-        freq, start = table.freq[symbol[t]], table.start[symbol[t]]
-        over = x >= (freq << shift)
-        if over.any():
-            words[t] = x[over].astype(np.uint16)
-            x[over] >>= shift
+        over = x >= limits[t]
+        words[t] = x[over].astype(np.uint16)
+        x >>= over.astype(np.uint64) << np.uint64(4)
         # exact in doubles: a quotient below 2^32 is at least 2^-16 away from the next whole number
-        quotient = (x / ratio[symbol[t]]).astype(np.uint64)
-        x = (quotient << shift) + (x - quotient * freq) + start
+        quotient = (x / ratios[t]).astype(np.uint64)
+        x += quotient * (np.uint64(TOTAL) - freqs[t]) + starts[t]
         if t % stride == 0:
             states[t] = x.astype(np.uint32)
     first = np.cumsum([0, *(len(w) for w in words)])
