@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +18,18 @@ HOST_RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Share of the labelled addresses that a token combination must hold, and of these that must be bad.
+#: Share and number of the labelled addresses that must hold a token combination, and share of these that must be bad.
 MIN_SUPPORT = 0.01
+LEAST_PAGES = 20
 MIN_CONFIDENCE = 0.5
 #: The bad share among addresses with the combination, as a multiple of the bad share overall.
 MIN_LIFT = 1.5
 #: Tokens of a combination.
 MOST_TOKENS = 3
+#: Labels of a host from its end, first folders of a path and first parameters that become tokens.  Tokens that
+#: always stand together double the combinations with each further one, so their number is bounded.
+HOST_LABELS, FOLDERS, PARAMETERS = 4, 4, 4
 
-_BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,51 +64,56 @@ def with_host_rule(urls: DataFrame, url_col: str = "url", rules: tuple = HOST_RU
 
 
 def tokens_of(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of an address: scheme, labels of the host, its suffixes, folders of the path, names of parameters.
+    """Distinct tokens of an address: scheme, suffixes of the host, folders of the path, names of parameters.
 
     Runs of digits are one token each, whatever their value, so that numbered pages look alike.
     """
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat(
-        F.lit("host="), F.array_join(F.slice(labels, k, F.size(labels)), ".")))
-    folders = F.transform(F.filter(F.split(path, "/"), lambda p: p != ""), lambda p: F.concat(
+    most = F.least(F.size(labels), F.lit(HOST_LABELS))
+    suffixes = F.transform(F.sequence(F.lit(1), most), lambda k: F.concat(F.lit("host="), F.array_join(F.slice(labels, -k, k), ".")))
+    folders = F.transform(F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, FOLDERS), lambda p: F.concat(
         F.lit("path="), F.regexp_replace(p, "[0-9]+", "0")))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    names = F.transform(F.filter(F.split(query, "&"), lambda q: q != ""), lambda q: F.concat(F.lit("query="), F.split_part(q, F.lit("="), F.lit(1))))
+    names = F.transform(F.slice(F.filter(F.split(query, "&"), lambda q: q != ""), 1, PARAMETERS), lambda q: F.concat(F.lit("query="), F.split_part(q, F.lit("="), F.lit(1))))
     scheme = F.array(F.concat(F.lit("scheme="), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)))
     parts = [F.when(host != "", suffixes).otherwise(F.array().cast("array<string>")), folders, names, scheme]
     return F.coalesce(F.array_distinct(F.concat(*parts)), F.array().cast("array<string>"))
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               min_lift: float = MIN_LIFT, most_tokens: int = MOST_TOKENS) -> DataFrame:
+               min_lift: float = MIN_LIFT, most_tokens: int = MOST_TOKENS, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(rule_id, tokens, confidence, support, lift) of the token combinations that go with bad labels.
 
     `labelled` is (tokens, bad).  FP-growth counts frequent combinations over all labelled rows; those with
     the bad label, divided by those without it, are the confidence.  A combination is pruned when a part
     of it is a rule already, since whatever it blocks is blocked.
     """
-    baskets = labelled.filter("bad is not null").select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(_BAD)))).otherwise(F.col("tokens")).alias("items"), "bad")
+    baskets = labelled.filter("bad is not null").select(F.col("tokens").alias("items"), "bad")
     baskets = durable(baskets, "baskets")
     total = baskets.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).first()
     empty = baskets.select(F.lit(0).cast("long").alias("rule_id"), F.col("items").alias("tokens"), F.lit(0.0).alias("confidence"),
                            F.lit(0.0).alias("support"), F.lit(0.0).alias("lift")).limit(0)
-    if not total["bad"]:
+    need = max(math.ceil(min_support * total["n"]), least_pages)
+    need_bad = max(1, math.ceil(min_confidence * need))
+    if need_bad > total["bad"] or need > total["n"]:
         return empty
-    # combinations with the bad label are rare among all rows: support is counted over the bad rows first
-    bad_sets = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support)).fit(baskets.filter("bad").select("items")).freqItemsets
-    bad_sets = bad_sets.withColumn("tokens", F.array_sort(F.array_remove("items", _BAD))).filter(
-        F.array_contains("items", _BAD) & F.col("tokens").isNotNull() & F.size("tokens").between(1, most_tokens))
-    bad_sets = durable(bad_sets.select("tokens", F.col("freq").alias("n_bad")).distinct(), "bad-sets")
-    all_sets = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support)).fit(
-        baskets.select(F.array_remove("items", _BAD).alias("items"))).freqItemsets
-    all_sets = durable(all_sets.filter(F.size("items") <= most_tokens).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n")), "all-sets")
+    # a rule has at least `need` rows, hence `need_bad` bad ones; mining these first keeps both runs small
+    bad_sets = FPGrowth(itemsCol="items", minSupport=(need_bad - 0.5) / total["bad"]).fit(
+        baskets.filter("bad").select("items")).freqItemsets
+    fits = F.size("items").between(1, most_tokens)
+    bad_sets = durable(bad_sets.filter(fits).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")), "bad-sets")
+    all_sets = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / total["n"]).fit(baskets.select("items")).freqItemsets
+    all_sets = durable(all_sets.filter(fits).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n")), "all-sets")
     rules = bad_sets.join(all_sets, "tokens").withColumn("confidence", F.col("n_bad") / F.col("n")).withColumn(
         "support", F.col("n") / F.lit(total["n"])).withColumn("lift", F.col("confidence") / F.lit(total["bad"] / total["n"]))
-    rules = durable(rules.filter((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)), "rules")
-    # a rule with a part that is a rule is redundant: one less token at a time reaches every part
-    parts = rules.select("tokens", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
+    rules = durable(rules.filter((F.col("n") >= need) & (F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)), "rules")
+    # a rule with a part that is a rule is redundant; parts have one token less at a time
+    parts, part = None, rules.select("tokens", F.col("tokens").alias("part"))
+    for _ in range(most_tokens - 1):
+        part = part.select("tokens", F.explode(F.transform("part", lambda t: F.array_remove("part", t))).alias("part")).filter("size(part) > 0")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        parts = part.limit(0)
     longer = parts.join(rules.select(F.col("tokens").alias("part")), "part").select("tokens").distinct()
     return rules.join(longer, "tokens", "left_anti").select(
         F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support", "lift")
