@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import binary_views, map_slices
+from tabloom.llm.common import binary_views, column_of, map_slices
 
 #: Words of a window: a shorter item is one window of its own length.
 WINDOW = 10
@@ -90,6 +90,8 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def maximal(doc: np.ndarray, text: np.ndarray, at: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
     """(doc, place, words, text, offset) rows: hits that touch on one diagonal of a document and an item are one match."""
+    if not len(at):
+        return np.zeros((0, 5), dtype=np.int64)
     diagonal = at - offset
     order = np.lexsort((at, diagonal, text, doc))
     doc, text, at, offset, length, diagonal = (x[order] for x in (doc, text, at, offset, length, diagonal))
@@ -156,12 +158,11 @@ def find_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_c
     repeated rows stay repeated.  The new columns replace columns of the same names.
     """
     out = docs.drop("n_words", "matches")
-    names = [F.col(f"`{c}`") for c in out.columns]
-    state = out.select(F.struct(*names).alias("row"), F.col(f"`{text_col}`").alias("text"),
-                       F.lit(0).cast("long").alias("n_words"), F.array().cast(_MATCHES).alias("matches"))
+    inner = {c: "__text" if c == text_col else c for c in out.columns}
+    state = out.select(F.struct(*[F.col(f"`{c}`").alias(k) for c, k in inner.items()]).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_MATCHES).alias("matches"))
     for block in _item_blocks(bench, item_col, item_text, item_bytes):
         state = _search(state, Windows.build(block, window))
-    return state.select("row.*", "n_words", "matches")
+    return state.select(*[F.col(f"row.`{k}`").alias(c) for c, k in inner.items()], "n_words", "matches")
 
 
 _MATCHES = "array<struct<at:bigint,words:bigint,items:array<string>,offset:bigint>>"
@@ -171,14 +172,14 @@ def _search(state: DataFrame, windows: Windows) -> DataFrame:
     shared = state.sparkSession.sparkContext.broadcast(windows)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, matches = search_block(list(binary_views(batch.column(1))), shared.value)
-        before = batch.column(3)
+        counts, matches = search_block(list(binary_views(column_of(batch, "row.__text"))), shared.value)
+        before = batch.column(2)
         if any(len(x) for x in before):
             matches = [a + b for a, b in zip(before.to_pylist(), matches)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts), pa.array(matches, pa.list_(_MATCH))],
-                                          ["row", "text", "n_words", "matches"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(matches, pa.list_(_MATCH))],
+                                          ["row", "n_words", "matches"])
 
-    return map_slices(state, work, state.schema)
+    return map_slices(state, work, state.schema, "row.__text")
 
 
 def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
