@@ -62,4 +62,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Near copies, graph search, tokens, learned models and byte offsets are beyond SQL; their tests compare with brute force.
-ORACLES: dict[str, str] = {"op2_line_dedup": lines.SQL, "op4_benchmark_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": lines.SQL, "op4_benchmark_decontamination": decontaminate.SQL, "op5_url_filter": urls.SQL}

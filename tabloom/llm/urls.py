@@ -162,3 +162,47 @@ def labels_of_documents(pages: DataFrame, labels: DataFrame) -> DataFrame:
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.max((F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad"))
     return pages.select("url", number.alias("doc_id")).join(marks, "doc_id").select("url", "bad")
+
+
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in HOST_RULES)
+
+#: The same over the test tables: every combination of up to three tokens is counted instead of mined.
+SQL = f"""
+WITH pg AS (
+  SELECT row_number() OVER () AS r, page_id, url,
+    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+fixed (verdict, h, p) AS (VALUES {_RULE_ROWS}),
+ruled AS (
+  SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM pg, fixed WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+parts AS (
+  SELECT r, url, CASE WHEN host = '' THEN [] ELSE string_split(host, '.') END AS labels,
+    list_filter(string_split(path, '/'), lambda x: x <> '')[1:{FOLDERS}] AS folders,
+    list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1, 's'), '&'), lambda x: x <> '')[1:{PARAMETERS}] AS names FROM pg),
+tokens AS (
+  SELECT r, url, list_sort(list_distinct(list_concat(
+    list_transform(range(1, least(len(labels), {HOST_LABELS}) + 1), lambda k: 'host=' || array_to_string(labels[len(labels) - k + 1:], '.')),
+    list_transform(folders, lambda x: 'path=' || regexp_replace(x, '[0-9]+', '0', 'g')),
+    list_transform(names, lambda x: 'query=' || split_part(x, '=', 1)),
+    ['scheme=' || regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)]))) AS t FROM parts WHERE url IS NOT NULL),
+one AS (SELECT r, unnest(t) AS x FROM tokens),
+sets AS (
+  SELECT r, [x] AS s FROM one UNION ALL
+  SELECT a.r, [a.x, b.x] FROM one a JOIN one b ON a.r = b.r AND a.x < b.x UNION ALL
+  SELECT a.r, [a.x, b.x, c.x] FROM one a JOIN one b ON a.r = b.r AND a.x < b.x JOIN one c ON a.r = c.r AND b.x < c.x),
+marks AS (
+  SELECT doc_id, bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+known AS (
+  SELECT r, bad FROM pg JOIN marks
+    ON doc_id = TRY_CAST(regexp_extract(url, '://[^/?#]*/(?:[^/?#]*/)*([0-9]+)', 1) AS BIGINT)),
+total AS (SELECT count(*) AS n, count_if(bad) AS bad FROM known),
+need AS (SELECT *, greatest(ceil(CAST({MIN_SUPPORT} AS DOUBLE) * n), {LEAST_PAGES}) AS pages FROM total),
+counted AS (SELECT s, count(*) AS n, count_if(bad) AS bad FROM sets JOIN known USING (r) GROUP BY 1),
+rules AS (
+  SELECT s FROM counted c, need d WHERE c.n >= d.pages AND c.bad / c.n >= {MIN_CONFIDENCE}
+    AND (c.bad / c.n) / (d.bad / d.n) >= {MIN_LIFT}),
+blocked AS (SELECT DISTINCT r FROM sets JOIN rules USING (s))
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IS NOT NULL THEN verdict WHEN r IN (SELECT r FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
+FROM pg LEFT JOIN ruled USING (r)"""
