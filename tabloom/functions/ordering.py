@@ -13,21 +13,6 @@ from pyspark.sql import functions as F
 from tabloom.functions.stats import unpivot
 from tabloom.session import durable
 
-#: Largest estimated input that `percentile`, whose state holds every distinct value,
-#: may aggregate in one buffer.  Above it the bucketed plan is also the faster one.
-ONE_BUFFER_BYTES = 4 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_one_buffer(df: DataFrame, limit: int = ONE_BUFFER_BYTES) -> bool:
-    """The size check before an exact quantile may use one aggregation buffer."""
-    return estimated_bytes(df) <= limit
-
-
 def with_position(
     df: DataFrame,
     group: list[str],
@@ -68,19 +53,14 @@ def with_position(
     )
 
 
-def dense_number(values: DataFrame, group: list[str], col: str, name: str, limit: int = 1_000_000) -> DataFrame:
-    """0..k−1 in the order of a group's distinct values; computes `values` once.
+def dense_number(values: DataFrame, group: list[str], col: str, name: str) -> DataFrame:
+    """0..k−1 in the order of a group's distinct values.
 
-    Up to `limit` values are numbered in one task per group.  Beyond it they are range-partitioned,
-    the partition number is stored with them in a written table, and numbers are offsets per
-    partition.
+    The values are dealt by ranges and written with the number of their range; numbers are offsets per
+    range, so no group is ordered by one task.
     """
-    kept = durable(values.select(*group, col), "values")
-    if kept.count() <= limit:
-        placed = kept.withColumn("_p", F.lit(0))
-    else:
-        placed = durable(kept.repartitionByRange(*group, col).withColumn("_p", F.spark_partition_id()), "numbered")
-    whole = placed.withColumn("_g", F.lit(0))
+    dealt = values.select(*group, col).repartitionByRange(*group, col).withColumn("_p", F.spark_partition_id())
+    whole = durable(dealt, "numbered").withColumn("_g", F.lit(0))
     return with_position(whole, group or ["_g"], [col], F.col("_p"), name).drop("_g", "_p")
 
 
@@ -91,86 +71,81 @@ def hash_order(key: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def magnitude_bucket(v: Column, steps: int = 4096) -> Column:
-    """A number that never decreases with `v`: `steps` equal slices per power of two."""
+def order_code(v: Column) -> Column:
+    """A double's bits as a long that keeps the order of the values; NaN is the largest."""
+    one = F.lit(2.0**52)
     size = F.abs(v)
-    exponent = F.when(size > 0, F.floor(F.log2(size))).otherwise(F.lit(-1100))
-    exponent = F.least(F.greatest(exponent, F.lit(-1000)), F.lit(1023))
-    fraction = F.when(size > 0, size / F.pow(F.lit(2.0), exponent) - 1).otherwise(F.lit(0.0))
-    slice_ = F.least(F.greatest(F.floor(fraction * steps), F.lit(0)), F.lit(steps - 1))
-    code = (exponent + 1001) * steps + slice_ + 1
-    return F.when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0)).cast("long")
+    scale = lambda e: F.pow(F.lit(2.0), e)
+    near = F.greatest(F.floor(F.log2(F.when(size > 0, size))), F.lit(-1022))
+    # beside a power of two the logarithm may be one off
+    up, down = size / scale(near) >= 2, (size / scale(near) < 1) & (near > -1022)
+    e = F.when(up, near + 1).when(down, near - 1).otherwise(near)
+    bits = (e + 1022).cast("long") * F.lit(2**52) + (size / scale(e) * one).cast("long")
+    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 * 2**52)).otherwise(bits).cast("long")
+    return F.when(F.isnan(v), F.lit(2**63 - 1)).when(v < 0, -bits).otherwise(bits)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: list[str],
-    probs: list[float],
-    by: tuple[str, ...] = (),
-    one_buffer_bytes: int = ONE_BUFFER_BYTES,
-) -> DataFrame:
-    """Exact linear-interpolated quantiles as rows (by…, column, p, q).
+#: Bits of a code that one round of the selection looks at.
+RADIX_BITS = 16
 
-    Small inputs use `percentile`.  Beyond the size check the values are counted per distinct
-    value, located through a histogram of magnitude buckets, and only the buckets that hold a
-    wanted rank are ordered.
-    """
-    if fits_one_buffer(df.select(*by, *cols), one_buffer_bytes):
-        p_array = F.array(*[F.lit(float(p)) for p in probs])
-        aggs = [F.percentile(F.col(c).cast("double"), p_array).alias(c) for c in cols]
-        wide = (df.groupBy(*by) if by else df).agg(*aggs)
-        long = wide.unpivot(list(by), cols, "column", "_qs")
-        return long.select(
-            *by, "column",
-            F.explode(F.arrays_zip(p_array.alias("p"), F.col("_qs").alias("q"))).alias("_pq"),
-        ).select(*by, "column", F.col("_pq.p").alias("p"), F.col("_pq.q").alias("q"))
-
-    keys = [*by, "column"]
-    counts = (
-        unpivot(df, cols, "double", by).filter("value is not null")
-        .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", magnitude_bucket(F.col("value")))
-    )
-    hist = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_m"))
-    upto = Window.partitionBy(*keys).orderBy("_bucket")
-    targets = (
-        hist.withColumn("_end", F.sum("_m").over(upto))
-        .withColumn("_total", F.sum("_m").over(Window.partitionBy(*keys)))
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_rank", F.col("p") * (F.col("_total") - 1))
-        .withColumn("_lo", F.floor("_rank"))
-        .withColumn("_hi", F.ceil("_rank"))
-        .withColumn("_start", F.col("_end") - F.col("_m"))
-        .filter(
-            F.col("_lo").between(F.col("_start"), F.col("_end") - 1)
-            | F.col("_hi").between(F.col("_start"), F.col("_end") - 1)
-        )
-        .select(*keys, "_bucket", "p", "_rank", "_lo", "_hi", "_start")
-    )
-    inside = Window.partitionBy(*keys, "p", "_bucket").orderBy("value")
-    placed = (
-        counts.join(targets, [*keys, "_bucket"])
-        .withColumn("_to", F.col("_start") + F.sum("_n").over(inside))
-        .withColumn("_from", F.col("_to") - F.col("_n"))
-    )
-    hit = lambda r: F.max(F.when(F.col(r).between(F.col("_from"), F.col("_to") - 1), F.col("value")))
-    return (
-        placed.groupBy(*keys, "p")
-        .agg(hit("_lo").alias("_v0"), hit("_hi").alias("_v1"),
-             F.first(F.col("_rank") - F.col("_lo")).alias("_w"))
-        .select(*keys, "p", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_w")).alias("q"))
-    )
 
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact linear-interpolated quantiles as rows (by…, column, p, q).
 
-def quantile_columns(df: DataFrame, cols: list[str], probs: dict[str, float], by: tuple[str, ...] = (),
-                     **kw) -> DataFrame:
+    Radix selection: the leading bits of all values are counted with map-side combining, the slices that
+    hold a wanted rank are kept, and their rows are counted by the next bits until a slice holds one
+    value.  At most four rounds; a slice's counts, not its rows, meet in a task, so neither a hot group
+    nor a hot slice is ever ordered.  The rows left after the first round are written once.
+    """
+    key = F.struct(*by, "column").alias("_key")
+    cells = unpivot(df, cols, "double", by).filter("value is not null").select(
+        key, "value", order_code(F.col("value")).alias("_code"))
+    count = [F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")]
+    shift = 64 - RADIX_BITS
+    hist = cells.groupBy("_key", F.shiftright("_code", shift).alias("_slice")).agg(*count)
+    upto = Window.partitionBy("_key").orderBy("_slice")
+    ranks = F.explode(F.flatten(F.array(*[F.array(*[
+        F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"),
+                 fn(F.lit(float(p)) * (F.col("_total") - 1)).alias("rank")) for side, fn in (("lo", F.floor), ("hi", F.ceil))])
+        for p in probs])))
+    placed = hist.withColumn("_end", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(Window.partitionBy("_key")))
+    found = placed.withColumn("_w", ranks).withColumn("_before", F.col("_end") - F.col("_n")).filter(
+        F.col("_w.rank").between(F.col("_before"), F.col("_end") - 1))
+    state = ["_key", "_w", "_slice", "_before", "_lo", "_hi"]
+    found = durable(found.select(*state), "ranks")
+    done, left = found.filter("_lo <=> _hi"), None
+    while shift:
+        open_ = found.filter("not (_lo <=> _hi)")
+        if open_.limit(1).count() == 0:
+            break
+        slices = open_.select("_key", "_slice").distinct()
+        rows = (cells if left is None else left).withColumn("_slice", F.shiftright("_code", shift)).join(slices, ["_key", "_slice"])
+        if left is None:
+            left = durable(rows.select("_key", "value", "_code"), "slices")
+            rows = left.withColumn("_slice", F.shiftright("_code", shift))
+        shift -= RADIX_BITS
+        finer = rows.groupBy("_key", "_slice", F.shiftright("_code", shift).alias("_next")).agg(*count)
+        inside = Window.partitionBy("_key", "_slice").orderBy("_next")
+        finer = finer.withColumn("_end", F.sum("_n").over(inside)).join(open_.select("_key", "_w", "_slice", "_before"), ["_key", "_slice"])
+        first = F.col("_before") + F.col("_end") - F.col("_n")
+        hit = finer.filter(F.col("_w.rank").between(first, F.col("_before") + F.col("_end") - 1))
+        found = durable(hit.select("_key", "_w", F.col("_next").alias("_slice"), first.alias("_before"), "_lo", "_hi"), "ranks")
+        done = done.unionByName(found.filter("_lo <=> _hi"))
+    value = lambda side: F.max(F.when(F.col("_w.side") == side, F.col("_lo")))
+    share = F.first(F.col("_w.at") - F.floor(F.col("_w.at")))
+    return done.groupBy("_key", F.col("_w.p").alias("p")).agg(
+        (value("lo") + F.when(value("hi") == value("lo"), 0.0).otherwise((value("hi") - value("lo")) * share)).alias("q")).select(
+        "_key.*", "p", "q")
+
+
+def quantile_columns(df: DataFrame, cols: list[str], probs: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """One row per column (and group) with a named quantile in each output column."""
-    long = exact_quantiles(df, cols, sorted(set(probs.values())), by, **kw)
+    long = exact_quantiles(df, cols, sorted(set(probs.values())), by)
     aggs = [F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(n) for n, p in probs.items()]
     return long.groupBy(*by, "column").agg(*aggs)
 
 
-def column_medians(df: DataFrame, cols: list[str], **kw) -> DataFrame:
+def column_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row, one exact median per column."""
-    long = exact_quantiles(df, cols, [0.5], **kw)
+    long = exact_quantiles(df, cols, [0.5])
     return long.agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in cols])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.ordering import exact_quantiles, fits_one_buffer
+from tabloom.functions.ordering import exact_quantiles
 
 
 def r_squared(y: Column, yhat: Column) -> Column:
@@ -24,13 +24,11 @@ def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat", by: tupl
     a, p = F.col(y).cast("double"), F.col(yhat).cast("double")
     err = F.abs(a - p)
     zero = F.count_if(a == 0) > 0
-    one_pass = median and fits_one_buffer(df.select(*by, y, yhat))
     out = df.groupBy(*by).agg(
-        *([F.percentile(err, F.lit(0.5)).alias("median_ae")] if one_pass else []),
         F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("mse"), F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(err).alias("mae"), r_squared(a, p).alias("r2"), F.max(err).alias("max_error"),
         F.when(~zero, F.avg(F.try_divide(err, F.abs(a)))).alias("mape"))
-    if one_pass or not median:
+    if not median:
         return out
     mid = exact_quantiles(df.select(*by, err.alias("_e")), ["_e"], [0.5], by)
     if by:

@@ -51,14 +51,14 @@ def apply_impute(df: DataFrame, fill: dict) -> DataFrame:
 
 # ---------------------------------------------------------------- X2–X4 encode
 
-def category_codes(df: DataFrame, cols: list[str], null_as: str = "nan", limit: int = ONE_TASK_CATEGORIES) -> DataFrame:
+def category_codes(df: DataFrame, cols: list[str], null_as: str = "nan") -> DataFrame:
     """(column, value, code) for all text columns from one scan, codes 0..k−1 in value order.
 
     A null is the text 'nan'.
     """
     text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(null_as)).alias(c) for c in cols])
     values = value_counts(text, cols).select("column", "value")
-    return dense_number(values, ["column"], "value", "code", limit).select("column", "value", F.col("code").cast("long"))
+    return dense_number(values, ["column"], "value", "code").select("column", "value", F.col("code").cast("long"))
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.ordering import fits_one_buffer, quantile_columns
+from tabloom.functions.ordering import hash_order, quantile_columns
+from tabloom.session import durable
 from tabloom.functions.stats import (
     corrected_skew, describe_dtype, numeric_columns, paired_corr, text_columns, unpivot,
 )
@@ -59,17 +60,14 @@ def dataset_profile(df: DataFrame) -> DataFrame:
                        dtype[F.col("column")].alias("dtype"), "n", "missing")
 
 
-def sample_rows(df: DataFrame, n: int = 3) -> DataFrame:
-    """A1: a few rows for the report."""
-    return df.limit(n)
+def sample_rows(df: DataFrame, key: list[str], n: int = 3) -> DataFrame:
+    """A1: a few rows for the report, those with the smallest key hashes, so that every run shows the same."""
+    order = hash_order(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    return df.withColumn("_h", order).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def with_quantiles(df: DataFrame, cols: list[str], stats: dict, probs: dict[str, float]) -> DataFrame:
-    """Moments and exact quantiles per column: one scan when small, a second one beyond."""
-    if fits_one_buffer(df.select(*cols)):
-        wanted = F.array(*[F.lit(p) for p in probs.values()])
-        tall = _tall(df, cols, {**stats, "_q": lambda c: F.percentile(c.cast("double"), wanted)})
-        return tall.withColumns({n: F.col("_q")[i] for i, n in enumerate(probs)}).drop("_q")
+    """Moments and exact quantiles per column: one scan for the moments, two for the quantiles."""
     return _tall(df, cols, stats).join(quantile_columns(df, cols, probs), "column", "left")
 
 
@@ -223,16 +221,21 @@ def total_error_pct(df: DataFrame, actual: str, prediction: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins over the data range, the last one closed on the right."""
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
+    """Equal-width bins over the data range, the last one closed on the right.
+
+    The range and the counts come from one table of values with their numbers, so the input runs once.
+    """
+    counts = durable(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("n")), "values")
+    lo, hi = counts.agg(F.min("v"), F.max("v")).first()
     if lo is None:
         lo, hi = 0.0, 1.0
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
-    index = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("long")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counts, "bin", "left").select(
+    index = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).cast("long")
+    per_bin = counts.groupBy(index.alias("bin")).agg(F.sum("n").alias("n"))
+    return df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(per_bin, "bin", "left").select(
         "bin", (F.lit(lo) + F.col("bin") * width).alias("lower"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

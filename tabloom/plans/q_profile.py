@@ -206,14 +206,21 @@ def a1(spark, sf):
 
 
 _LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LI_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_LI_NUM]
+
+
+@query("A1_sample_rows", """SELECT p_partkey, p_name FROM part
+  ORDER BY CAST('0x' || substr(md5('42|' || p_partkey), 1, 15) AS BIGINT), p_partkey LIMIT 3""")
+def a1_sample(spark, sf):
+    return A.sample_rows(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_partkey"])
 
 
 @query("A2_numeric_describe", rnd(_union(
     f"""SELECT '{c}' AS "column", count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min,
     max({c}) AS max, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75
-    FROM lineitem""" for c in _LI_NUM), "mean std min max q25 q50 q75"))
+    FROM lineitem""" for c in _LI_ALL), "mean std min max q25 q50 q75"))
 def a2(spark, sf):
-    return A.numeric_describe(table(spark, sf, "lineitem"), _LI_NUM)
+    return A.numeric_describe(table(spark, sf, "lineitem"))
 
 
 def _tops(t, cols, k):

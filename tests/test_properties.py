@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.ordering import dense_number, exact_quantiles, with_position
+from tabloom.functions.ordering import dense_number, exact_quantiles, order_code, with_position
 from tabloom.operators import evaluate as E
 from tabloom.operators import fits, forecast, neighbours, panel, prep, profile, project, regularise, splits, windows
 from tabloom.session import scratch_path
@@ -32,33 +32,45 @@ def skewed(spark, n=4000, hot=0.5):
     return spark.createDataFrame(rows, "id long, k string, ds date, v double")
 
 
-def test_bucketed_quantiles_equal_the_direct_ones(spark):
+def test_quantiles_of_skewed_groups(spark):
     df = skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = {(r["k"], r["p"]): r["q"] for r in exact_quantiles(df, ["v"], probs, ("k",), one_buffer_bytes=0).collect()}
+    got = {(r["k"], r["p"]): r["q"] for r in exact_quantiles(df, ["v"], probs, ("k",)).collect()}
     want = df.toPandas().groupby("k")["v"].quantile(probs)
     assert len(got) == len(want)
     for key, q in got.items():
         assert q == pytest.approx(want[key], rel=1e-12, abs=1e-12)
 
 
-def test_profiles_beyond_the_size_check(spark, monkeypatch):
-    df = skewed(spark).select("v")
-    small = profile.numeric_describe(df).first().asDict()
-    monkeypatch.setattr(profile, "fits_one_buffer", lambda d: False)
-    monkeypatch.setattr("tabloom.functions.ordering.fits_one_buffer", lambda d, limit=0: False)
-    large = profile.numeric_describe(df).first().asDict()
-    for c in ("count", "q25", "q50", "q75"):
-        assert small[c] == large[c]
-
-
-def test_median_error_beyond_the_size_check(spark, monkeypatch):
+def test_quantiles_of_values_that_share_their_leading_bits(spark):
+    rng = random.Random(5)
+    stamps = [1_700_000_000 + k for k in range(0, 86_400, 7)] + [1_700_000_000] * 4000
+    big = [2.0**60 + rng.randrange(2**20) * 256 for _ in range(3000)]
+    odd = [5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 0.0, -0.0, 1.0, 2.0, 4.0, 0.5, 1 - 2**-53, 2 - 2**-52]
+    rows = [("stamps", float(v)) for v in stamps] + [("big", v) for v in big] + [("odd", v) for v in odd] + [(None, v) for v in odd] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
+    got = {(r["k"], r["p"]): r["q"] for r in exact_quantiles(df, ["v"], probs, ("k",)).collect()}
+    want = {(r["k"], p): q for r in df.filter("v is not null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).collect()
+            for p, q in zip(probs, r["q"])}
+    assert got == pytest.approx(want, rel=1e-15, abs=0)
+
+
+def test_codes_keep_the_order_of_doubles(spark):
+    rng = random.Random(6)
+    values = sorted({rng.choice([1, -1]) * rng.random() * 2.0 ** rng.randint(-1074, 1023) for _ in range(5000)} | {0.0} | {
+        float(s * 2.0**e) for s in (1, -1) for e in range(-1074, 1024, 13)})
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("code", order_code(F.col("v")))
+    codes = {r["v"]: r["code"] for r in df.collect()}
+    assert all(codes[a] < codes[b] for a, b in zip(values, values[1:]))
+
+
+def test_profile_and_median_error_against_percentile(spark):
     df = skewed(spark).select("k", F.col("v").alias("y"), (F.col("v") * 0.9 + 1).alias("yhat"))
-    direct = {r["k"]: r["median_ae"] for r in E.regression_metrics(df, by=("k",)).collect()}
-    monkeypatch.setattr(E, "fits_one_buffer", lambda d: False)
-    monkeypatch.setattr("tabloom.functions.ordering.fits_one_buffer", lambda d, limit=0: False)
-    other = {r["k"]: r["median_ae"] for r in E.regression_metrics(df, by=("k",)).collect()}
-    assert direct == pytest.approx(other)
+    described = profile.numeric_describe(df.select("y")).first()
+    assert [described[c] for c in ("q25", "q50", "q75")] == df.agg(F.percentile("y", F.array(*map(F.lit, (0.25, 0.5, 0.75))))).first()[0]
+    direct = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile(F.abs(F.col("y") - F.col("yhat")), 0.5).alias("m")).collect()}
+    assert {r["k"]: r["median_ae"] for r in E.regression_metrics(df, by=("k",)).collect()} == pytest.approx(direct)
 
 
 def test_positions_equal_row_number(spark):
@@ -79,7 +91,7 @@ def test_positions_with_null_group(spark):
 
 def test_numbering_beyond_one_task(spark):
     values = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"))
-    out = dense_number(values, [], "v", "code", limit=10)
+    out = dense_number(values, [], "v", "code")
     assert out.filter("v != code").count() == 0 and out.count() == 5000
 
 
@@ -236,7 +248,8 @@ def test_arima_follows_an_autoregression():
     y = [0.0]
     for _ in range(3000):
         y.append(0.8 * y[-1] + rng.normal())
-    out, sigma, _ = fits.fit_arima(np.array(y) + 5, 3, (1, 0, 0))
+    fit = fits.fit_arima(np.array(y) + 5, 3, (1, 0, 0))
+    out, sigma = fit.out, fit.sigma
     assert sigma == pytest.approx(1, abs=0.05)
     assert out[0] - np.mean(np.array(y) + 5) == pytest.approx(0.8 * (y[-1] - np.mean(y)), abs=0.1)
 
