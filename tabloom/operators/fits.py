@@ -9,6 +9,7 @@ grid of smoothing weights, trend-season a regression on Fourier terms.
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,26 @@ def _stable(coef: np.ndarray, lags: list[int]) -> np.ndarray:
     return out
 
 
-def _arima(y: np.ndarray, h: int, ar: list[int], diffs: list[int], ma: list[int]):
-    """(forecast, sigma, aic) of a regression on own lags and on lagged long-AR residuals."""
+@dataclass
+class Fit:
+    """A forecast with its spread, its one-step errors at the last rows of the series, and what it cost in parameters."""
+
+    out: np.ndarray
+    sigma: float
+    err: np.ndarray
+    params: int
+    order: tuple = ()
+
+    def aic(self, rows: int | None = None, floor: float = 0.0) -> float:
+        err = self.err[-rows:] if rows else self.err
+        return len(err) * np.log(max(float(err @ err) / len(err), floor, 1e-300)) + 2 * self.params
+
+
+def _arima(y: np.ndarray, h: int, ar: list[int], diffs: list[int], ma: list[int], order: tuple = ()) -> Fit | None:
+    """A regression on own lags and on lagged long-AR residuals.
+
+    One-step errors of the differenced series are those of the level, so errors of all orders compare.
+    """
     w, stack = y.astype(float), []
     for k in diffs:
         stack.append(w)
@@ -68,9 +87,8 @@ def _arima(y: np.ndarray, h: int, ar: list[int], diffs: list[int], ma: list[int]
         return None
     X = np.hstack([_shifted(w, ar, start), _shifted(resid, ma, start)])
     coef = np.linalg.lstsq(X, w[start:], rcond=None)[0] if X.shape[1] else np.empty(0)
+    coef = _stable(coef, ar)  # errors are those of the weights that forecast
     err = w[start:] - (X @ coef if X.shape[1] else 0.0)
-    var = max(float(err @ err) / len(err), 1e-12)
-    coef = _stable(coef, ar)
     past, noise = list(w), list(np.concatenate([np.zeros(start), err]))
     for _ in range(h):
         terms = [past[-k] for k in ar] + [noise[-k] for k in ma]
@@ -82,19 +100,27 @@ def _arima(y: np.ndarray, h: int, ar: list[int], diffs: list[int], ma: list[int]
         for v in out:
             level.append(level[-k] + v)
         out = np.array(level[k:])
-    if not np.all(np.isfinite(out)) or np.abs(out).max() > 1e3 * (np.abs(y).max() + 1):
+    if not np.all(np.isfinite(out)):
         return None
-    return out, var ** 0.5, len(err) * np.log(var) + 2 * (len(coef) + 1)
+    return Fit(out, float(np.sqrt(err @ err / len(err))), err, len(coef) + 1 + (not diffs), order)
 
 
-def _best(candidates):
+def _best(candidates, y: np.ndarray) -> Fit | None:
+    """The least criterion over the last rows that every candidate has an error for.
+
+    The floor of a variance is relative to the series, so the choice does not depend on its unit.
+    """
     found = [c for c in candidates if c is not None]
-    return min(found, key=lambda c: c[2]) if found else None
+    if not found:
+        return None
+    rows = min(len(c.err) for c in found)
+    floor = 1e-24 * float(y @ y) / max(len(y), 1)
+    return min(found, key=lambda c: c.aic(rows, floor))
 
 
 def _mean(y: np.ndarray, h: int):
     sd = float(y.std(ddof=1)) if len(y) > 1 else 0.0
-    return np.full(h, y.mean()), sd, float("nan")
+    return Fit(np.full(h, y.mean()), sd, y - y.mean(), 1, ("mean",))
 
 
 def _order(p: int, d: int, q: int):
@@ -102,19 +128,19 @@ def _order(p: int, d: int, q: int):
 
 
 def fit_arima(y, h, order=(1, 1, 1)):
-    return _arima(y, h, *_order(*order))
+    return _arima(y, h, *_order(*order), tuple(order))
 
 
 def fit_arima_grid(y, h):
-    return _best(_arima(y, h, *_order(*o)) for o in ARIMA_GRID) or fit_arima(y, h)
+    return _best([_arima(y, h, *_order(*o), o) for o in ARIMA_GRID], y) or fit_arima(y, h)
 
 
 def fit_sarima_grid(y, h):
     tried = []
     for s in PERIODS_LONG if len(y) > 50 else PERIODS_SHORT:
         if len(y) > 2 * s:
-            tried += [_arima(y, h, [1] + [s] * P, [1] + [s] * D, [1] + [s] * Q) for P, D, Q in SEASONAL_GRID]
-    return _best(tried) or fit_arima(y, h)
+            tried += [_arima(y, h, [1] + [s] * P, [1] + [s] * D, [1] + [s] * Q, (P, D, Q, s)) for P, D, Q in SEASONAL_GRID]
+    return _best(tried, y) or fit_arima(y, h)
 
 
 def _smooth(y: np.ndarray, h: int, trend, seasonal, m: int):
@@ -134,6 +160,7 @@ def _smooth(y: np.ndarray, h: int, trend, seasonal, m: int):
     if not trend:
         slope = ones * 0.0
     sse = np.zeros(len(grid))
+    errors = []
     for t, v in enumerate(y):
         s = season[t % m] if seasonal else 0.0
         base = level * slope if trend == "mul" else level + slope
@@ -141,6 +168,7 @@ def _smooth(y: np.ndarray, h: int, trend, seasonal, m: int):
             continue
         err = v - (base * s if seasonal == "mul" else base + s)
         sse += err * err
+        errors.append(err)
         clean = v / s if seasonal == "mul" else v - s
         new = a * clean + (1 - a) * base
         if trend == "mul":
@@ -160,13 +188,13 @@ def _smooth(y: np.ndarray, h: int, trend, seasonal, m: int):
         out = out * tail if seasonal == "mul" else out + tail
     if not np.all(np.isfinite(out)):
         return None
-    var = max(float(sse[i]) / len(y), 1e-12)
     free = 2 + (2 if trend else 0) + (1 + m if seasonal else 0)
-    return out, var ** 0.5, len(y) * np.log(var) + 2 * free
+    err = np.array(errors)[:, i]
+    return Fit(out, float(np.sqrt(err @ err / len(err))), err, free, (trend, seasonal))
 
 
 def fit_smoothing(y, h):
-    return _best(_smooth(y, h, t, s, SMOOTHING_PERIOD) for t, s in SMOOTHING_CONFIGS) or _mean(y, h)
+    return _best([_smooth(y, h, t, s, SMOOTHING_PERIOD) for t, s in SMOOTHING_CONFIGS], y) or _mean(y, h)
 
 
 def fit_trend_season(y, h, days):
@@ -181,8 +209,7 @@ def fit_trend_season(y, h, days):
     ridge = 1e-6 * len(y) * np.eye(X.shape[1])
     coef = np.linalg.solve(past.T @ past + ridge, past.T @ y)
     err = y - past @ coef
-    var = max(float(err @ err) / len(y), 1e-12)
-    return X[len(y):] @ coef, var ** 0.5, len(y) * np.log(var) + 2 * X.shape[1]
+    return Fit(X[len(y):] @ coef, float(np.sqrt(err @ err / len(y))), err, X.shape[1], ("trend", "season"))
 
 
 METHODS = {"arima": fit_arima, "arima_grid": fit_arima_grid, "sarima_grid": fit_sarima_grid,
@@ -213,40 +240,53 @@ def forecast_fitted(train: DataFrame, horizon: int, method: str, skip_failures:
             got = _fit(method, y, horizon, np.concatenate([days, ahead]).astype(int), skip_failures, **params)
         if got is None:
             return pd.DataFrame(columns=["unique_id", "ds", "step", "yhat", "sigma", "aic", "train_size"])
-        out, sigma, aic = got
         return pd.DataFrame({"unique_id": pdf["unique_id"].iloc[0], "ds": ahead.astype(object),
-                             "step": np.arange(1, horizon + 1, dtype="int32"), "yhat": out, "sigma": sigma,
-                             "aic": None if aic != aic else aic, "train_size": len(y)})
+                             "step": np.arange(1, horizon + 1, dtype="int32"), "yhat": got.out, "sigma": got.sigma,
+                             "aic": None if got.order == ("mean",) else got.aic(), "train_size": len(y)})
 
     rows = train.filter(F.col("y").isNotNull()).select("unique_id", "ds", "y")
     return rows.groupBy("unique_id").applyInPandas(one, FORECAST_SCHEMA)
 
 
-def backtest_fitted(panel: DataFrame, method: str = "arima", min_points: int = 20, fraction: float = 0.8,
-                    **params) -> DataFrame:
-    """Q1: days with sales only, first 80 % train, forecasts aligned with the remaining days.
-
-    Series with too few points and failed fits give no rows.  Output: the test rows with yhat,
-    aic and train_size.
-    """
+def backtest_attempts(panel: DataFrame, method: str = "arima", min_points: int = 20, fraction: float = 0.8,
+                      **params) -> DataFrame:
+    """Every series with sales: its test days with yhat, or one row that says why there is no forecast."""
     active = nonzero_filter(panel).select("unique_id", "ds", "y")
-    size = active.groupBy("unique_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = active.join(size.filter(F.col("_n") >= min_points), "unique_id", "left_semi")
-    split = holdout_fraction(kept, ["unique_id"], ["ds"], F.trunc("ds", "year"), fraction)
+    split = holdout_fraction(active, ["unique_id"], ["ds"], F.trunc("ds", "year"), fraction)
+    columns = ["unique_id", "ds", "y", "yhat", "aic", "train_size", "reason"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         train, test = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
-        empty = pd.DataFrame(columns=["unique_id", "ds", "y", "yhat", "aic", "train_size"])
+
+        def skipped(why: str) -> pd.DataFrame:
+            return pd.DataFrame([[pdf["unique_id"].iloc[0], None, None, None, None, len(train), why]], columns=columns)
+
+        if len(pdf) < min_points:
+            return skipped(f"fewer than {min_points} days with sales")
         if not len(test) or not len(train):
-            return empty
+            return skipped("no days to train on or to test")
         days = pd.to_datetime(pdf["ds"]).to_numpy().astype("datetime64[D]").astype(int)
         with np.errstate(all="ignore"):
             got = _fit(method, train["y"].to_numpy(float), len(test), days, True, **params)
         if got is None:
-            return empty
-        return pd.DataFrame({"unique_id": pdf["unique_id"].iloc[0], "ds": test["ds"].to_numpy(),
-                             "y": test["y"].to_numpy(float), "yhat": got[0], "aic": got[2], "train_size": len(train)})
+            return skipped("the model could not be fitted")
+        return pd.DataFrame({"unique_id": pdf["unique_id"].iloc[0], "ds": test["ds"].to_numpy(), "y": test["y"].to_numpy(float),
+                             "yhat": got.out, "aic": got.aic(), "train_size": len(train), "reason": None})
 
     return split.groupBy("unique_id").applyInPandas(
-        one, "unique_id string, ds date, y double, yhat double, aic double, train_size long")
+        one, "unique_id string, ds date, y double, yhat double, aic double, train_size long, reason string")
+
+
+def backtest_fitted(panel: DataFrame, method: str = "arima", min_points: int = 20, fraction: float = 0.8,
+                    **params) -> DataFrame:
+    """Q1: days with sales only, first 80 % train, forecasts aligned with the remaining days.
+
+    Output: the test rows with yhat, aic and train_size; `skipped_series` lists the series without a forecast.
+    """
+    return backtest_attempts(panel, method, min_points, fraction, **params).filter("reason is null").drop("reason")
+
+
+def skipped_series(panel: DataFrame, method: str = "arima", min_points: int = 20, fraction: float = 0.8, **params) -> DataFrame:
+    """Q1: (unique_id, reason) of the series without a forecast."""
+    return backtest_attempts(panel, method, min_points, fraction, **params).filter("reason is not null").select("unique_id", "reason")
