@@ -10,7 +10,6 @@ A daily panel bounds a series by its days.  For finer data without such a bound,
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -118,33 +117,36 @@ def distance_from_rolling(df: DataFrame, s: Series = PANEL, windows=ROLLING) ->
         f"dist_from_{a}_{n}": s.y - F.col(f"rolling_{a}_{n}") for n in windows for a in ("mean", "median")})
 
 
-def ewm_rows(alpha: float, precision: float = 1e-16) -> int:
-    """Rows after which a weight is below double precision."""
-    return math.ceil(math.log(precision) / math.log(1 - alpha)) + 1
-
-
-def _decay(keep: float):
-    """One fold step: both sums shrink, then the new value joins."""
-    def step(acc, x):
-        return F.struct(
-            (acc["num"] * keep + F.coalesce(x["v"], F.lit(0.0))).alias("num"),
-            (acc["den"] * keep + F.when(x["v"].isNull(), 0.0).otherwise(1.0)).alias("den"))
-    return step
-
-
 def ewm(df: DataFrame, s: Series = PANEL, alphas=ALPHAS) -> DataFrame:
     """Adjusted exponentially weighted mean, and the distance from it.
 
-    The frame is cut where weights vanish in double precision, so the state per row is bounded.
-    A null value keeps its place: it decays the weights and adds nothing.
+    One fold over each series, which its days bound, carries the mean and the weight behind it for all
+    rates at once.  A null value shrinks the weight and leaves the mean as it is; before the first value
+    the mean is null.
     """
-    cols = {}
-    for a in alphas:
-        seen = F.collect_list(F.struct(s.y.cast("double").alias("v"))).over(s.last(ewm_rows(a)))
-        start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-        cols[f"ewm_{a}"] = F.aggregate(seen, start, _decay(1.0 - a), lambda acc: F.try_divide(acc["num"], acc["den"]))
-    out = df.withColumns(cols)
-    return out.withColumns({f"dist_from_ewm_{a}": s.y - F.col(f"`ewm_{a}`") for a in alphas})
+    rest = [c for c in df.columns if c not in s.ids]
+    names = [f"ewm_{a}" for a in alphas]
+    rows = df.select(*s.ids, F.struct(s.time, *[c for c in rest if c != s.time]).alias("_row"))
+    whole = rows.groupBy(*s.ids).agg(F.array_sort(F.collect_list("_row"), lambda a, b: F.when(
+        a[s.time] < b[s.time], -1).when(a[s.time] > b[s.time], 1).otherwise(0)).alias("_rows"))
+    null, kind = F.lit(None).cast("double"), "array<struct<" + ",".join(f"`{n}`:double" for n in names) + ">>"
+    start = F.struct(F.array(*[null] * len(names)).alias("mean"), F.array(*[F.lit(0.0)] * len(names)).alias("weight"),
+                     F.array().cast(kind).alias("out"))
+
+    def step(acc, x):
+        v = x[s.value].cast("double")
+        shrunk = [acc["weight"][i] * (1.0 - a) for i, a in enumerate(alphas)]
+        mean = [F.when(v.isNull(), acc["mean"][i]).otherwise(
+            (F.coalesce(acc["mean"][i], F.lit(0.0)) * w + v) / (w + 1.0)) for i, w in enumerate(shrunk)]
+        weight = [F.when(v.isNull(), w).otherwise(w + 1.0) for w in shrunk]
+        out = F.struct(*[m.alias(n) for m, n in zip(mean, names)])
+        return F.struct(F.array(*mean).alias("mean"), F.array(*weight).alias("weight"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    folded = whole.withColumn("_out", F.aggregate("_rows", start, step, lambda acc: acc["out"]))
+    out = folded.select(*s.ids, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_out").alias("e"))).alias("_x")).select(
+        *s.ids, "_x.r.*", "_x.e.*")
+    return out.select(*df.columns, *[F.col(f"`{n}`") for n in names],
+                      *[(s.y - F.col(f"`ewm_{a}`")).alias(f"dist_from_ewm_{a}") for a in alphas])
 
 
 def differences(df: DataFrame, s: Series = PANEL, periods=DIFFS) -> DataFrame:
@@ -201,10 +203,10 @@ def zscore_regime(df: DataFrame, s: Series = PANEL, windows=REGIME, limit: float
 
 
 def all_features(df: DataFrame, s: Series = PANEL) -> DataFrame:
-    """W1–W12 over one shuffle and one sort."""
+    """W1–W12 over one shuffle and one sort; the fold over whole series comes before the rows are sorted."""
     df = spread(df, s)
-    for step in (lags, rolling_basic, rolling_quantiles, rolling_shape, distance_from_rolling, ewm,
-                 differences, autocorr, volatility, rolling_trend, ma_ratio_diff, zscore_regime):
+    for step in (ewm, lags, rolling_basic, rolling_quantiles, rolling_shape, distance_from_rolling, differences,
+                 autocorr, volatility, rolling_trend, ma_ratio_diff, zscore_regime):
         df = step(df, s)
     return df
 
