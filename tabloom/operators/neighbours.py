@@ -7,9 +7,13 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator, Model
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.ordering import dense_number
 from tabloom.session import durable
@@ -17,30 +21,34 @@ from tabloom.session import durable
 
 # ---------------------------------------------------------------- k nearest neighbours
 
-def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = 20_000) -> DataFrame:
-    """Exact k nearest reference rows per query: (qid, rid, y, dist).
+#: Reference rows of a cell, rows of a block that one task takes, and the most cells (their centres are sent to all tasks).
+CELL_ROWS, BLOCK_ROWS, MOST_CELLS = 2_000, 20_000, 4_096
+
 
-    Inputs: queries (qid, vec), reference (rid, vec, y).  Both sides are cut into blocks by id
-    hash; a task meets one query block and one reference block and returns only its k best per
-    query, so no pair list is ever built and no side is broadcast.
+def _meet(queries: DataFrame, reference: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The k best reference rows of each query within each of its cells: (qid, rid, y, dist).
+
+    A crowded cell is cut into blocks on both sides; a task meets one block of queries and one of
+    reference rows and returns its k best per query.
     """
-    nq = max(1, math.ceil(queries.count() / block_rows))
-    nr = max(1, math.ceil(reference.count() / block_rows))
-    slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.select("qid", "vec", slot("qid", nq).alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("br"))
-    right = reference.select("rid", "vec", F.col("y").cast("double").alias("y"), slot("rid", nr).alias("br"),
-                             F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("bq"))
+    blocks = lambda df, n: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(n))
+    sizes = blocks(queries, "nq").join(blocks(reference, "nr"), "cell")
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(sizes, "cell").select("cell", "qid", "vec", slot("qid", "nq").alias("bq"), every("nr").alias("br"))
+    right = reference.join(sizes, "cell").select("cell", "rid", "vec", "y", slot("rid", "nr").alias("br"), every("nq").alias("bq"))
 
     def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"qid": [], "rid": [], "y": [], "dist": []})
+        r = r.sort_values("rid")
         R = np.stack(r["vec"].to_numpy()).astype(float)
         out = []
-        for start in range(0, len(q), 256):
-            part = q.iloc[start:start + 256]
+        step = max(1, min(256, int(2e7 // max(R.size, 1))))
+        for start in range(0, len(q), step):
+            part = q.iloc[start: start + step]
             Q = np.stack(part["vec"].to_numpy()).astype(float)
-            d = np.sqrt(((Q[:, None, :] - R[None, :, :]) ** 2).sum(axis=2)) if R.size * len(Q) < 2e7 else np.stack(
-                [np.sqrt(((v - R) ** 2).sum(axis=1)) for v in Q])
+            d = np.sqrt(((Q[:, None, :] - R[None, :, :]) ** 2).sum(axis=2))
             take = np.argsort(d, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(Q)), take.shape[1])
             cols = take.ravel()
@@ -48,10 +56,88 @@ def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: in
                                      "y": r["y"].to_numpy()[cols], "dist": d[rows, cols]}))
         return pd.concat(out)
 
-    found = left.groupBy("bq", "br").cogroup(right.groupBy("bq", "br")).applyInPandas(
-        best, "qid long, rid long, y double, dist double")
+    keys = ["cell", "bq", "br"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "qid long, rid long, y double, dist double")
+
+
+def _centres(reference: DataFrame, rows: int, cell_rows: int, seed: int = 42) -> np.ndarray:
+    cells = min(MOST_CELLS, math.ceil(rows / cell_rows))
+    ready = reference.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    if cells <= 1:
+        return np.array([ready.select(Summarizer.mean(F.col("features"))).first()[0].toArray()])
+    return np.array(KMeans(k=cells, seed=seed, maxIter=5, initMode="random").fit(ready).clusterCenters())
+
+
+def _in_cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The rows with the number of their nearest centre and the distance from it."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("off", T.DoubleType())])
+
+    def place(frames):
+        for pdf in frames:
+            if len(pdf):
+                V = np.stack(pdf["vec"].to_numpy()).astype(float)
+                d = np.stack([np.sqrt(((shared.value - v) ** 2).sum(axis=1)) for v in V])
+                yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), off=d.min(axis=1))
+
+    return rows.mapInPandas(place, schema)
+
+
+def _reached(queries: DataFrame, radius: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(qid, vec, cell): the cells beside its own that may hold a row as near as a query's k-th so far."""
+    sizes = np.full(len(centres), -np.inf)
+    for r in radius.collect():  # one row per cell
+        sizes[r["cell"]] = r["radius"]
+    shared = queries.sparkSession.sparkContext.broadcast((centres, sizes))
+
+    def reach(frames):
+        centre, size = shared.value
+        for pdf in frames:
+            ids, vecs, cells = [], [], []
+            for qid, vec, own, kth in zip(pdf["qid"], pdf["vec"], pdf["cell"], pdf["kth"]):
+                near = np.sqrt(((centre - np.asarray(vec, dtype=float)) ** 2).sum(axis=1)) - size
+                # a distance may be off in its last bits
+                for c in np.flatnonzero(near <= kth + 1e-9 * (1 + abs(kth)) if np.isfinite(kth) else np.isfinite(size)).tolist():
+                    if c != own:
+                        ids.append(qid)
+                        vecs.append(vec)
+                        cells.append(c)
+            yield pd.DataFrame({"qid": ids, "vec": vecs, "cell": np.array(cells, dtype="int32")})
+
+    kind = queries.schema["vec"].dataType.simpleString()
+    return queries.select("qid", "vec", "cell", "kth").mapInPandas(reach, f"qid long, vec {kind}, cell int")
+
+
+def nearest(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS,
+            cells_asked: list | None = None) -> DataFrame:
+    """Exact k nearest reference rows per query: (qid, rid, y, dist).
+
+    Inputs: queries (qid, vec), reference (rid, vec, y).  Reference rows lie in k-means cells with a
+    radius.  A query first meets its own cell; then only cells whose centre is nearer than its k-th
+    distance so far plus their radius can hold a better row, and these it meets too.  No pair list
+    is built.  `cells_asked`, where given, receives the table of further cells for reports.
+    """
     ranked = Window.partitionBy("qid").orderBy("dist", "rid")
-    return found.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= k).drop("_r")
+    first_k = lambda df: df.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= k).drop("_r")
+    right = reference.select(F.col("rid").cast("long").alias("rid"), "vec", F.col("y").cast("double").alias("y"))
+    rows = right.count()
+    if not rows:
+        return queries.select(F.col("qid").cast("long").alias("qid"), F.lit(0).cast("long").alias("rid"), F.lit(0.0).alias("y"),
+                              F.lit(0.0).alias("dist")).limit(0)
+    centres = _centres(right, rows, cell_rows)
+    right = durable(_in_cells(right, centres), "cells")
+    left = durable(_in_cells(queries.select(F.col("qid").cast("long").alias("qid"), "vec"), centres), "asked")
+    own = _meet(left, right, k, block_rows)
+    if len(centres) == 1:
+        return first_k(own)
+    own = durable(first_k(own), "own")
+    kth = own.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(float("inf")).alias("kth"))
+    radius = right.groupBy("cell").agg(F.max("off").alias("radius"))
+    asked = left.join(kth, "qid", "left").fillna(float("inf"), ["kth"])
+    further = durable(_reached(asked, radius, centres), "further")
+    if cells_asked is not None:
+        cells_asked.append(further.join(right.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")), "cell"))
+    return first_k(own.unionByName(_meet(further, right, k, block_rows)))
 
 
 def _weights(neighbours: DataFrame) -> DataFrame:
@@ -72,6 +158,48 @@ def knn_classify(neighbours: DataFrame) -> DataFrame:
     return votes.groupBy("qid").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("yhat"))
 
 
+class KNeighbors(Estimator):
+    """M8 as an estimator: keeps the training rows and asks them; regression or classification."""
+
+    def __init__(self, k: int = 5, classes: int | None = None) -> None:
+        super().__init__()
+        self.k, self.classes = k, classes
+
+    def _fit(self, rows: DataFrame) -> KNeighborsModel:
+        kept = rows.select(F.monotonically_increasing_id().alias("rid"), vector_to_array("features").alias("vec"), F.col("label").alias("y"))
+        return KNeighborsModel(durable(kept, "neighbours"), self.k, self.classes)
+
+
+class KNeighborsModel(Model):
+    """Adds `prediction`, and for classes `probability`, to rows with `features`."""
+
+    def __init__(self, rows: DataFrame, k: int, classes: int | None) -> None:
+        super().__init__()
+        self.rows, self.k, self.classes = rows, k, classes
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        # written once, so that a row keeps its number in the search and in the join back
+        asked = durable(dataset.withColumn("_qid", F.monotonically_increasing_id()), "asked")
+        found = nearest(asked.select(F.col("_qid").alias("qid"), vector_to_array("features").alias("vec")), self.rows, self.k)
+        if self.classes is None:
+            out = knn_regress(found).withColumnRenamed("yhat", "prediction")
+        else:
+            votes = _weights(found).groupBy("qid").agg(*[
+                (F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"_p{c}") for c in range(self.classes)])
+            out = votes.select("qid", array_to_vector(F.array(*[f"_p{c}" for c in range(self.classes)])).alias("probability")).join(
+                knn_classify(found).withColumnRenamed("yhat", "prediction"), "qid")
+        return asked.join(out, asked["_qid"] == out["qid"], "left").drop("_qid", "qid")
+
+    def save_rows(self, path: str) -> None:
+        self.rows.withColumns({"_k": F.lit(self.k), "_classes": F.lit(self.classes).cast("int")}).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load_rows(cls, spark: SparkSession, path: str) -> KNeighborsModel:
+        rows = spark.read.parquet(path)
+        k, classes = rows.select("_k", "_classes").first()
+        return cls(rows.drop("_k", "_classes"), k, classes)
+
+
 # ---------------------------------------------------------------- centres
 
 def kmeans(rows: DataFrame, k: int = 5, seed: int = 42, max_iter: int = 300) -> DataFrame:
