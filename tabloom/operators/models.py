@@ -19,27 +19,66 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.calendar import add, calendar_columns, period_columns
 from tabloom.operators.evaluate import classification_metrics, regression_metrics
+from tabloom.operators.neighbours import KNeighbors
 from tabloom.operators.splits import future_spine
 from tabloom.operators.windows import PANEL
 
 SEED = 42
 
 
-def regressor(name: str, trees: int | None = None, rows: int | None = None) -> Estimator:
-    """M1–M5.  Ridge penalises the sum of squares, MLlib the mean, so its weight is 1 / rows."""
+class Penalised(Estimator):
+    """A linear estimator whose penalty is stated against the sum over the rows that are fitted.
+
+    MLlib penalises the mean, and its squared regression runs on a label divided by its standard
+    deviation, so the weights depend on the rows at hand; they are set at each fit, also inside a search
+    or a fold.  With n rows and a label deviation s: `alpha` of a ridge is alpha * s / n; of an elastic net
+    with share l of the absolute penalty, alpha * (l + (1 - l) * s); the inverse weight `C` is 1 / (C * n).
+    """
+
+    alpha = Param(Params._dummy(), "alpha", "weight of the penalty", TypeConverters.toFloat)
+    l1Ratio = Param(Params._dummy(), "l1Ratio", "share of the absolute penalty", TypeConverters.toFloat)
+    C = Param(Params._dummy(), "C", "inverse weight of the penalty", TypeConverters.toFloat)
+
+    def __init__(self, inner: Estimator, kind: str, alpha: float = 1.0, l1Ratio: float = 0.0, C: float = 1.0) -> None:
+        super().__init__()
+        self.inner, self.kind = inner, kind
+        self._setDefault(alpha=alpha, l1Ratio=l1Ratio, C=C)
+
+    def _fit(self, rows: DataFrame) -> Model:
+        n, sd = rows.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+        n, sd = max(n, 1), sd or 1.0
+        alpha, l1 = self.getOrDefault(self.alpha), self.getOrDefault(self.l1Ratio)
+        fit = self.inner.copy()
+        one = fit.getClassifier() if isinstance(fit, OneVsRest) else fit
+        if self.kind == "ridge":
+            one.setRegParam(alpha * sd / n)
+        elif self.kind == "elastic":
+            weight = alpha * (l1 + (1 - l1) * sd)
+            one.setRegParam(weight).setElasticNetParam(alpha * l1 / weight if weight else 0.0)
+        else:
+            one.setRegParam(1.0 / (self.getOrDefault(self.C) * n))
+            if one.hasParam("elasticNetParam"):
+                one.setElasticNetParam(l1)
+        return fit.fit(rows)
+
+
+# The hyper-parameters of the constructors below.
+def regressor(name: str, trees: int | None = None) -> Estimator:
+    """M1–M5."""
     flat = {"standardization": False}
     made = {
         "LinearRegression": lambda: LinearRegression(**flat),
-        "Ridge": lambda: LinearRegression(regParam=1.0 / max(rows or 1, 1), elasticNetParam=0.0, **flat),
-        "Lasso": lambda: LinearRegression(regParam=1.0, elasticNetParam=1.0, maxIter=2000, **flat),
-        "ElasticNet": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.5, maxIter=2000, **flat),
+        "Ridge": lambda: Penalised(LinearRegression(elasticNetParam=0.0, **flat), "ridge", alpha=1.0),
+        "Lasso": lambda: Penalised(LinearRegression(maxIter=2000, **flat), "elastic", alpha=1.0, l1Ratio=1.0),
+        "ElasticNet": lambda: Penalised(LinearRegression(maxIter=2000, **flat), "elastic", alpha=1.0, l1Ratio=0.5),
         "HuberRegressor": lambda: LinearRegression(loss="huber", epsilon=1.35, maxIter=1000, **flat),
         "DecisionTreeRegressor": lambda: DecisionTreeRegressor(maxDepth=10, minInstancesPerNode=5, seed=SEED),
         "RandomForestRegressor": lambda: RandomForestRegressor(
@@ -52,6 +91,7 @@ def regressor(name: str, trees: int | None = None, rows: int | None = None) -> E
         "XGBRegressor": lambda: GBTRegressor(
             maxIter=trees or 200, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED),
         "CatBoostRegressor": lambda: GBTRegressor(maxIter=trees or 300, stepSize=0.1, maxDepth=6, seed=SEED),
+        "KNeighborsRegressor": lambda: KNeighbors(5),
     }
     return made[name]()
 
@@ -63,11 +103,11 @@ def classifier(name: str, classes: int = 2, features: int = 1, trees: int | None
         return one if classes == 2 else OneVsRest(classifier=one, parallelism=4)
 
     def vector():
-        one = LinearSVC(regParam=0.01, maxIter=100)
-        return one if classes == 2 else OneVsRest(classifier=one, parallelism=4)
+        one = LinearSVC(maxIter=100, standardization=False)
+        return Penalised(one if classes == 2 else OneVsRest(classifier=one, parallelism=4), "inverse", C=1.0)
 
     made = {
-        "LogisticRegression": lambda: LogisticRegression(maxIter=2000, regParam=0.0),
+        "LogisticRegression": lambda: Penalised(LogisticRegression(maxIter=2000, standardization=False), "inverse", C=1.0),
         "DecisionTreeClassifier": lambda: DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=5, seed=SEED),
         "RandomForestClassifier": lambda: RandomForestClassifier(
             numTrees=trees or 200, maxDepth=15, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=SEED),
@@ -78,7 +118,8 @@ def classifier(name: str, classes: int = 2, features: int = 1, trees: int | None
         "XGBClassifier": lambda: boosted(0.1, 6, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
         "SVC": vector,
         "GaussianNB": lambda: NaiveBayes(modelType="gaussian"),
-        "MLPClassifier": lambda: MultilayerPerceptronClassifier(layers=[features, 100, 50, classes], maxIter=200, seed=SEED),
+        "KNeighborsClassifier": lambda: KNeighbors(5, classes),
+        "MLPClassifier": lambda: MultilayerPerceptronClassifier(layers=[features, 100, 50, classes], maxIter=2000, seed=SEED),
     }
     return made[name]()
 
@@ -116,7 +157,7 @@ def train_models(train: DataFrame, estimators: dict[str, Estimator]) -> tuple[di
 def _metrics(rows: DataFrame, task: str, by: tuple[str, ...]) -> DataFrame:
     if task == "regression":
         return regression_metrics(rows, by=by, median=False)
-    return classification_metrics(rows, by=by)
+    return classification_metrics(rows, by=by, average="weighted")
 
 
 def cross_validate(train: DataFrame, estimators: dict[str, Estimator], task: str, fold: str = "fold",
@@ -147,7 +188,7 @@ GRIDS = {
     "RandomForestClassifier": {"numTrees": [100, 200], "maxDepth": [10, 15, 30], "minInstancesPerNode": [1, 2]},
     "GradientBoostingRegressor": {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 6]},
     "GradientBoostingClassifier": {"maxIter": [100, 200], "stepSize": [0.05, 0.1], "maxDepth": [3, 6]},
-    "Ridge": {"regParam": [0.1, 1.0, 10.0]},
+    "Ridge": {"alpha": [0.1, 1.0, 10.0]},
 }
 RANDOM_SPACES = {
     "RandomForestRegressor": {"numTrees": [100, 200, 300], "maxDepth": [10, 15, 20, 30], "minInstancesPerNode": [1, 2, 4],
@@ -158,9 +199,9 @@ RANDOM_SPACES = {
                                   "maxDepth": [3, 5, 7, 9], "subsamplingRate": [0.7, 0.8, 0.9, 1.0]},
     "XGBRegressor": {"maxIter": [100, 200, 300], "stepSize": [0.01, 0.05, 0.1, 0.15], "maxDepth": [3, 5, 7, 9],
                      "subsamplingRate": [0.7, 0.8, 0.9, 1.0], "featureSubsetStrategy": ["0.7", "0.8", "0.9", "1.0"]},
-    "Ridge": {"regParam": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]},
-    "Lasso": {"regParam": [0.0001, 0.001, 0.01, 0.1, 1.0]},
-    "LogisticRegression": {"regParam": [100.0, 10.0, 1.0, 0.1, 0.01], "elasticNetParam": [1.0, 0.0]},
+    "Ridge": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]},
+    "Lasso": {"alpha": [0.0001, 0.001, 0.01, 0.1, 1.0]},
+    "LogisticRegression": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "l1Ratio": [1.0, 0.0]},
 }
 
 
@@ -207,6 +248,15 @@ def random_search(train: DataFrame, name: str, est: Estimator, task: str, rows:
     return search(train, est, maps, task, folds)
 
 
+def tuned(train: DataFrame, name: str, est: Estimator, task: str, rows: int, folds: int, draws: int | None) -> tuple[Model, Estimator]:
+    """E5 for a run: the model refitted with the best drawn parameters, and an estimator that has them."""
+    maps = draw_params(est, RANDOM_SPACES[name], draws or (20 if rows < 1000 else 50))
+    model, table = search(train, est, maps, task, folds)
+    best = top_combinations(table, task, 1).first()["params"]
+    chosen = next(m for m in maps if json.dumps({p.name: v for p, v in m.items()}, sort_keys=True) == best)
+    return model, est.copy(chosen)
+
+
 def top_combinations(table: DataFrame, task: str, n: int = 3) -> DataFrame:
     """E5: the best parameter combinations."""
     order = F.asc("mean_score") if task == "regression" else F.desc("mean_score")
@@ -236,14 +286,20 @@ def rank_features(importance: DataFrame, n: int = 15) -> DataFrame:
 # ---------------------------------------------------------------- forecasting on features
 
 def lag_features(panel: DataFrame, shift: int = 1) -> tuple[DataFrame, list[str]]:
-    """Q6 inputs known `shift` days ahead: lags, a shifted rolling mean, the calendar; nulls 0."""
+    """Q6 inputs known `shift` days ahead: lags, a shifted rolling mean, the calendar.
+
+    Days without a lag take the last one before them, else the first one after them.
+    """
     s = PANEL
     lagged = {f"lag_{k}": F.lag("y", k).over(s.ordered) for k in (shift, shift + 6, shift + 13)}
     frame = s.ordered.rowsBetween(-(shift + 6), -shift)
     lagged["rolling_mean_7"] = F.when(F.count("y").over(frame) == 7, F.avg("y").over(frame))
     wide = add(panel.withColumns(lagged), {**calendar_columns(F.col("ds")), "is_weekend": period_columns(F.col("ds"))["is_weekend"]})
     names = [*lagged, "month", "day_of_week", "day", "is_weekend"]
-    return wide.fillna(0.0, list(lagged)), names
+    ahead = s.ordered.rowsBetween(0, Window.unboundedFollowing)
+    behind = s.ordered.rowsBetween(Window.unboundedPreceding, 0)
+    filled = {c: F.coalesce(F.last(c, True).over(behind), F.first(c, True).over(ahead), F.lit(0.0)) for c in lagged}
+    return wide.withColumns(filled), names
 
 
 def forecast_on_features(split: DataFrame, model: str = "LinearRegression", trees: int = 100,
