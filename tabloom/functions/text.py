@@ -18,6 +18,46 @@ REGRESSION_NAMES = ("RandomForestRegressor", "GradientBoostingRegressor", "Linea
                     "KNeighborsRegressor", "DecisionTreeRegressor")
 REGRESSION_DEFAULTS = ("RandomForestRegressor", "GradientBoostingRegressor", "LinearRegression")
 
+# The same for classification, clustering and series.
+CLASSIFICATION_ALIASES = {
+    "random forest": "RandomForestClassifier",
+    "gradient boosting": "GradientBoostingClassifier",
+    "logistic regression": "LogisticRegression",
+    "svc": "SVC",
+    "support vector": "SVC",
+    "knn": "KNeighborsClassifier",
+    "k-neighbors": "KNeighborsClassifier",
+    "decision tree": "DecisionTreeClassifier",
+}
+CLASSIFICATION_NAMES = ("RandomForestClassifier", "GradientBoostingClassifier", "LogisticRegression", "SVC",
+                        "KNeighborsClassifier", "DecisionTreeClassifier")
+CLASSIFICATION_DEFAULTS = ("RandomForestClassifier", "GradientBoostingClassifier", "LogisticRegression")
+CLUSTERING_ALIASES = {"kmeans": "KMeans", "k-means": "KMeans", "dbscan": "DBSCAN", "agglomerative": "AgglomerativeClustering"}
+CLUSTERING_NAMES = CLUSTERING_DEFAULTS = ("KMeans", "DBSCAN", "AgglomerativeClustering")
+SERIES_ALIASES = {
+    "arima": "ARIMA",
+    "sarima": "SARIMA",
+    "sarimax": "SARIMAX",
+    "prophet": "Prophet",
+    "exponential smoothing": "ExponentialSmoothing",
+    "holt winters": "HoltWinters",
+    "holt-winters": "HoltWinters",
+    "lstm": "LSTM",
+    "gru": "GRU",
+    "random forest": "RandomForestTS",
+    "linear regression": "LinearRegressionTS",
+    "xgboost": "XGBoostTS",
+    "ets": "ETS",
+    "seasonal naive": "SeasonalNaive",
+    "moving average": "MovingAverage",
+}
+SERIES_NAMES = ("ARIMA", "SARIMA", "Prophet", "ExponentialSmoothing", "HoltWinters", "LSTM", "GRU", "RandomForestTS",
+                "LinearRegressionTS", "XGBoostTS", "ETS", "SARIMAX", "SeasonalNaive", "MovingAverage")
+SERIES_DEFAULTS = ("ARIMA", "Prophet", "LinearRegressionTS")
+
+# Fixed value: what stands before a name in a list.
+_LIST_MARKER = r"^\s*[\-•\d\.\)]*\s*"
+
 
 def clean_response(text: Column | str) -> Column:
     """drop thinking blocks and code fences, keep the outermost {…}; null if there is none."""
@@ -58,7 +98,7 @@ def resolve_algorithms(text: Column | str, aliases: dict[str, str] = REGRESSION_
     sequence matcher and can differ from it near the cutoff.
     """
     t = F.col(text) if isinstance(text, str) else text
-    lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.lower(F.trim(x)), r"^\s*[\-•\d\.\)]*\s*", ""))
+    lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.lower(F.trim(x)), _LIST_MARKER, ""))
     lines = F.filter(lines, lambda x: (F.length(x) > 0) & ~F.contains(x, F.lit("<think>")) & ~F.contains(x, F.lit("</think>")))
     found = F.array_distinct(F.filter(F.transform(lines, lambda x: _resolve_line(x, aliases, names, cutoff)),
                                       lambda n: n.isNotNull()))
