@@ -148,9 +148,19 @@ def rollup_summary(rollups: DataFrame, site: str = "SITE", brand: str = "BRAND")
         F.count(F.lit(1)).alias("days"), F.avg("net_sales").alias("avg_daily_sales"))
 
 
-def pivot_daily(panel: DataFrame, members: list[str] | None = None) -> DataFrame:
-    """Date × series matrix with 0 for no sales; for reports, compute stays long."""
-    members = members or [r[0] for r in panel.select("unique_id").distinct().orderBy("unique_id").collect()]
+#: Columns that a report matrix may have.
+MOST_MEMBERS = 1000
+
+
+def pivot_daily(panel: DataFrame, members: list[str] | None = None, most: int = MOST_MEMBERS) -> DataFrame:
+    """Date × series matrix with 0 for no sales; for reports, compute stays long.
+
+    The members are those of the data unless named.  More than `most` of them raise an error.
+    """
+    if members is None:
+        members = sorted(r[0] for r in panel.select("unique_id").distinct().limit(most + 1).collect() if r[0] is not None)
+    if len(members) > most:
+        raise ValueError(f"a matrix of more than {most} series; keep the panel long")
     return panel.groupBy("ds").pivot("unique_id", members).agg(F.sum("y")).fillna(0.0)
 
 

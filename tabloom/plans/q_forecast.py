@@ -13,6 +13,7 @@ from tabloom.operators.profile import histogram
 from tabloom.plans.q_panel import brand_sales, whole_brand_panel, whole_type_panel
 from tabloom.plans.q_windows import REGULAR, TYPED
 from tabloom.plans.registry import half_even, query, rnd
+from tabloom.session import durable
 
 _Z = {80: 1.2815515655446004, 90: 1.6448536269514722}
 _LOHI = ", ".join(f'yhat - {z} * sigma * sqrt(step) AS "lo-{v}", yhat + {z} * sigma * sqrt(step) AS "hi-{v}"'
@@ -35,7 +36,8 @@ HELD = REGULAR + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY uni
 
 
 def held_out(spark, sf, method="seasonal_naive"):
-    split = H.holdout_tail(regular(spark, sf).select("unique_id", "ds", "y"), 21)
+    # train and test read the completed series, which is written once
+    split = durable(H.holdout_tail(regular(spark, sf).select("unique_id", "ds", "y"), 21), "split")
     fc = Q.forecast_panel(split.filter("part = 'train'").drop("part"), 7, method)
     return Q.evaluate_holdout(split, fc)
 

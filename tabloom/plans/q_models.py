@@ -66,8 +66,7 @@ def _held_out(rows, estimators, task):
 
 def _regress(spark, sf, names):
     rows = part_rows(spark, sf)
-    n = rows.count()
-    return _held_out(rows, {m: M.regressor(m, TREES, n) for m in names}, "regression")
+    return _held_out(rows, {m: M.regressor(m, TREES) for m in names}, "regression")
 
 
 def _classify(spark, sf, names, rows=None, classes=2, features=3):
@@ -90,6 +89,36 @@ def m1b(spark, sf):
     return spark.createDataFrame([record], "feature string, slope double, intercept double, r2 double")
 
 
+def _one_feature(spark, sf, name, alpha):
+    """(feature, slope, intercept) of a penalised line through quantity and price."""
+    rows = M.assemble(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"), ["l_quantity"], "l_extendedprice")
+    est = M.regressor(name)
+    fit = est.fit(rows, {est.alpha: alpha})
+    return spark.createDataFrame([("l_quantity", float(fit.coefficients[0]), float(fit.intercept))],
+                                 "feature string, slope double, intercept double")
+
+
+_LINE = """SELECT 'l_quantity' AS feature, slope, my - slope * mx AS intercept FROM (SELECT {slope} AS slope, my, mx FROM (
+  SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_pop(l_quantity) AS vx,
+    covar_pop(l_quantity, l_extendedprice) AS c FROM lineitem))"""
+
+
+@query("M1_ridge_one_feature", rnd(_LINE.format(slope="c * n / (vx * n + 50000)"), "slope intercept", 2), 2)
+def m1_ridge(spark, sf):
+    return _one_feature(spark, sf, "Ridge", 50_000.0)
+
+
+@query("M1_elastic_net_one_feature", rnd(_LINE.format(slope="sign(c) * greatest(abs(c) - 20 * 0.5, 0) / (vx + 20 * 0.5)"),
+                                         "slope intercept", 1), 1)
+def m1_elastic(spark, sf):
+    return _one_feature(spark, sf, "ElasticNet", 20.0)
+
+
+@query("M1_lasso_one_feature", rnd(_LINE.format(slope="sign(c) * greatest(abs(c) - 1000, 0) / vx"), "slope intercept", 1), 1)
+def m1_lasso(spark, sf):
+    return _one_feature(spark, sf, "Lasso", 1000.0)
+
+
 @query("M2_decision_trees")
 def m2(spark, sf):
     return _regress(spark, sf, ["DecisionTreeRegressor"]).select("model", "n", F.col("r2").alias("score")).unionByName(
@@ -225,6 +254,33 @@ def e3(spark, sf):
     return reg.unionByName(cls, allowMissingColumns=True)
 
 
+@query("E3_one_feature", rnd("""WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y, CAST(l_orderkey % 5 AS INTEGER) AS fold FROM lineitem),
+  k AS (SELECT unnest(range(5)) AS k), f AS (SELECT k, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM r, k WHERE fold <> k GROUP BY k),
+  m AS (SELECT fold, avg((y - a * x - b) * (y - a * x - b)) AS mse,
+    1 - sum((y - a * x - b) * (y - a * x - b)) / (var_pop(y) * count(*)) AS r2 FROM r JOIN f ON f.k = r.fold GROUP BY fold)
+  SELECT 'LinearRegression' AS model, avg(r2) AS cv_r2_mean, stddev_pop(r2) AS cv_r2_std, avg(mse) AS cv_mse_mean, stddev_pop(mse) AS cv_mse_std
+  FROM m""", "cv_r2_mean cv_r2_std cv_mse_mean cv_mse_std", 3), 3)
+def e3_line(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("fold", (F.col("l_orderkey") % 5).cast("int"))
+    rows = M.assemble(li.select("l_quantity", "l_extendedprice", "fold"), ["l_quantity"], "l_extendedprice")
+    return M.cross_validate(rows, {"LinearRegression": M.regressor("LinearRegression")}, "regression")
+
+
+_WEIGHTED = """WITH p AS (SELECT doc_id % 5 AS fold, quality AS y, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS yhat FROM labels),
+  c AS (SELECT fold, k, count(*) FILTER (y = k) AS s, count(*) FILTER (yhat = k) AS q, count(*) FILTER (y = k AND yhat = k) AS h
+    FROM p, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2),
+  m AS (SELECT fold, sum(s) AS n, sum(h) / sum(s) AS accuracy, sum(CASE WHEN q > 0 THEN h / q ELSE 0 END * s) / sum(s) AS precision,
+    sum(CASE WHEN h > 0 THEN 2 * (h / q) * (h / s) / (h / q + h / s) ELSE 0 END * s) / sum(s) AS f1 FROM c GROUP BY 1)"""
+
+
+@query("E3_weighted_fold_metrics", rnd(_WEIGHTED + " SELECT fold, CAST(n AS BIGINT) AS n, accuracy, precision, f1 FROM m",
+                                       "accuracy precision f1", 6), 6)
+def e3_weighted(spark, sf):
+    p = table(spark, sf, "labels").select((F.col("doc_id") % 5).alias("fold"), F.col("quality").alias("y"),
+                                          F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("yhat"))
+    return E.classification_metrics(p, by=("fold",), average="weighted").select("fold", "n", "accuracy", "precision", "f1")
+
+
 @query("E4_grid_search")
 def e4(spark, sf):
     train = part_rows(spark, sf).filter("part = 'train'").withColumn("fold", F.col("fold") % 3)
@@ -247,14 +303,18 @@ def e8(spark, sf):
     return M.rank_features(M.feature_importance(fit, _FEATURES, rows))
 
 
-def _package(spark, sf):
-    part = table(spark, sf, "part")
-    prep = Preprocessor.fit(part, _FEATURES)
-    fit = M.regressor("LinearRegression").fit(M.assemble(prep.transform(part), _FEATURES, "p_retailprice"))
-    return ModelPackage(fit, prep, _FEATURES, "p_retailprice", {"r2": float(fit.summary.r2)})
+def _package(spark, sf, features=None):
+    part, features = table(spark, sf, "part"), features or _FEATURES
+    prep = Preprocessor.fit(part, features)
+    fit = M.regressor("LinearRegression").fit(M.assemble(prep.transform(part), features, "p_retailprice"))
+    return ModelPackage(fit, prep, features, "p_retailprice", {"r2": float(fit.summary.r2)})
 
 
-@query("S7_model_round_trip")
+_BY_KEY = """WITH f AS (SELECT regr_slope(p_retailprice, p_partkey) AS a, regr_intercept(p_retailprice, p_partkey) AS b FROM part),
+  s AS (SELECT p_partkey, p_retailprice, a * p_partkey + b AS yhat FROM part, f)"""
+
+
+@query("S7_model_round_trip", "SELECT p_partkey AS row_id, 0.0::DOUBLE AS difference FROM part")
 def s7(spark, sf):
     """Predictions of a model before and after writing it; the difference is 0 in every row."""
     package, path = _package(spark, sf), scratch_path(spark, "model")
@@ -262,7 +322,7 @@ def s7(spark, sf):
     part = table(spark, sf, "part").withColumn("row_id", F.col("p_partkey"))
     before = package.score(part).select("row_id", F.col("prediction").alias("before"))
     after = ModelPackage.load(spark, path, f"{path}/manifest").score(part).select("row_id", F.col("prediction").alias("after"))
-    return before.join(after, "row_id").withColumn("difference", F.abs(F.col("before") - F.col("after")))
+    return before.join(after, "row_id").select("row_id", F.abs(F.col("before") - F.col("after")).alias("difference"))
 
 
 @query("E11_score_batch")
@@ -272,6 +332,23 @@ def e11(spark, sf):
     return spark.read.parquet(path).select("p_partkey", "p_retailprice", "predicted_p_retailprice")
 
 
+@query("E11_score_one_feature", rnd(_BY_KEY + " SELECT p_partkey, p_retailprice, yhat AS predicted_p_retailprice FROM s",
+                                    "p_retailprice predicted_p_retailprice", 3), 3)
+def e11_line(spark, sf):
+    path = scratch_path(spark, "scored")
+    write_predictions(_package(spark, sf, ["p_partkey"]).score(table(spark, sf, "part")), "p_retailprice", path)
+    return spark.read.parquet(path).select("p_partkey", "p_retailprice", "predicted_p_retailprice")
+
+
+@query("E15_monitor_one_feature", rnd(_BY_KEY + """ SELECT count(*) AS n, avg((p_retailprice - yhat) * (p_retailprice - yhat)) AS mse,
+  sqrt(avg((p_retailprice - yhat) * (p_retailprice - yhat))) AS rmse, avg(abs(p_retailprice - yhat)) AS mae,
+  median(abs(p_retailprice - yhat)) AS median_ae, max(abs(p_retailprice - yhat)) AS max_error FROM s""",
+  "mse rmse mae median_ae max_error", 3), 3)
+def e15_line(spark, sf):
+    out = runs.monitor(_package(spark, sf, ["p_partkey"]), table(spark, sf, "part"), "regression")
+    return out.select("n", "mse", "rmse", "mae", "median_ae", "max_error")
+
+
 @query("E15_monitor")
 def e15(spark, sf):
     return runs.monitor(_package(spark, sf), table(spark, sf, "part"), "regression")
@@ -308,6 +385,18 @@ def q1b(spark, sf):
     return Q.forecast_summary(Y.backtest_fitted(_train(spark, sf), "arima", order=(20, 2, 20)))
 
 
+@query("Q1_skipped_series", """WITH a AS (SELECT l_partkey % 40 AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_partkey % 40 < 30
+    AND (l_partkey % 40 >= 15 OR l_orderkey % 97 = l_partkey % 40)),
+  s AS (SELECT k, count(DISTINCT d) AS n FROM a GROUP BY 1)
+  SELECT CAST(k AS VARCHAR) AS unique_id, 'fewer than 20 days with sales' AS reason FROM s WHERE n < 20""")
+def q1_skipped(spark, sf):
+    """Some series keep only a few of their days; these are listed, not dropped in silence."""
+    li = table(spark, sf, "lineitem").withColumn("k", F.col("l_partkey") % 40)
+    kept = li.filter("k < 30 and (k >= 15 or l_orderkey % 97 = k)")
+    days = kept.groupBy(F.col("k").cast("string").alias("unique_id"), F.to_date("l_shipdate").alias("ds")).agg(F.sum("l_quantity").alias("y"))
+    return Y.skipped_series(days, order=(1, 0, 0))
+
+
 @query("Q2_forecast_arima_grid")
 def q2(spark, sf):
     return Q.forecast_panel(_train(spark, sf), 14, "arima_grid")

@@ -8,6 +8,7 @@ from tabloom.functions import calendar as C
 from tabloom.operators import panel as S
 from tabloom.operators import project as P
 from tabloom.plans.registry import BRAND_KEY, RETAIL, TYPE_KEY, half_even, panel_sql, query, rnd
+from tabloom.session import durable
 from tabloom.sources.tables import retail_sales, table
 
 
@@ -127,7 +128,7 @@ _TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     f"coalesce(sum(y) FILTER (unique_id = '{t}'), 0) AS \"{t}\"" for t in _TYPES) + " FROM panel GROUP BY ds",
     " ".join(_TYPES)))
 def a17(spark, sf):
-    return S.pivot_daily(type_panel(spark, sf), _TYPES)
+    return S.pivot_daily(type_panel(spark, sf))
 
 
 _MONDAY = "CAST(date_trunc('week', {d} - INTERVAL 1 DAY) AS DATE) + 7"
@@ -240,7 +241,7 @@ def j2(spark, sf):
   SELECT * FROM panel WHERE unique_id IN (SELECT unique_id FROM panel GROUP BY 1
     ORDER BY round(sum(y), 4) DESC, unique_id LIMIT 5)""", _PD))
 def j3(spark, sf):
-    panel = brand_panel(spark, sf)
+    panel = durable(brand_panel(spark, sf), "panel")  # ranked and filtered: the lines are read once
     return S.keep_series(panel, S.top_n_series(panel, 5), "unique_id")
 
 
@@ -260,6 +261,22 @@ def j5(spark, sf):
     return S.missing_dates(brand_sales(spark, sf), "BILLING_DATE", "BRAND")
 
 
+@query("J1_null_dates", "SELECT count(*) FILTER (TRY_CAST(o_comment AS DATE) IS NULL) AS null_dates FROM (SELECT CASE WHEN o_orderkey % 3 = 0 "
+       "THEN 'no date' WHEN o_orderkey % 7 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS o_comment FROM orders)")
+def j1_null(spark, sf):
+    day = F.col("o_orderdate").cast("date").cast("string")
+    o = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, "no date").when(F.col("o_orderkey") % 7 > 0, day).alias("ds"))
+    return S.null_dates(o)
+
+
+@query("U2_date_set_difference", """SELECT CAST(d AS DATE) AS ds FROM (SELECT unnest(generate_series(min(CAST(o_orderdate AS DATE))::TIMESTAMP,
+    max(CAST(o_orderdate AS DATE))::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM orders WHERE o_orderstatus = 'P')
+  WHERE CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'P')""")
+def u2(spark, sf):
+    """Calendar days between the first and the last order in progress on which none was placed."""
+    return S.missing_dates(table(spark, sf, "orders").filter("o_orderstatus = 'P'"), "o_orderdate")
+
+
 @query("T1_top_n_series", rnd(f"""WITH {RETAIL}, {panel_sql(PAIR_KEY)} SELECT unique_id, sum(y) AS total FROM panel
   GROUP BY 1 ORDER BY round(sum(y), 4) DESC, unique_id LIMIT 20""", "total"))
 def t1(spark, sf):
@@ -274,6 +291,13 @@ def t2(spark, sf):
     return worst.select("unique_id", "missing_dates", "actual_data_points")
 
 
+@query("T2_worst_series", f"""WITH {RETAIL} SELECT unique_id, missing_dates FROM ({diagnosis_sql(PAIR_KEY)})
+  ORDER BY missing_dates DESC, unique_id LIMIT 5""")
+def t2_worst(spark, sf):
+    d = S.frequency_diagnosis(pair_sales(spark, sf), "KEY2", "BILLING_DATE")
+    return S.worst_series(d, "missing_dates").select("unique_id", "missing_dates")
+
+
 @query("T4_series_with_most_points", f"""WITH {RETAIL}, {panel_sql(PAIR_KEY)} SELECT unique_id, count(*) AS points
   FROM panel GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
 def t4(spark, sf):

@@ -350,6 +350,15 @@ def r12b(spark, sf):
     return R.select_k_best(R.f_scores(table(spark, sf, "lineitem"), "l_returnflag", _LNUM, classes=True))
 
 
+@query("T3_rank_features", rnd("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS importance FROM lineitem" for c in _LNUM)
+    + ") ORDER BY importance DESC, feature LIMIT 2", "importance"))
+def t3(spark, sf):
+    from tabloom.operators.models import rank_features
+    li = table(spark, sf, "lineitem").agg(*[F.abs(F.corr(c, "l_extendedprice")).alias(c) for c in _LNUM])
+    return rank_features(li.unpivot([], _LNUM, "feature", "importance"), 2)
+
+
 @query("R14_chi2_score", rnd("""WITH c AS (SELECT o_orderstatus AS y, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS v FROM orders),
   g AS (SELECT y, sum(v) AS o, count(*) / (SELECT count(*) FROM c) * (SELECT sum(v) FROM c) AS e FROM c GROUP BY 1)
   SELECT 'o_orderpriority' AS "column", sum((o - e) * (o - e) / e) AS chi2 FROM g""", "chi2"))
