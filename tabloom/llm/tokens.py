@@ -127,11 +127,11 @@ _FILE = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("fil
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-                 end: int = END, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS) -> None:
+                 end: int = END, file_tokens: int = FILE_TOKENS, block_tokens: int = BLOCK_TOKENS, slice_bytes: int = 2 << 20) -> None:
     """Encode every text, add the end id, and write file images in ascending id order.
 
     Documents are dealt by ranges of ids; a row of the written table is one file image, so Spark's writer
-    commits it once however often a task is tried.  Rows of equal ids stand in the order of their texts;
+    commits it once however often a task is tried.  A file ends with the slice of text that fills it.  Rows of equal ids stand in the order of their texts;
     a null id comes first, and a null text is an empty one.  A file's frequency table counts all of its ids.
     """
     where = vocabulary or vocabulary_path()
@@ -149,7 +149,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(ids)], pa.int64()),
                                                pa.array([pack_file(ids, names, sizes, block_tokens)], pa.binary())], _FILE.names)
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", slice_bytes):
             ids, counts = encoder(where).encode(batch.column(1).to_pylist())
             ids = np.insert(ids, np.cumsum(counts), end)
             held.append((batch.column(0).to_pylist(), counts + 1, ids))
