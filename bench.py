@@ -24,7 +24,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     registry.load_all()
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    # one untimed query: the session, the page cache and the first code generation are not the first query's cost
+    registry.QUERIES["A15_daily_panel"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINES:
         start = time.perf_counter()
