@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import map_slices
-from tabloom.llm.pieces import PieceTable, load_pieces, vocabulary_path, word_groups
+from tabloom.llm.common import column_of, map_slices, slices
+from tabloom.llm.pieces import TOGETHER, PieceTable, load_pieces, vocabulary_path, word_groups
 
 #: A letter run; digits, marks and punctuation say little about a language.
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -31,17 +34,42 @@ def words_of(text: str) -> list[str]:
     return [w[i: i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
 
 
-def _numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words, the number of each word in reading order, and the words of each text."""
-    number: dict[str, int] = {}
-    order: list[int] = []
-    counts = np.zeros(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            words = words_of(t)
-            counts[i] = len(words)
-            order.extend([number.setdefault(w, len(number)) for w in words])
-    return list(number), np.array(order, dtype=np.int64), counts
+class Words:
+    """Numbers the distinct words of texts in the order they are met."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word in reading order, and the words of each text."""
+        add, number = self.number.setdefault, self.number
+        order = array("i")
+        counts = np.zeros(len(texts), dtype=np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                words = words_of(t)
+                counts[i] = len(words)
+                order.extend([add(w, len(number)) for w in words])
+        return np.frombuffer(order, dtype=np.int32) if order else np.zeros(0, dtype=np.int32), counts
+
+    def after(self, first: int) -> list[str]:
+        return list(islice(self.number, first, None))
+
+    def drop(self, words: list[str]) -> None:
+        for w in words:
+            del self.number[w]
+
+
+#: Numbers (distinct words times languages) that a task counts before it works them out, and that a worker
+#: remembers as scores.
+HELD = 1_600_000
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both tables added; the first may have fewer rows and columns."""
+    b[: a.shape[0], : a.shape[1]] += a
+    return b
+
 
 
 def _spelled(table: PieceTable, chars: np.ndarray) -> tuple[list[list[tuple[int, np.ndarray]]], int]:
@@ -98,7 +126,7 @@ def expected_counts(table: PieceTable, words: list[str], weights: np.ndarray) ->
 def log_likelihoods(table: PieceTable, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language: the forward algorithm sums over all segmentations."""
     out = np.zeros((len(words), probs.shape[1]))
-    for rows, chars in word_groups(words):
+    for rows, chars in word_groups(words, TOGETHER * 4 // max(4, probs.shape[1])):
         spelled, n = _spelled(table, chars)
         forward = np.zeros((n + 1, len(rows), probs.shape[1]))
         forward[0] = 1.0
@@ -125,13 +153,21 @@ class Model:
     def __init__(self, langs: list[str], probs: np.ndarray, prior: np.ndarray) -> None:
         self.langs, self.probs, self.prior = langs, probs, prior
 
+        self._words, self._scores = Words(), np.zeros((0, len(langs)))
+
     def predict(self, table: PieceTable, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and posterior of each text; `und` and 0 without a letter or without a learned language."""
-        words, order, counts = _numbered(texts)
+        known = len(self._scores)
+        order, counts = self._words.read(texts)
         best, score = [UNDECIDED] * len(texts), np.zeros(len(texts))
-        if not words or not self.langs:
+        if not len(order) or not self.langs:
             return best, score
-        each = log_likelihoods(table, self.probs, words)
+        new = self._words.after(known)
+        each = np.concatenate([self._scores, log_likelihoods(table, self.probs, new)])
+        if each.size <= HELD:
+            self._scores = each
+        else:  # words met late are mostly rare
+            self._words.drop(new)
         of = np.repeat(np.arange(len(texts)), counts)
         total = np.stack([np.bincount(of, each[order, k], len(texts)) for k in range(len(self.langs))], axis=1)
         total += np.log(self.prior)
@@ -143,6 +179,16 @@ class Model:
         return best, score
 
 
+_LAST: list[tuple[str, Model]] = []
+
+
+def _remembered(parts: tuple) -> Model:
+    """The model of a broadcast, kept by the worker with the words it has scored."""
+    if not _LAST or _LAST[0][0] != parts[3]:
+        _LAST[:] = [(parts[3], Model(*parts[:3]))]
+    return _LAST[0][1]
+
+
 #: More languages than this are not learned from one table: the model would outgrow what is sent to the executors.
 MOST_LANGS = 400
 
@@ -158,20 +204,38 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", vocabul
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def count(batches):
         table = load_pieces(path)
-        langs = batch.column(0).to_pylist()
-        names = sorted(set(langs))
-        words, order, counts = _numbered(batch.column(1).to_pylist())
-        of = np.repeat(np.array([names.index(x) for x in langs], dtype=np.int64), counts)
-        weights = np.bincount(order * len(names) + of, minlength=len(words) * len(names)).reshape(-1, len(names)).astype(float)
-        total = expected_counts(table, words, weights) if words else np.zeros((len(table.pieces), len(names)))
-        piece, lang = np.nonzero(total)
-        return pa.RecordBatch.from_arrays([
-            pa.array([names[k] for k in lang.tolist()] + names), pa.array(np.append(piece, np.full(len(names), -1)).astype(np.int32)),
-            pa.array(np.append(total[piece, lang], [float(langs.count(x)) for x in names]))], ["lang", "piece", "n"])
-
-    sums = map_slices(labelled, count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+        words, names, rows, weights = Words(), {}, {}, np.zeros((0, 0), dtype=np.float32)
+
+        def work_out():
+            """Expected counts of all words held, and the rows read, per language."""
+            total = np.zeros((len(table.pieces), len(names)))
+            if words.number:
+                total = expected_counts(table, words.after(0), weights)
+            piece, lang = np.nonzero(total)
+            listed = list(names)
+            return pa.RecordBatch.from_arrays([
+                pa.array([listed[k] for k in lang.tolist()] + listed),
+                pa.array(np.append(piece, np.full(len(listed), -1)).astype(np.int32)),
+                pa.array(np.append(total[piece, lang], [float(rows[x]) for x in listed]))], ["lang", "piece", "n"])
+
+        for batch in slices(batches, "text", 8 << 20):
+            langs = batch.column(0).to_pylist()
+            order, counts = words.read(batch.column(1).to_pylist())
+            for x in langs:
+                names.setdefault(x, len(names))
+                rows[x] = rows.get(x, 0) + 1
+            of = np.repeat(np.array([names[x] for x in langs], dtype=np.int64), counts)
+            held = np.bincount(order * np.int64(len(names)) + of, minlength=len(words.number) * len(names)).astype(np.float32)
+            weights = _sum(weights, held.reshape(-1, len(names)))
+            if weights.size > HELD:
+                yield work_out()
+                words, names, rows, weights = Words(), {}, {}, np.zeros((0, 0), dtype=np.float32)
+        if rows:
+            yield work_out()
+
+    sums = labelled.mapInArrow(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     # a whole language per row: pieces are int, so the driver gets flat arrays
     rows = sums.groupBy("lang").agg(F.collect_list("piece").alias("p"), F.collect_list("n").alias("n")).limit(MOST_LANGS + 1).collect()
     if len(rows) > MOST_LANGS:
@@ -195,16 +259,18 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", vocabulary: s
     """
     path = vocabulary or vocabulary_path()
     rest = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.probs, model.prior))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.probs, model.prior, uuid.uuid4().hex))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        best, score = Model(*shared.value).predict(load_pieces(path), batch.column(1).to_pylist())
+        texts = column_of(batch, "row.__text").to_pylist()
+        best, score = _remembered(shared.value).predict(load_pieces(path), texts)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
-    names = [F.col(f"`{c}`") for c in rest.columns]
-    rows = rest.select(F.struct(*names).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    names = [F.col(f"`{c}`").alias("__text" if c == text_col else c) for c in rest.columns]
+    rows = rest.select(F.struct(*names).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return map_slices(rows, work, schema).select("row.*", "lang_pred", "score")
+    made = map_slices(rows, work, schema, "row.__text")
+    return made.select(*[F.col(f"row.`{'__text' if c == text_col else c}`").alias(c) for c in rest.columns], "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -227,6 +293,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, vocabulary: str | N
     """The documents whose text has a language; those without letters, or below `min_score`, go."""
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     model = fit(docs.filter(~out).select("lang", "text"), vocabulary=vocabulary)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    judged = predict(docs.select(F.struct(*names).alias("doc"), F.col("text")), model, vocabulary=vocabulary)
-    return judged.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= min_score)).select("doc.*")
+    # columns of the predictions' own names wait under others
+    clash = {c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    judged = predict(docs.withColumnsRenamed(clash), model, vocabulary=vocabulary)
+    kept = judged.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= min_score))
+    return kept.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
