@@ -1,10 +1,11 @@
 """Removal of repeated byte strings with a sparse enhanced suffix array.
 
-Suffixes start at anchors: the positions whose 16 bytes hash lowest within some 300 bytes.  Equal strings
-have equal anchors, and every string of 400 bytes has one in its first 300.  The array is dealt by the
-hash of the first 100 bytes of a suffix, which cuts it into independent ranges.  In each range suffixes
+Suffixes start at anchors: the positions whose 32 bytes hash lowest within some 240 bytes.  Equal strings
+have equal anchors, and every string of 400 bytes has one in its first 240.  The array is dealt by the
+hash of the first 160 bytes of a suffix, which cuts it into independent ranges.  In each range suffixes
 are sorted, neighbours' common prefixes are taken, and a stack scan walks the tree of common-prefix
-intervals.  Suffixes whose surroundings occur twice as they are need no tree: they are counted.
+intervals.  Suffixes whose surroundings occur twice as they are need no tree: they are counted.  Ranges
+too large for one task are cut by longer shared strings, in the end by the whole length.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +27,12 @@ from tabloom.session import durable
 
 LENGTH = 400
 #: Bytes that are hashed to choose anchors.
-GRAM = 16
+GRAM = 32
 #: Share of the length in which an anchor is guaranteed; the rest is the part a range is dealt by.
-SPAN_SHARE = 0.75
-#: Suffixes of one range that one task takes.  Larger ranges are split by longer shared strings (`_split`).
+SPAN_SHARE = 0.6
+#: Suffixes of one range that one task takes; larger ranges are cut (`_hot`), first into this many kinds of keys.
 RANGE_LIMIT = 20_000
+CUTS = 8
 
 _U32 = np.uint64(32)
 
@@ -42,8 +45,10 @@ def anchors(data: np.ndarray, span: int) -> np.ndarray:
     word = data.astype(np.uint64)
     for shift in (1, 2, 4):  # after three steps every position holds its next eight bytes
         word = word[:-shift] | (word[shift:] << np.uint64(8 * shift))
-    h = (word[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (word[8: 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
-    h ^= h >> np.uint64(29)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(0, GRAM, 8):
+        h = (h ^ word[k: k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
     h = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> _U32).astype(np.uint32)
     least = _sliding(np.minimum, h, window)
     edge = np.zeros(window - 1, dtype=np.uint32)
@@ -75,18 +80,44 @@ def _signed(hashes: list[int]) -> pa.Array:
     return pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))
 
 
-_DOC = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.IntegerType())])
-_SUFFIXES = T.StructType([T.StructField("doc", _DOC), T.StructField("at", T.IntegerType()), T.StructField("own", T.LongType()),
-                          T.StructField("ctx", T.LongType()), T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())])
+_L, _B = T.LongType(), T.BinaryType()
+_schema = lambda **fields: T.StructType([T.StructField(k, v) for k, v in fields.items()])
+_SUFFIXES = _schema(doc=_L, spot=_L, own=_L, ctx=_L)
+_CONTEXTS = _schema(own=_L, doc=_L, spot=_L, left=_B, right=_B)
+
+# A spot is one long: twelve more bits of the text's key, the position, and how far its surroundings reach
+# to the left and to the right.
+_AT, _MORE, _SIDE = 20, 51, 1023
+
+
+def _pack(more, at, before, after):
+    return (more << _MORE) | (at << _AT) | (before << 10) | after
+
+
+def _more(spot):
+    return F.shiftright(spot, _MORE)
+
+
+def _extent(spot, before, after) -> list:
+    """A stretch around a spot as columns (doc, more, from, to)."""
+    at = F.shiftright(spot, _AT).bitwiseAND(F.lit(2**31 - 1))
+    return [F.col("doc"), _more(spot).alias("more"), (at - before).alias("from"), (at + after).alias("to")]
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, more, id, text): texts as bytes under 76 bits of key; rows of one id and text share it."""
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.xxhash64(id_col, text_col).alias("doc"), F.pmod(F.hash(text_col, id_col), F.lit(4096)).cast("long").alias("more"),
+                       F.col(id_col).cast("long").alias("id"), raw.alias("text"))
 
 
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, at, own, ctx, before, after): anchors, the hash they are dealt by, the hash and extent of their surroundings."""
+    """(doc, spot, own, ctx): anchors, the hash they are dealt by, and the hash of their surroundings."""
     span = int(length * SPAN_SHARE)
     own = length - span
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = _flat(batch.column(1))
+        data, offsets = _flat(batch.column(2))
         found = [np.zeros(0, dtype=np.int64)]
         for block in range(0, max(len(data) - span, 0) + 1, 1 << 20):  # blocks overlap by a span, so every window is seen
             found.append(anchors(data[block: block + (1 << 20) + span], span) + block)
@@ -100,11 +131,11 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
         places = at.tolist()
         dealt = [digest(view[p: p + own]) for p in places]
         around = [digest(view[p - b: p + a], b) for p, b, a in zip(places, before.tolist(), after.tolist())]
-        i32 = lambda x: pa.array(x.astype(np.int32))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), i32(at - start), _signed(dealt), _signed(around),
-                                           i32(before), i32(after)], _SUFFIXES.names)
+        more = batch.column(1).to_numpy()[doc]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(_pack(more, at - start, before, after)),
+                                           _signed(dealt), _signed(around)], _SUFFIXES.names)
 
-    return map_slices(texts, work, _SUFFIXES, most=4 << 20)
+    return map_slices(texts.select("doc", "more", "text"), work, _SUFFIXES, most=4 << 20)
 
 
 # ---------------------------------------------------------------- interval tree
@@ -227,37 +258,46 @@ def range_extents(keys: np.ndarray, left: list[bytes], right: list[bytes], lengt
     return out_left, out_right
 
 
-_CONTEXTS = T.StructType([T.StructField("own", T.LongType()), T.StructField("doc", _DOC), T.StructField("at", T.IntegerType()),
-                          T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()),
-                          T.StructField("base", T.IntegerType())])
-_EXTENTS = T.StructType([T.StructField("doc", _DOC), T.StructField("at", T.IntegerType()), T.StructField("before", T.IntegerType()),
-                         T.StructField("after", T.IntegerType())])
+def _packed(texts: DataFrame) -> DataFrame:
+    """The texts compressed, as they cross the network."""
+    others = [f for f in texts.schema.fields if f.name != "text"]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))),
+                                           pa.array([squeeze.compress(t) for t in batch.column(len(others)).to_pylist()], pa.binary())],
+                                          [*(f.name for f in others), "packed"])
+
+    rows = texts.select(*[f.name for f in others], "text")
+    return map_slices(rows, work, T.StructType([*others, T.StructField("packed", _B)]), most=4 << 20)
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes around the wanted suffixes (own, doc, at): reversed to the left, beyond the dealt part to the right."""
+    """The bytes around the wanted suffixes (own, doc, spot): reversed to the left, beyond the dealt part to the right."""
     span = int(length * SPAN_SHARE)
     known = length - span
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("own", "at")).alias("spots"))
+    per_doc = wanted.groupBy("doc", _more(F.col("spot")).alias("more")).agg(F.collect_list(F.struct("own", "spot")).alias("spots"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = _flat(batch.column(1))
-        raw = data.tobytes()
-        spots = batch.column(2)
-        inner = spots.flatten()
-        doc = np.repeat(np.arange(len(spots)), np.diff(spots.offsets.to_numpy()))
-        at = inner.field("at").to_numpy()
-        where = list(zip((offsets[doc] + at).tolist(), offsets[doc].tolist(), offsets[doc + 1].tolist()))
-        left = [raw[max(s, p - span): p][::-1] for p, s, _ in where]
-        right = [raw[p + known: min(e, p + length)] for p, _, e in where]
-        return pa.RecordBatch.from_arrays([inner.field("own"), batch.column(0).take(pa.array(doc)), inner.field("at"), pa.array(left, pa.binary()),
-                                           pa.array(right, pa.binary()), pa.array(np.zeros(len(left), dtype=np.int32))], _CONTEXTS.names)
-
-    return map_slices(texts.join(per_doc, "doc").select("doc", "text", "spots"), work, _CONTEXTS, most=2 << 20)
+        open_ = zstandard.ZstdDecompressor()
+        left, right, owns, docs, places = [], [], [], [], []
+        for doc, packed, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            raw = open_.decompress(packed)
+            for s in spots:
+                p = s["spot"] >> _AT & 2**31 - 1
+                left.append(raw[max(0, p - span): p][::-1])
+                right.append(raw[p + known: p + length])
+                owns.append(s["own"])
+                docs.append(doc)
+                places.append(s["spot"])
+        return pa.RecordBatch.from_arrays([pa.array(owns, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()),
+                                           pa.array(left, pa.binary()), pa.array(right, pa.binary())], _CONTEXTS.names)
+
+    return map_slices(_packed(texts).join(per_doc, ["doc", "more"]).select("doc", "packed", "spots"), work, _CONTEXTS, "packed", 1 << 20)
 
 
 def _tree(contexts: DataFrame, length: int) -> DataFrame:
-    """Extents of all suffixes; a range is taken whole by one task, several ranges at once."""
+    """Stretches around all suffixes in a repeat; a range is taken whole by one task, several ranges at once."""
     span = int(length * SPAN_SHARE)
     known = length - span
 
@@ -266,10 +306,8 @@ def _tree(contexts: DataFrame, length: int) -> DataFrame:
             part = part.combine_chunks()
             left, right = range_extents(part["own"].to_numpy(), part["left"].to_pylist(), part["right"].to_pylist(), length, known, span)
             hit = np.flatnonzero(left + right >= length)
-            small = part.select(["doc", "at"]).take(pa.array(hit))
-            for b in small.append_column("before", pa.array(left[hit].astype(np.int32))).append_column(
-                    "after", pa.array(right[hit].astype(np.int32))).to_batches():
-                yield b
+            small = part.select(["doc", "spot"]).take(pa.array(hit))
+            yield from small.append_column("before", pa.array(left[hit])).append_column("after", pa.array(right[hit])).to_batches()
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -287,64 +325,79 @@ def _tree(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    return contexts.repartition("own").sortWithinPartitions("own").mapInArrow(work, _EXTENTS)
+    found = contexts.select(*_CONTEXTS.names).repartition("own").sortWithinPartitions("own").mapInArrow(work, _schema(doc=_L, spot=_L, before=_L, after=_L))
+    return found.select(*_extent(F.col("spot"), F.col("before"), F.col("after")))
 
 
-def _split(hot: DataFrame, length: int) -> DataFrame:
-    """Ranges that are too large, dealt anew by longer shared strings.
+def _keys(contexts: DataFrame, span: int, cuts: int | None) -> DataFrame:
+    """(key, doc, spot, left): one key for each way in which two suffixes of a range can share the bytes they lack.
 
-    Of two suffixes that share the bytes a range is dealt by and lack `short` more bytes for a repeat, at
-    least half of these lie on one side.  So each suffix joins two ranges, with half of `short` more on
-    the left or on the right.  `base` packs what is shared: left bytes, then right bytes.
+    Beyond the dealt part a repeat needs `span` more bytes, some to the left and the rest to the right.  With
+    `cuts` a key takes the left part in steps and leaves one step open, so partners share a key, though
+    not all with a key are partners.  Without it the whole length is in a key: all that share it repeat.
     """
-    span = int(length * SPAN_SHARE)
+    step = 1 if cuts is None else -(-span // cuts)
+    sides = [(a, span - a) for a in range(span + 1)] if cuts is None else [(a, max(0, span - a - step)) for a in range(0, span, step)]
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = batch.to_pylist()
-        out = []
-        for row in rows:
-            left, right = row["base"] >> 16, row["base"] & 0xFFFF
-            half = (span - left - right + 1) // 2
-            for a, b in {(left + half, right), (left, right + half)}:
-                if len(row["left"]) >= a and len(row["right"]) >= b:
-                    key = xxhash.xxh3_64(row["left"][:a], seed=a)
-                    key.update(row["right"][:b])
-                    own = (key.intdigest() ^ (row["own"] & (2**64 - 1))) & (2**64 - 1)
-                    out.append(row | {"own": own - (own >> 63 << 64), "base": a << 16 | b})
-        return pa.RecordBatch.from_pylist(out, schema=batch.schema)
-
-    return hot.mapInArrow(lambda batches: (work(b) for b in batches), _CONTEXTS)
+    def work(batches):
+        for batch in batches:
+            for few in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                keys, rows, lefts = [], [], []
+                for i, (own, left, right) in enumerate(zip(few.column(0).to_pylist(), few.column(3).to_pylist(), few.column(4).to_pylist())):
+                    for a, b in sides:
+                        if len(left) >= a and len(right) >= b:
+                            keys.append(xxhash.xxh3_64_intdigest(left[:a] + right[:b], (own ^ a * 0x9E3779B97F4A7C15) & 2**64 - 1))
+                            rows.append(i)
+                            lefts.append(a)
+                at = pa.array(np.array(rows, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([_signed(keys), few.column(1).take(at), few.column(2).take(at), pa.array(lefts, pa.int64())],
+                                                 ["key", "doc", "spot", "left"])
+
+    return contexts.select(*_CONTEXTS.names).mapInArrow(work, _schema(key=_L, doc=_L, spot=_L, left=_L))
+
+
+def _hot(contexts: DataFrame, length: int, range_limit: int) -> DataFrame:
+    """Stretches of suffixes in crowded ranges, which never meet in one task.
+
+    Keys that leave a small part of the length open cut a range into smaller ones, which get trees.  What is
+    still crowded is counted by keys of the whole length, with map-side combining.
+    """
+    span = int(length * SPAN_SHARE)
+    hot = durable(contexts, "crowded")
+    keyed = durable(_keys(hot, span, CUTS).select("key", "doc", "spot"), "keys")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    sized = durable(keyed.join(sizes, "key"), "cut")
+    bytes_ = hot.select("doc", "spot", "left", "right")
+    small = sized.filter(F.col("members") <= range_limit).join(bytes_, ["doc", "spot"])
+    found = _tree(small.select(F.col("key").alias("own"), "doc", "spot", "left", "right"), length)
+    crowded = sized.filter(F.col("members") > range_limit).select("doc", "spot").distinct()
+    if crowded.limit(1).count() == 0:
+        return found
+    whole = _keys(hot.join(crowded, ["doc", "spot"], "left_semi"), span, None)
+    twice = durable(whole.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key"), "twice")
+    reach = whole.join(twice, "key").groupBy("doc", "spot").agg(F.max("left").alias("before"), F.min("left").alias("least"))
+    return found.unionByName(reach.select(*_extent(F.col("spot"), F.col("before"), F.lit(length) - F.col("least"))))
 
 
 def repeat_extents(texts: DataFrame, length: int = LENGTH, range_limit: int = RANGE_LIMIT) -> DataFrame:
-    """(doc, at, before, after): stretches [at - before, at + after) of (doc, text) covered by strings of `length` bytes that occur elsewhere."""
-    span = int(length * SPAN_SHARE)
+    """(doc, more, from, to): stretches of the keyed texts that lie in strings of `length` bytes which occur elsewhere."""
+    if not 2 * GRAM <= length <= _SIDE:
+        raise ValueError(f"length is between {2 * GRAM} and {_SIDE} bytes")
     rows = durable(_suffixes(texts, length), "suffixes")
     counts = rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own")
     repeated = durable(rows.join(counts, "own"), "repeated")
     classes = durable(repeated.groupBy("own", "ctx").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("rep")), "classes")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "spot")).alias("rep")), "classes")
+    before, after = F.shiftright("spot", 10).bitwiseAND(F.lit(_SIDE)), F.col("spot").bitwiseAND(F.lit(_SIDE))
     twice = classes.filter("n > 1").select("own", "ctx")
-    found = repeated.filter(F.col("before") + F.col("after") >= length).join(twice, ["own", "ctx"]).select("doc", "at", "before", "after")
+    found = repeated.filter(before + after >= length).join(twice, ["own", "ctx"]).select(*_extent(F.col("spot"), before, after))
     ranges = classes.groupBy("own").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    wanted = classes.join(ranges, "own").select("own", "rep.doc", "rep.at", "members")
-    small = wanted.filter(F.col("members") <= range_limit)
-    found = found.unionByName(_tree(_contexts(texts, small.drop("members"), length), length))
-    if wanted.filter(F.col("members") > range_limit).limit(1).count():
-        level = durable(_split(_contexts(texts, wanted.filter(F.col("members") > range_limit).drop("members"), length), length), "split")
-        while True:
-            sized = level.join(level.groupBy("own").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "own")
-            shared = F.shiftright("base", 16) + F.col("base").bitwiseAND(F.lit(0xFFFF))
-            # a range that shares the whole length needs no tree: all of its members are repeats
-            done = sized.filter(shared >= span)
-            found = found.unionByName(done.select("doc", "at", F.shiftright("base", 16).alias("before"), (
-                F.lit(length - span) + F.col("base").bitwiseAND(F.lit(0xFFFF))).cast("int").alias("after")))
-            open_ = sized.filter(shared < span)
-            found = found.unionByName(_tree(open_.filter(F.col("members") <= range_limit).drop("members"), length))
-            hot = open_.filter(F.col("members") > range_limit).drop("members")
-            if hot.limit(1).count() == 0:
-                break
-            level = durable(_split(hot, length).select(_CONTEXTS.names), "split")
+    wanted = classes.join(ranges, "own").select("own", "rep.doc", "rep.spot", "members")
+    small = wanted.filter(F.col("members") <= range_limit).drop("members")
+    large = wanted.filter(F.col("members") > range_limit).drop("members")
+    found = found.unionByName(_tree(_contexts(texts, small, length), length))
+    if large.limit(1).count():
+        found = found.unionByName(_hot(_contexts(texts, large, length), length, range_limit))
     return found
 
 
@@ -371,19 +424,17 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so `kept` is binary.  Null is read as empty; texts shorter than `length` stay whole; repeated rows are
     copies of each other, so their long texts go; an empty table gives no rows.  Other columns play no part.
     """
-    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    key = F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("a"), F.hash(F.col(text_col), F.col(id_col)).alias("b"))
-    texts = docs.select(key.alias("doc"), F.col(id_col).cast("long").alias("id"), raw.alias("text"))
-    found = repeat_extents(texts.select("doc", "text"), length, range_limit)
-    spots = found.groupBy("doc").agg(F.collect_list(F.struct((F.col("at") - F.col("before")).alias("from"),
-                                                             (F.col("at") + F.col("after")).alias("to"))).alias("spots"))
-    rows = texts.join(spots, "doc", "left").select("id", "text", "spots")
+    texts = keyed_texts(docs, id_col, text_col)
+    found = repeat_extents(texts.select("doc", "more", "text"), length, range_limit)
+    spots = found.groupBy("doc", "more").agg(F.collect_set(F.struct("from", "to")).alias("spots"))
+    rows = _packed(texts).join(spots, ["doc", "more"], "left").select("id", "packed", "spots")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), *_RESULT.fields[: 2 if keep_bytes else 1]])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for doc, text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        out, open_ = [], zstandard.ZstdDecompressor()
+        for doc, packed, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            text = open_.decompress(packed)
             spans = _merged([(s["from"], s["to"]) for s in spots or ()])
             edges = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
@@ -394,4 +445,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                        ("kept_sha256", pa.string()), ("spans", span), ("kept", pa.binary())][: 7 if keep_bytes else 6])
-    return map_slices(rows, work, schema)
+    return map_slices(rows, work, schema, "packed", 1 << 20)
