@@ -114,16 +114,26 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_limit:
     if max_bits not in (0, 2, 4):
         raise ValueError("max_bits is 0, 2 or 4: three segments find up to four bits, and balls need an even number")
     variants = prints.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    sized = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = durable(variants.join(sized, "key"), "variants")
-    ordinary = shared.filter(F.col("n") <= bucket_limit).select("key", "fp")
-    left, right = ordinary.withColumnRenamed("fp", "a"), ordinary.withColumnRenamed("fp", "b")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    links = left.join(right, "key").filter((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    hot = shared.filter(F.col("n") > bucket_limit).select("fp").distinct()
+    crowded = durable(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_limit).select("key"), "crowded")
+    ordinary = variants.join(crowded, "key", "left_anti")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    links = ordinary.withColumnRenamed("fp", "a").join(ordinary.withColumnRenamed("fp", "b"), "key").filter(
+        (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & _first_meeting(differ, F.shiftright("key", 22))).select("a", "b")
+    hot = variants.join(crowded, "key", "left_semi").select("fp").distinct()
     return links.unionByName(_ball_links(hot, max_bits))
 
 
+def _first_meeting(differ: Column, wild: Column) -> Column:
+    """Whether a pair meets under this erased bit first: in its first segment with at most one differing bit,
+    under that bit, or under the segment's lowest bit where none differs.  So a pair comes out once, not once a variant."""
+    bits = [F.bit_count(F.shiftrightunsigned(differ, low).bitwiseAND(F.lit((1 << n) - 1).cast("long"))) for low, n in SEGMENTS]
+    out, before = F.lit(False), F.lit(True)
+    for (low, n), d in zip(SEGMENTS, bits):
+        here = wild.between(low, low + n - 1) & ((d == 1) | ((d == 0) & (wild == low)))
+        out, before = out | (before & here), before & (d > 1)
+    return out
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = MAX_BITS, id_col: str = "doc_id",
                    text_col: str = "text", bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """(id, fp, component_id, kept) per row: documents whose fingerprints are linked share the smallest id.
