@@ -150,10 +150,13 @@ def judge(pages: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str
     with_tokens = judged.withColumn("tokens", tokens_of(F.col("host"), F.col("path"), F.col("url")))
     distinct = with_tokens.filter("rule is null").select("tokens").distinct().select(F.xxhash64("tokens").alias("key"), "tokens")
     matched = match_rules(distinct, rules)
-    out = with_tokens.withColumn("key", F.when(F.col("rule").isNull(), F.xxhash64("tokens"))).join(matched, "key", "left")
+    # addresses with a host rule need no match; keys of their own spread them over the tasks
+    key = F.when(F.col("rule").isNull(), F.xxhash64("tokens")).otherwise(F.xxhash64("url", "page_id"))
+    out = with_tokens.withColumn("key", key).join(matched, "key", "left")
+    mined = F.when(F.col("rule").isNull(), F.col("matched_rules"))
     return out.select("page_id", "host", "path", "rule",
-                      F.coalesce("rule_verdict", F.when(F.col("matched_rules").isNotNull(), "block").otherwise("allow")).alias("verdict"),
-                      "matched_rules")
+                      F.coalesce("rule_verdict", F.when(mined.isNotNull(), "block").otherwise("allow")).alias("verdict"),
+                      mined.alias("matched_rules"))
 
 
 def labels_of_documents(pages: DataFrame, labels: DataFrame) -> DataFrame:
