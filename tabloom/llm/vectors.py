@@ -192,13 +192,23 @@ def range_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: i
 
 def unit_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, v): vectors in doubles, scaled to length one; null where a vector cannot be used."""
-    v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
-    most = F.array_max(F.transform(v, lambda e: F.abs(e)))
-    fine = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e)) & (most > 0) & (most < float("inf"))
-    scaled = F.transform(v, lambda e: e / most)  # squares of huge or tiny components stay in range
-    size = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, e: s + e * e))
-    return vectors.select(F.col(id_col).cast("long").alias("id"),
-                          F.when(F.coalesce(fine, F.lit(False)), F.transform(scaled, lambda e: e / size)).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+    def scale(batches):
+        for batch in batches:
+            # null components come as NaN, which no check below lets pass
+            units = [_unit(v) for v in batch.column(1).to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.float64()))], ["id", "v"])
+
+    return rows.mapInArrow(scale, "id long, v array<double>")
+
+
+def _unit(v: np.ndarray | None) -> np.ndarray | None:
+    most = np.abs(v).max(initial=0.0) if v is not None else 0.0
+    if not 0 < most < np.inf:
+        return None
+    scaled = np.asarray(v, dtype=np.float64) / most  # squares of huge or tiny components stay in range
+    return scaled / np.sqrt(scaled @ scaled)
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
