@@ -84,6 +84,7 @@ _L, _B = T.LongType(), T.BinaryType()
 _schema = lambda **fields: T.StructType([T.StructField(k, v) for k, v in fields.items()])
 _SUFFIXES = _schema(doc=_L, spot=_L, own=_L, ctx=_L)
 _CONTEXTS = _schema(own=_L, doc=_L, spot=_L, left=_B, right=_B)
+_PLACED = _schema(own=_L, doc=_L, spot=_L, left=_B, right=_B, crowded=T.BooleanType())
 
 # A spot is one long: twelve more bits of the text's key, the position, and how far its surroundings reach
 # to the left and to the right.
@@ -273,14 +274,14 @@ def _packed(texts: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes around the wanted suffixes (own, doc, spot): reversed to the left, beyond the dealt part to the right."""
+    """The bytes around the wanted suffixes (own, doc, spot, crowded): reversed to the left, beyond the dealt part to the right."""
     span = int(length * SPAN_SHARE)
     known = length - span
-    per_doc = wanted.groupBy("doc", _more(F.col("spot")).alias("more")).agg(F.collect_list(F.struct("own", "spot")).alias("spots"))
+    per_doc = wanted.groupBy("doc", _more(F.col("spot")).alias("more")).agg(F.collect_list(F.struct("own", "spot", "crowded")).alias("spots"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         open_ = zstandard.ZstdDecompressor()
-        left, right, owns, docs, places = [], [], [], [], []
+        left, right, owns, docs, places, crowded = [], [], [], [], [], []
         for doc, packed, spots in zip(*(batch.column(i).to_pylist() for i in range(3))):
             raw = open_.decompress(packed)
             for s in spots:
@@ -290,10 +291,11 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 owns.append(s["own"])
                 docs.append(doc)
                 places.append(s["spot"])
-        return pa.RecordBatch.from_arrays([pa.array(owns, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()),
-                                           pa.array(left, pa.binary()), pa.array(right, pa.binary())], _CONTEXTS.names)
+                crowded.append(s["crowded"])
+        return pa.RecordBatch.from_arrays([pa.array(owns, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(left, pa.binary()),
+                                           pa.array(right, pa.binary()), pa.array(crowded, pa.bool_())], _PLACED.names)
 
-    return map_slices(_packed(texts).join(per_doc, ["doc", "more"]).select("doc", "packed", "spots"), work, _CONTEXTS, "packed", 1 << 20)
+    return map_slices(_packed(texts).join(per_doc, ["doc", "more"]).select("doc", "packed", "spots"), work, _PLACED, "packed", 1 << 20)
 
 
 def _tree(contexts: DataFrame, length: int) -> DataFrame:
@@ -362,8 +364,7 @@ def _hot(contexts: DataFrame, length: int, range_limit: int) -> DataFrame:
     Keys that leave a small part of the length open cut a range into smaller ones, which get trees.  What is
     still crowded is counted by keys of the whole length, with map-side combining.
     """
-    span = int(length * SPAN_SHARE)
-    hot = durable(contexts, "crowded")
+    span, hot = int(length * SPAN_SHARE), contexts
     keyed = durable(_keys(hot, span, CUTS).select("key", "doc", "spot"), "keys")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     sized = durable(keyed.join(sizes, "key"), "cut")
@@ -392,12 +393,13 @@ def repeat_extents(texts: DataFrame, length: int = LENGTH, range_limit: int = RA
     twice = classes.filter("n > 1").select("own", "ctx")
     found = repeated.filter(before + after >= length).join(twice, ["own", "ctx"]).select(*_extent(F.col("spot"), before, after))
     ranges = classes.groupBy("own").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    wanted = classes.join(ranges, "own").select("own", "rep.doc", "rep.spot", "members")
-    small = wanted.filter(F.col("members") <= range_limit).drop("members")
-    large = wanted.filter(F.col("members") > range_limit).drop("members")
-    found = found.unionByName(_tree(_contexts(texts, small, length), length))
+    wanted = classes.join(ranges, "own").select("own", "rep.doc", "rep.spot", (F.col("members") > range_limit).alias("crowded"))
+    # written, so that the texts cross the network once for both kinds of ranges
+    contexts = durable(_contexts(texts, wanted, length), "contexts")
+    found = found.unionByName(_tree(contexts.filter(~F.col("crowded")), length))
+    large = contexts.filter("crowded").drop("crowded")
     if large.limit(1).count():
-        found = found.unionByName(_hot(_contexts(texts, large, length), length, range_limit))
+        found = found.unionByName(_hot(large, length, range_limit))
     return found
 
 
