@@ -236,6 +236,33 @@ def test_trees_add_spans_like_the_base_ones(spark):
         assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(of, of[1:]))
 
 
+def test_trees_add_planted_spans_beside_the_base_ones(spark):
+    rng = random.Random(12)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows, planted = [], {}
+    for k in range(2400):
+        phone, domain = f"{number(3)}) {number(3)}-{number(4)}", f"{rng.choice(['site', 'post', 'firm'])}{k % 9}"
+        octets = [str(rng.randint(1, 255)) for _ in range(4)]
+        kind, base, other = [("phone", f"+1 ({phone}", f"({phone}"), ("email", f"jo{k}@{domain}.com", f"jo{k} at {domain} dot com"),
+                             ("ip", ".".join(octets), "2001:db8::" + ":".join(octets[:3]))][k % 3]
+        lead = {"phone": "please call my phone ", "email": "please mail to ", "ip": "the server is "}[kind]
+        if k % 4 == 1:
+            span = other if k % 12 < 6 or kind == "phone" else base
+        else:
+            span = base if k % 4 else ""
+        text = f"{lead}{span} today" if span else f"invoice no order {number(4)} {number(2)} {number(3)} {number(3)} and version {number(3)}.{number(3)}.300.{number(2)}"
+        if span == other:
+            planted[k] = (kind, len(lead), len(lead) + len(span))
+        rows.append((k, text))
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["added"]} for r in pii.find_spans(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in ("phone", "email", "ip"):
+        of = [k for k, s in planted.items() if s[0] == kind]
+        assert of and sum(planted[k] in got[k] for k in of) >= 0.9 * len(of), kind
+    clean = [k for k in range(2400) if k % 4 == 0]
+    assert sum(len(got[k]) for k in clean) <= 0.02 * len(clean)
+
+
 def test_digest_and_redaction(spark):
     text = "é mail a@b.de or 10.0.0.1, card 4041 8949 7460 8795, +49 30 1234567."
     got = pii.digest(pii.find_spans(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))).collect()
