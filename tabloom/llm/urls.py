@@ -24,10 +24,10 @@ LEAST_PAGES = 20
 MIN_CONFIDENCE = 0.5
 #: The bad share among addresses with the combination, as a multiple of the bad share overall.
 MIN_LIFT = 1.5
-#: Tokens of a combination.
-MOST_TOKENS = 3
-#: Labels of a host from its end, first folders of a path and first parameters that become tokens.  Tokens that
-#: always stand together double the combinations with each further one, so their number is bounded.
+#: Labels that a host name can have; of a longer run of labels the last ones become tokens.
+MOST_LABELS = 127
+#: What the SQL below reads of an address: labels of the host from its end, first folders and first parameters.  The
+#: operator reads them all.
 HOST_LABELS, FOLDERS, PARAMETERS = 4, 4, 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,68 +69,85 @@ def tokens_of(host: Column, path: Column, url: Column) -> Column:
     Runs of digits are one token each, whatever their value, so that numbered pages look alike.
     """
     labels = F.split(host, r"\.")
-    most = F.least(F.size(labels), F.lit(HOST_LABELS))
+    most = F.least(F.size(labels), F.lit(MOST_LABELS))
     suffixes = F.transform(F.sequence(F.lit(1), most), lambda k: F.concat(F.lit("host="), F.array_join(F.slice(labels, -k, k), ".")))
-    folders = F.transform(F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, FOLDERS), lambda p: F.concat(
+    folders = F.transform(F.filter(F.split(path, "/"), lambda p: p != ""), lambda p: F.concat(
         F.lit("path="), F.regexp_replace(p, "[0-9]+", "0")))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    names = F.transform(F.slice(F.filter(F.split(query, "&"), lambda q: q != ""), 1, PARAMETERS), lambda q: F.concat(F.lit("query="), F.split_part(q, F.lit("="), F.lit(1))))
+    names = F.transform(F.filter(F.split(query, "&"), lambda q: q != ""), lambda q: F.concat(F.lit("query="), F.split_part(q, F.lit("="), F.lit(1))))
     scheme = F.array(F.concat(F.lit("scheme="), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)))
     parts = [F.when(host != "", suffixes).otherwise(F.array().cast("array<string>")), folders, names, scheme]
     return F.coalesce(F.array_distinct(F.concat(*parts)), F.array().cast("array<string>"))
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               min_lift: float = MIN_LIFT, most_tokens: int = MOST_TOKENS, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(rule_id, tokens, confidence, support, lift) of the token combinations that go with bad labels.
+               min_lift: float = MIN_LIFT, most_tokens: int | None = None, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(rule_id, tokens, confidence, support, lift, alternatives) of the token combinations that go with bad labels.
 
     `labelled` is (tokens, bad).  FP-growth counts frequent combinations over all labelled rows; those with
     the bad label, divided by those without it, are the confidence.  A combination is pruned when a part
-    of it is a rule already, since whatever it blocks is blocked.
+    of it is a rule already, since whatever it blocks is blocked.  What cannot change a rule is left out before:
+    rare tokens, tokens of all rows, tokens that are rules alone, and all but one of the tokens that stand in
+    the same rows.  `alternatives` has, for each token of a rule, the tokens that stand in the same rows.
     """
-    baskets = labelled.filter("bad is not null").select(F.col("tokens").alias("items"), "bad")
-    baskets = durable(baskets, "baskets")
+    baskets = durable(labelled.filter("bad is not null").select(
+        F.col("tokens").alias("items"), "bad").withColumn("row", F.monotonically_increasing_id()), "baskets")
     total = baskets.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).first()
     empty = baskets.select(F.lit(0).cast("long").alias("rule_id"), F.col("items").alias("tokens"), F.lit(0.0).alias("confidence"),
-                           F.lit(0.0).alias("support"), F.lit(0.0).alias("lift")).limit(0)
+                           F.lit(0.0).alias("support"), F.lit(0.0).alias("lift"), F.array("items").alias("alternatives")).limit(0)
     need = max(math.ceil(min_support * total["n"]), least_pages)
     need_bad = max(1, math.ceil(min_confidence * need))
     if need_bad > total["bad"] or need > total["n"]:
         return empty
-    # a rule has at least `need` rows, hence `need_bad` bad ones; mining these first keeps both runs small
-    bad_sets = FPGrowth(itemsCol="items", minSupport=(need_bad - 0.5) / total["bad"]).fit(
-        baskets.filter("bad").select("items")).freqItemsets
-    fits = F.size("items").between(1, most_tokens)
-    bad_sets = durable(bad_sets.filter(fits).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")), "bad-sets")
-    all_sets = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / total["n"]).fit(baskets.select("items")).freqItemsets
-    all_sets = durable(all_sets.filter(fits).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n")), "all-sets")
-    rules = bad_sets.join(all_sets, "tokens").withColumn("confidence", F.col("n_bad") / F.col("n")).withColumn(
-        "support", F.col("n") / F.lit(total["n"])).withColumn("lift", F.col("confidence") / F.lit(total["bad"] / total["n"]))
-    rules = durable(rules.filter((F.col("n") >= need) & (F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)), "rules")
-    # a rule with a part that is a rule is redundant; parts have one token less at a time
-    parts, part = None, rules.select("tokens", F.col("tokens").alias("part"))
-    for _ in range(most_tokens - 1):
-        part = part.select("tokens", F.explode(F.transform("part", lambda t: F.array_remove("part", t))).alias("part")).filter("size(part) > 0")
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = part.limit(0)
-    longer = parts.join(rules.select(F.col("tokens").alias("part")), "part").select("tokens").distinct()
-    return rules.join(longer, "tokens", "left_anti").select(
-        F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support", "lift")
+    # a rule has at least `need` rows, hence `need_bad` bad ones, and so has each of its tokens
+    tokens = baskets.select("row", "bad", F.explode("items").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), F.bit_xor(F.xxhash64("row")).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("b")).filter((F.col("n") >= need) & (F.col("n_bad") >= need_bad))
+    same = durable(tokens.groupBy("n", "n_bad", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("same")).select(
+        F.array(F.col("same")[0]).alias("tokens"), "n", "n_bad", "same"), "tokens")
+    confidence = F.col("n_bad") / F.col("n")
+    holds = (F.col("n") >= need) & (confidence >= min_confidence) & (confidence / F.lit(total["bad"] / total["n"]) >= min_lift)
+    rules = same.filter(holds).select("tokens", "n", "n_bad")
+    rest = same.filter(~holds & (F.col("n") < total["n"])).agg(F.flatten(F.collect_list("tokens")).alias("keep"))
+    if most_tokens != 1:
+        left = baskets.crossJoin(rest).select(F.array_intersect("items", "keep").alias("items"), "bad").filter("size(items) > 1")
+        left = durable(left, "left")
+        rows = left.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).first()
+        if need <= rows["n"] and need_bad <= rows["bad"]:
+            fits = F.size("items").between(2, most_tokens or 1 << 30)
+            # mining the bad rows first keeps both runs small
+            bad_sets = FPGrowth(itemsCol="items", minSupport=(need_bad - 0.5) / rows["bad"]).fit(left.filter("bad").select("items")).freqItemsets
+            bad_sets = durable(bad_sets.filter(fits).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")), "bad-sets")
+            all_sets = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / rows["n"]).fit(left.select("items")).freqItemsets
+            all_sets = durable(all_sets.filter(fits).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n")), "all-sets")
+            rules = rules.unionByName(bad_sets.join(all_sets, "tokens").filter(holds))
+    rules = durable(rules, "rules")
+    # a rule with a part that is a rule is redundant; the part is met under its first token
+    part = rules.select(F.col("tokens").alias("part"), F.col("tokens")[0].alias("token"))
+    longer = rules.select("tokens", F.explode("tokens").alias("token")).join(part, "token").filter(
+        (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens").distinct()
+    kept = rules.join(longer, "tokens", "left_anti")
+    alternatives = kept.select("tokens", F.posexplode("tokens").alias("pos", "token")).join(
+        same.select(F.col("tokens")[0].alias("token"), "same"), "token").groupBy("tokens").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "same"))).alias("found"))
+    return kept.join(alternatives, "tokens").select(
+        F.xxhash64("tokens").alias("rule_id"), "tokens", confidence.alias("confidence"), (F.col("n") / F.lit(total["n"])).alias("support"),
+        (confidence / F.lit(total["bad"] / total["n"])).alias("lift"), F.col("found.same").alias("alternatives"))
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, matched rules) of the (key, tokens) rows whose tokens hold all tokens of a rule.
+    """(key, matched rules) of the (key, tokens) rows whose tokens hold each token of a rule or one of its alternatives.
 
-    The index lists each rule under its rarest token only; a row finds candidates by its tokens and checks
-    the whole rule, so frequent tokens such as a scheme never meet.
+    The index lists each rule under its rarest token and the alternatives of it only; a row finds candidates by
+    its tokens and checks the whole rule, so frequent tokens such as a scheme never meet.
     """
-    seen = rules.select("rule_id", "tokens", F.explode("tokens").alias("token"))
+    seen = rules.select("rule_id", F.explode(F.arrays_zip("tokens", "alternatives")).alias("t")).select(
+        "rule_id", F.col("t.tokens").alias("token"), F.col("t.alternatives").alias("under"))
     often = seen.groupBy("token").agg(F.count(F.lit(1)).alias("rules_with"))
-    key = seen.join(often, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("rules_with", "token")).alias("token"))
-    index = durable(rules.select("rule_id", F.col("tokens").alias("rule_tokens"), "confidence").join(key, "rule_id"), "index")
+    key = seen.join(often, "token").groupBy("rule_id").agg(F.min_by("under", F.struct("rules_with", "token")).alias("under"))
+    index = rules.select("rule_id", "alternatives", "confidence").join(key, "rule_id").withColumn("token", F.explode("under")).drop("under")
     asked = pages.select("key", "tokens", F.explode("tokens").alias("token"))
-    hits = asked.join(index, "token").filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    hits = asked.join(durable(index, "index"), "token").filter(F.forall("alternatives", lambda same: F.arrays_overlap(same, F.col("tokens"))))
     return hits.groupBy("key").agg(F.array_sort(F.collect_set("rule_id")).alias("matched_rules"), F.max("confidence").alias("confidence"))
 
 

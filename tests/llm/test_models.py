@@ -158,6 +158,23 @@ def test_mined_rules_block_what_they_fit(spark):
     assert all(abs(r["confidence"] - bad / n) < 1e-12 and r["confidence"] >= urls.MIN_CONFIDENCE for r, (n, bad) in zip(mined, counts))
 
 
+def test_rules_deep_in_an_address_and_of_four_tokens(spark):
+    rows = []
+    for k in range(480):
+        four = [f"{c}{'x' if k >> i & 1 else 'y'}" for i, c in enumerate("pqrs")]
+        turn = k // 16 % 15
+        last, fifth = "casino" if turn == 0 else "news", "track" if turn == 1 else "page"  # sole bad signs, behind four others
+        bad = turn < 2 or k % 16 == 15 and turn > 4  # three of the four letters are bad in fewer than half of their pages
+        rows.append((k, f"https://u.v.w.x.site.org/a/b/c/d/e/{last}/{'/'.join(four)}?f=1&g=2&h=3&i=4&{fifth}=5", bad))
+    labelled = spark.createDataFrame([r[1:] for r in rows], "url string, bad boolean")
+    fresh = [(1000, "https://new.org/1/2/3/4/5/6/casino"), (1001, "https://new.org/?a&b&c&d&e&track"), (1002, "https://new.org/px/qx/rx/sx"),
+             (1003, "https://new.org/px/qx/rx"), (1004, "https://u.v.w.x.site.org/a/b/c/d/e/news")]
+    table = spark.createDataFrame([r[:2] for r in rows] + fresh, "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(table, labelled).collect()}
+    assert all(got[k] == ("block" if k // 16 % 15 < 2 or k % 16 == 15 else "allow") for k, _, _ in rows)
+    assert [got[k] for k, _ in fresh] == ["block", "block", "block", "allow", "allow"]
+
+
 def test_address_odd_rows(spark):
     rows = [(None, "https://example.com/en/", 1), (1, None, 1), (1, None, 1), (2, "https://" + "a/" * 50_000, None)]
     table = spark.createDataFrame(rows, "page_id long, url string, html int").withColumns(
