@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -62,6 +63,23 @@ class PieceTable:
         at[at == len(self._sorted)] = 0
         return np.where(self._sorted[at] == key, self._order[at], -1)
 
+    def hits(self, prefix: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, length, piece) of every piece of one word that ends after `low` and up to `high`, in this order."""
+        ends, lengths, found = [], [], []
+        for length in range(1, min(high, self.longest) + 1):
+            end = np.arange(max(low + 1, length), high + 1)
+            # prefixes of one word: the ends stand in place of the words that advance together
+            key = prefix[end, 0] - prefix[end - length, 0] * self._powers[length]
+            at = np.searchsorted(self._sorted, key)
+            at[at == len(self._sorted)] = 0
+            hit = np.flatnonzero(self._sorted[at] == key)
+            ends.append(end[hit])
+            lengths.append(np.full(len(hit), length))
+            found.append(self._order[at[hit]])
+        end, length, piece = np.concatenate(ends), np.concatenate(lengths), np.concatenate(found)
+        order = np.lexsort((length, end))
+        return end[order], length[order], piece[order]
+
 
 #: Words of one length that advance together; bounds the arrays of a step.
 TOGETHER = 1 << 16
@@ -83,6 +101,23 @@ def word_groups(words: list[str], together: int = TOGETHER) -> Iterator[tuple[np
             yield few, np.frombuffer(raw, dtype="<u4").reshape(len(few), n).astype(np.uint64)
 
 
+#: A longer word is cut where no piece spans; a part that is still longer is searched alone.
+LONGEST_WORD = 256
+#: Positions of a long word whose pieces are looked up at once.
+WINDOW = 1 << 15
+
+
+def _in_order(ids: np.ndarray, counts: np.ndarray, order: list[int], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words that `order` numbers, end to end, and their number in each run of `sizes` words."""
+    begin = np.cumsum(counts) - counts
+    at = np.array(order, dtype=np.int64)
+    n = counts[at]
+    out = ids[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at], n)]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    stops = np.cumsum(sizes)
+    return out, ends[stops] - ends[stops - sizes]
+
+
 class Codec:
     """The pieces of a SentencePiece model with byte fallback: text to ids and back."""
 
@@ -110,8 +145,62 @@ class Codec:
         for i in plain:
             self._spelling[i] = pieces[i].replace(SPACE, " ").encode("utf-8", "surrogatepass")
 
+    def _prefixes(self, word: str) -> np.ndarray:
+        return self.table.prefixes(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(1, -1).astype(np.uint64))
+
+    def parts(self, word: str) -> list[str]:
+        """The word cut at every place that no piece spans: its best segmentation is that of the parts."""
+        n, prefix = len(word), self._prefixes(word)
+        spans = np.zeros(n + 1, dtype=np.int64)
+        for low in range(0, n, WINDOW):
+            end, length, _ = self.table.hits(prefix, low, min(n, low + WINDOW))
+            np.add.at(spans, end - length + 1, 1)
+            np.add.at(spans, end, -1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(spans)[1:n] == 0) + 1).tolist(), n]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _encode_long(self, word: str) -> list[int]:
+        """The ids of one long word: the same search, position by position over the pieces that end there."""
+        n, prefix, scores = len(word), self._prefixes(word), self.table.scores
+        best, back, used = array("d", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
+        for low in range(0, n, WINDOW):
+            high = min(n, low + WINDOW)
+            ends, lengths, found = self.table.hits(prefix, low, high)
+            values = scores[found].tolist()
+            ends, lengths, found = ends.tolist(), lengths.tolist(), found.tolist()
+            k, m = 0, len(ends)
+            for end in range(low + 1, high + 1):
+                top, size, piece = best[end - 1] + self._unknown, 1, -1
+                while k < m and ends[k] == end:
+                    score = best[end - lengths[k]] + values[k]
+                    if score >= top or lengths[k] == 1:
+                        top, size, piece = score, lengths[k], found[k]
+                    k += 1
+                best[end], back[end], used[end] = top, size, piece
+        ids, at = [], n
+        while at:
+            if used[at] >= 0:
+                ids.append(int(self.ids[used[at]]))
+            else:
+                ids += self.byte_id[list(word[at - 1].encode("utf-8", "surrogatepass"))][::-1].tolist()
+            at -= back[at]
+        return ids[::-1]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words end to end, and the number of ids of each word.
+        """The ids of all words end to end, and the number of ids of each word."""
+        if max(map(len, words), default=0) <= LONGEST_WORD:
+            return self._encode_parts(words)
+        number: dict[str, int] = {}
+        order: list[int] = []
+        n_parts = np.zeros(len(words), dtype=np.int64)
+        for i, w in enumerate(words):
+            parts = self.parts(w) if len(w) > LONGEST_WORD else [w]
+            n_parts[i] = len(parts)
+            order.extend([number.setdefault(x, len(number)) for x in parts])
+        return _in_order(*self._encode_parts(list(number)), order, n_parts)
+
+    def _encode_parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """`encode_words` of words or of parts of them.
 
         Words of equal length advance together.  At each end position the best score over all pieces that
         end there is a maximum over arrays, and the winning piece's length is the backpointer; of equal
@@ -120,7 +209,14 @@ class Codec:
         table = self.table
         counts = np.zeros(len(words), dtype=np.int64)
         found_words, found_ids = [], []
-        for rows, chars in word_groups(words):
+        short = np.array([i for i, w in enumerate(words) if len(w) <= LONGEST_WORD], dtype=np.int64)
+        for i, w in enumerate(words):
+            if len(w) > LONGEST_WORD:
+                ids = np.array(self._encode_long(w), dtype=np.int32)
+                found_words.append(np.full(len(ids), i))
+                found_ids.append((np.arange(len(ids)), ids))
+        for rows, chars in word_groups([words[i] for i in short.tolist()]):
+            rows = short[rows]
             w, n = chars.shape
             prefix = table.prefixes(chars)
             best = np.full((n + 1, w), -np.inf)
@@ -180,14 +276,7 @@ class Codec:
                 words = split_words(t)
                 n_words[i] = len(words)
                 order.extend([number.setdefault(w, len(number)) for w in words])
-        ids, counts = self.encode_words(list(number))
-        begin = np.cumsum(counts) - counts
-        order = np.array(order, dtype=np.int64)
-        n = counts[order]
-        out = ids[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[order], n)]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        stops = np.cumsum(n_words)
-        return out, ends[stops] - ends[stops - n_words]
+        return _in_order(*self.encode_words(list(number)), order, n_words)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids spell, without the space put before its first word."""
@@ -196,10 +285,6 @@ class Codec:
         return raw[1:].decode("utf-8", "surrogatepass") if raw.startswith(b" ") else raw.decode("utf-8", "surrogatepass")
 
 
-#: A longer word is encoded as consecutive words of this length.
-LONGEST_WORD = 256
-
-
 def split_words(text: str) -> list[str]:
     """The words of a text after a space is put before it; each keeps the run of spaces before it.
 
@@ -215,8 +300,6 @@ def split_words(text: str) -> list[str]:
                 words.append(marked[start:k])
                 start = k
         words.append(marked[start:])
-    if max(map(len, words)) > LONGEST_WORD:
-        words = [w[i: i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
     return words
 
 

@@ -173,6 +173,17 @@ def test_best_segmentation_by_brute_force(codec):
         at += n
 
 
+def test_long_words_have_the_best_segmentation(codec):
+    library = unigram_library()
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(n))
+    texts = [letters(n) for n in (256, 257, 700, 3000)] + ["\n".join(letters(rng.randint(3, 9)) for _ in range(200)),
+             "".join(rng.choice("的一是在不了有和人这中大为上个国") for _ in range(900)), f"short {letters(600)} words {letters(5)}"]
+    ids, counts = codec.encode(texts)
+    ends = np.cumsum(counts)
+    assert [ids[e - n: e].tolist() for e, n in zip(ends, counts)] == library.encode(texts, num_threads=1)
+
+
 def test_decoding_gives_the_text_back(codec):
     rng = random.Random(6)
     texts = [t for t in ODD if t] + ["".join(rng.choice("ab é漢🙂\n\t  \x00ß") for _ in range(rng.randint(1, 60))) for _ in range(800)]
