@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, langid, lines, pieces, pii, simhash, suffixes, tokens, urls, vectors
+from tabloom.llm import (bytenet, decontaminate, interactions, langid, lines, phrases, pieces, pii, simhash, suffixes, tokens, urls,
+                         vectors)
 from tabloom.sources.tables import table
 
 
@@ -55,12 +56,26 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "documents"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return interactions.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return bytenet.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_line_dedup, op3_embedding_near_dedup, op4_benchmark_decontamination, op5_url_filter,
-        op6_token_files, op7_sentencepiece, op8_suffix_array_dedup, op9_pii, op10_language_id)
+        op6_token_files, op7_sentencepiece, op8_suffix_array_dedup, op9_pii, op10_language_id, op11_filter_interaction_audit,
+        op12_quality_classifier, op13_phrase_collocations)
 }
 
 #: Near copies, graph search, tokens, learned models and byte offsets are beyond SQL; their tests compare with brute force.
 ORACLES: dict[str, str] = {
-    "op2_line_dedup": lines.SQL, "op4_benchmark_decontamination": decontaminate.SQL, "op5_url_filter": urls.SQL}
+    "op2_line_dedup": lines.SQL, "op4_benchmark_decontamination": decontaminate.SQL, "op5_url_filter": urls.SQL,
+    "op11_filter_interaction_audit": interactions.SQL, "op13_phrase_collocations": phrases.SQL}
