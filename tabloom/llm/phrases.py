@@ -1,25 +1,30 @@
 """Phrases whose words keep together, counted by prefix-free parsing.
 
-Runs of words are cut into chunks where the text itself says so: a chunk ends with a pair of words whose hash has a
-given remainder, and the next one begins with the same pair.  Equal passages are therefore cut alike wherever they
-stand, and a dictionary of distinct chunks with their frequencies stands for the corpus.  Phrases are counted inside
-distinct chunks, weighted by frequency.  A phrase belongs to the chunk in which it begins, the shared pair to the later
-chunk, so that overlaps count once.
+Texts are cut into chunks where they say so themselves: a chunk ends with a pair of words whose hash has a given
+remainder, and the next one begins with the same pair.  Equal passages are therefore cut alike wherever they stand,
+and a dictionary of distinct chunks with their frequencies stands for the corpus.  Phrases are counted inside distinct
+chunks, weighted by frequency.  A phrase belongs to the chunk in which it begins, the shared pair to the later chunk,
+so that overlaps count once.
+
+Counting goes by length: a phrase is frequent only if the two phrases without its first and its last word are, so
+longer ones are formed only where these are marked in a bitmap of hashes.  The bitmap's size is bounded; a mark too
+many costs a counted phrase that is dropped later, never a result.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import binary_views, column_of
-from tabloom.session import durable
+from tabloom.llm.common import binary_views, column_of, slices
+from tabloom.session import scratch_path
 
 #: The longest phrase in words; chunks share one word less.
 WORDS = 3
@@ -31,140 +36,262 @@ PART = 50
 #: Rows returned per language.
 TOP = 2000
 #: One of so many word pairs ends a chunk.
-ONE_IN = 12
-#: A chunk ends here at the latest, so runs without a trigger do not become one row.
+ONE_IN = 32
+#: A chunk has about so many words at most, so runs without a trigger do not become one row.
 LONGEST_CHUNK = 512
-#: A task writes its counts when they hold so many bytes of text.
-HELD_BYTES = 48 << 20
+#: Bytes of text that a task works on at a time; longer texts are parsed in parts that end at a break.
+SLICE = 4 << 20
+#: Bounds of the bitmaps of frequent phrases, in powers of two; and bits per frequent phrase between them.
+FEWEST_BITS, MOST_BITS, BITS_EACH = 20, 26, 16
 #: Parts of a language that are ranked apart before the language is.
 RANK_PARTS = 64
 
-_BREAK = re.compile(rb"[.,;:!?\x0a-\x0d]+")
-
-
-class _Hashes(dict):
-    """Word → hash, computed once per task; starts anew when it holds many words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = zlib.crc32(word)
-        return value
+# what a byte is: 0 part of a word, 1 blank, 2 a break that no phrase crosses
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, 0x09]] = 1
+_KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class Words:
+    """The words of several texts in one buffer of lower-cased bytes."""
+
+    data: np.ndarray
+    starts: np.ndarray  # first byte of each word
+    ends: np.ndarray
+    text: np.ndarray  # the text of each word
+    joined: np.ndarray  # whether the next word stands in the same piece; false for the last word
+    ids: np.ndarray  # into `vocabulary`
+    vocabulary: pa.Array
+    hashes: np.ndarray  # of the vocabulary
+
+    @classmethod
+    def of(cls, texts: list) -> Words:
+        sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        kind = _KIND[data]
+        inside = kind == 0
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        filled = bounds[:-1][sizes > 0]
+        first[filled] = inside[filled]
+        filled = bounds[1:][sizes > 0] - 1
+        last[filled] = inside[filled]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        text = np.searchsorted(bounds, starts, side="right") - 1
+        breaks = np.flatnonzero(kind == 2)
+        joined = np.zeros(len(starts), bool)
+        if len(starts):
+            joined[:-1] = (np.searchsorted(breaks, starts[1:]) == np.searchsorted(breaks, ends[:-1])) & (text[1:] == text[:-1])
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+        coded = coded.dictionary_encode()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        return cls(data, starts, ends, text, joined, coded.indices.to_numpy().astype(np.int64), coded.dictionary, hashes)
+
+
+def chunk_bounds(words: Words, one_in: int = ONE_IN, longest: int = LONGEST_CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, whether it ends its text) of each chunk; chunks of one text share SHARED words."""
+    n = len(words.ids)
+    fresh = np.ones(n, bool)
+    fresh[1:] = words.text[1:] != words.text[:-1]
+    begin = np.flatnonzero(fresh)
+    stop = np.append(begin[1:], n)
+    h = words.hashes[words.ids]
+    cut = fresh.copy()
+    # a pair that begins a text cuts nothing, one that ends it leaves a chunk of the pair alone
+    cut[:-1] |= ((h[:-1] * _MIX + h[1:]) >> np.uint64(16)) % np.uint64(one_in) == 0
+    cut[stop[stop > 0] - 1] = fresh[stop[stop > 0] - 1]
+    first = np.flatnonzero(cut)
+    ends = np.append(first[1:], n)
+    long = np.flatnonzero(ends - first > longest)
+    if len(long):
+        more = np.concatenate([np.arange(first[i] + longest, ends[i], longest) for i in long])
+        more = more[more + SHARED <= stop[np.searchsorted(begin, more, side="right") - 1]]
+        first = np.union1d(first, more)
+    last = np.append(words.text[first[1:]] != words.text[first[:-1]], True) if len(first) else np.zeros(0, bool)
+    end = np.append(first[1:] + SHARED, n) if len(first) else first
+    end[last] = stop[np.searchsorted(begin, first[last], side="right") - 1] if len(first) else end[last]
+    return first, end, last
+
+
+def _parts(text: bytes, most: int) -> Iterator[bytes]:
+    """A long text in parts that end at a break, which no phrase crosses; a stretch without one stays whole."""
+    breaks = [bytes([b]) for b in np.flatnonzero(_KIND == 2)]
+    while len(text) > most:
+        at = max(text.rfind(c, 0, most) for c in breaks)
+        if at < 0:
+            at = min((x for x in (text.find(c, most) for c in breaks) if x >= 0), default=-1)
+        if at < 0:
+            break
+        yield text[: at + 1]
+        text = text[at + 1:]
+    yield text
+
+
+_CHUNK = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("last", pa.bool_())])
+_PHRASE = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
 
 
-def runs_of_words(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, A-Z lower-cased; pieces without a word are left out."""
-    for piece in _BREAK.split(text.lower()):  # lower() of bytes changes A-Z only
-        words = piece.split()  # line ends are gone, so 20 and 09 are all that parts words
-        if words:
-            yield words
+def _parse(one_in: int, longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text", SLICE):
+            langs = column_of(batch, "__lang").to_pylist()
+            pieces = [(lang, part) for lang, view in zip(langs, binary_views(column_of(batch, "__text")))
+                      for part in (_parts(bytes(view), SLICE) if view is not None else ())]
+            words = Words.of([p for _, p in pieces])
+            first, end, last = chunk_bounds(words, one_in, longest)
+            if not len(first):
+                continue
+            begin, sizes = words.starts[first], words.ends[end - 1] - words.starts[first]
+            places = np.concatenate([[0], np.cumsum(sizes)])
+            data = words.data[np.repeat(begin - places[:-1], sizes) + np.arange(places[-1])]
+            chunk = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(data)])
+            lang = pa.array([p for p, _ in pieces], pa.string()).take(pa.array(words.text[first]))
+            yield pa.RecordBatch.from_arrays([lang, chunk.cast(pa.binary()), pa.array(last)], schema=_CHUNK)
 
+    return run
 
-def chunks(words: list[bytes], hashes: dict, one_in: int = ONE_IN, longest: int = LONGEST_CHUNK) -> Iterator[tuple[bytes, bool]]:
-    """(chunk, whether it is the last of its run): consecutive chunks share SHARED words."""
-    start, end = 0, len(words)
-    if end > SHARED + 1:
-        hs = [hashes[w] for w in words]
-        for at in range(1, end - SHARED):
-            if (hs[at] * 31 + hs[at + 1]) % one_in == 0 or at - start >= longest:
-                yield b" ".join(words[start: at + SHARED]), False
-                start = at
-    yield b" ".join(words[start:] if start else words), True
 
+def _marked(bitmap: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    if bitmap is None:
+        return np.ones(len(hashes), bool)
+    bit = hashes >> np.uint64(64 - int(np.log2(len(bitmap) * 64)))
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-def phrases_of(chunk: bytes, last: bool, longest: int = WORDS) -> Iterator[tuple[int, bytes]]:
-    """(number of words, phrase) for all phrases that begin in a chunk and not in the pair it shares with the next."""
-    words = chunk.split(b" ")
-    n = len(words)
-    for at in range(n if last else n - SHARED):
-        phrase = words[at]
-        yield 1, phrase
-        for k in range(1, min(longest, n - at)):
-            phrase = phrase + b" " + words[at + k]
-            yield k + 1, phrase
 
+def _phrase_hash(*words: np.ndarray) -> np.ndarray:
+    """The hash of phrases from the hashes of their words, which carry their language."""
+    h = words[0].copy()
+    for w in words[1:]:
+        h = (h ^ (h >> np.uint64(29))) * _MIX + w
+    return (h ^ (h >> np.uint64(32))) * _MIX
 
-class _Tally:
-    """Counts by key of one task, given out whenever their texts fill `held` bytes."""
 
-    def __init__(self, schema: pa.Schema, held: int):
-        self.schema, self.held, self.bytes, self.counts = schema, held, 0, defaultdict(int)
+def _lang_hashes(langs: list) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in langs), np.uint64, len(langs))
 
-    def add(self, key: tuple, n: int, size: int) -> None:
-        before = len(self.counts)
-        self.counts[key] += n
-        if len(self.counts) > before:
-            self.bytes += size + 150  # a key's objects besides its text
 
-    def full(self) -> bool:
-        return self.bytes >= self.held
+def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one row of each key, sum of its weights)."""
+    order = np.argsort(keys, kind="stable")
+    edges = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else order
+    return order[edges], np.add.reduceat(weights[order], edges) if len(keys) else weights
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        items = list(self.counts.items())
-        self.counts.clear()
-        self.bytes = 0
-        for i in range(0, len(items), 50_000):
-            part = items[i: i + 50_000]
-            cols = [*zip(*[k for k, _ in part]), [n for _, n in part]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, self.schema)], schema=self.schema)
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
-_CHUNK = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("last", pa.bool_()), ("n", pa.int64())])
-_PHRASE = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
 
+def _count(k: int, bitmap):
+    """Counts of the phrases of k words whose parts of k - 1 words are marked; for single words also all words, as phrase of none."""
 
-def _parse(held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, tally = _Hashes(), _Tally(_CHUNK, held)
-        for batch in batches:
-            for lang, view in zip(column_of(batch, "__lang").to_pylist(), binary_views(column_of(batch, "__text"))):
-                for words in runs_of_words(bytes(view or b"")):
-                    for chunk, last in chunks(words, hashes):
-                        tally.add((lang, chunk, last), 1, len(chunk))
-                    if tally.full():
-                        yield from tally.batches()
-        yield from tally.batches()
+        marks = bitmap.value if bitmap is not None else None
+        for table in _gathered(batches, 2 * SLICE):
+            batch = table.combine_chunks().to_batches()[0] if len(table) else None
+            if batch is None:
+                continue
+            words = Words.of([bytes(v) for v in binary_views(column_of(batch, "chunk"))])
+            n = len(words.ids)
+            lang = column_of(batch, "lang").dictionary_encode()
+            lang_of = lang.indices.to_numpy().astype(np.int64)[words.text]
+            hashes = words.hashes[words.ids] ^ _lang_hashes(lang.dictionary.to_pylist())[lang_of]
+            weight = column_of(batch, "n").to_numpy().astype(np.int64)[words.text]
+            # a phrase counts where it begins, but not in the pair shared with the next chunk
+            per = np.bincount(words.text, minlength=len(batch))
+            nth = np.arange(n) - (np.cumsum(per) - per)[words.text]
+            ends = column_of(batch, "last").to_numpy(zero_copy_only=False)[words.text]
+            begins = ends | (nth < per[words.text] - SHARED)
+            span = n - k + 1
+            if span <= 0:
+                continue
+            ok = begins[:span].copy()
+            for j in range(k - 1):
+                ok &= words.joined[j: j + span]
+            if k > 1:
+                part = _marked(marks, _phrase_hash(*[hashes[j: n - k + 2 + j] for j in range(k - 1)]))
+                ok &= part[:-1] & part[1:]
+            at = np.flatnonzero(ok)
+            key = lang_of[at]
+            for j in range(k):
+                key = np.unique(key * len(words.vocabulary) + words.ids[at + j], return_inverse=True)[1]
+            one, total = _sums(key, weight[at])
+            texts = [words.vocabulary.take(pa.array(words.ids[at[one] + j])) for j in range(k)]
+            phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if k > 1 else texts[0]
+            langs, counts, size = lang.dictionary.take(pa.array(lang_of[at[one]])), pa.array(total), [k] * len(one)
+            phrase = phrase.cast(pa.binary())
+            if k == 1:
+                some, whole = _sums(lang_of[at], weight[at])
+                langs = pa.concat_arrays([langs, lang.dictionary.take(pa.array(lang_of[at[some]]))])
+                phrase = pa.concat_arrays([phrase, pa.array([b""] * len(some), pa.binary())])
+                counts, size = pa.concat_arrays([counts, pa.array(whole)]), size + [0] * len(some)
+            yield pa.RecordBatch.from_arrays([langs, pa.array(size, pa.int32()), phrase, counts], schema=_PHRASE)
 
     return run
 
 
-def _count(held: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(_PHRASE, held)
-        for batch in batches:
-            langs, lasts, ns = (column_of(batch, c).to_pylist() for c in ("lang", "last", "n"))
-            for lang, view, last, n in zip(langs, binary_views(column_of(batch, "chunk")), lasts, ns):
-                for words, phrase in phrases_of(bytes(view), last):
-                    tally.add((lang, words, phrase), n, len(phrase))
-                if tally.full():
-                    yield from tally.batches()
-        yield from tally.batches()
-
-    return run
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder, packed tighter than by default: the dictionary is as long as the corpus."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", held: int = HELD_BYTES) -> DataFrame:
+def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", one_in: int = ONE_IN,
+               longest: int = LONGEST_CHUNK) -> DataFrame:
     """(lang, chunk, last, n): the distinct chunks of each language with their frequencies in the parse.
 
-    A null language is `und`; null and blank texts have no chunk.
+    Chunks keep the bytes between their words.  A null language is `und`; null and blank texts have no chunk.
     """
     plain = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("__lang"),
                         F.col(f"`{text_col}`").cast("string").alias("__text"))
-    parsed = plain.mapInArrow(_parse(held), "lang string, chunk binary, last boolean, n long")
-    return parsed.groupBy("lang", "chunk", "last").agg(F.sum("n").alias("n"))
+    parsed = plain.mapInArrow(_parse(one_in, longest), "lang string, chunk binary, last boolean")
+    return parsed.groupBy("lang", "chunk", "last").agg(F.count("*").alias("n"))
 
 
-def phrase_counts(chunk_table: DataFrame, held: int = HELD_BYTES) -> DataFrame:
-    """(lang, words, phrase, n): all contiguous occurrences of all phrases of up to WORDS words."""
-    counted = chunk_table.mapInArrow(_count(held), "lang string, words int, phrase binary, n long")
+def phrase_counts(chunk_table: DataFrame, k: int, shorter: DataFrame | None = None) -> DataFrame:
+    """(lang, words, phrase, n): all contiguous occurrences of the phrases of k words.
+
+    With the frequent phrases of k - 1 words, phrases that cannot be frequent are left out, though not all of them.
+    The rows of single words come with one row of no words per language, which counts all words.
+    """
+    marks = None if shorter is None or k == 1 else chunk_table.sparkSession.sparkContext.broadcast(_bitmap(shorter, k - 1))
+    counted = chunk_table.mapInArrow(_count(k, marks), "lang string, words int, phrase binary, n long")
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def word_totals(chunk_table: DataFrame) -> DataFrame:
-    """(lang, total): all word occurrences, from the words that begin in each chunk."""
-    chunk = F.col("chunk").cast("string")
-    begin = F.length(chunk) - F.length(F.translate(chunk, " ", "")) + 1 - F.when(F.col("last"), 0).otherwise(SHARED)
-    return chunk_table.groupBy("lang").agg(F.sum(begin * F.col("n")).alias("total"))
+def _bitmap(frequent: DataFrame, k: int) -> np.ndarray:
+    """The marks of the frequent phrases of k words: 2^MOST_BITS bits at most, whatever their number."""
+    frequent = frequent.filter(F.col("words") == k)
+    bits = int(np.clip(np.ceil(np.log2(BITS_EACH * max(1, frequent.count()))), FEWEST_BITS, MOST_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = _lang_hashes(column_of(batch, "lang").to_pylist())
+            split = [bytes(v).split(b" ") for v in binary_views(column_of(batch, "phrase"))]
+            words = [np.fromiter((xxhash.xxh64_intdigest(p[j]) for p in split), np.uint64, len(split)) ^ langs for j in range(k)]
+            bit = (_phrase_hash(*words) >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bit)], names=["bit"])
+
+    set_ = frequent.select("lang", "phrase").mapInArrow(run, "bit long").groupBy(F.shiftright("bit", 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("marks")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[set_["at"].to_numpy()] = set_["marks"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
 
 
 def _cut_score(a: Column, left: Column, right: Column) -> Column:
@@ -175,15 +302,22 @@ def _cut_score(a: Column, left: Column, right: Column) -> Column:
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int = TOP,
-                 held: int = HELD_BYTES) -> DataFrame:
+                 one_in: int = ONE_IN, longest: int = LONGEST_CHUNK) -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score; see the contract of the query.
 
     Everything is counted over all rows.  A phrase has `min_count` occurrences only if all its parts have, so the
     tables that meet in joins hold frequent phrases only.  An empty table, or one without frequent phrases, has no row.
     """
-    parsed = durable(dictionary(docs, text_col, lang_col, held), "chunks")
-    often = durable(phrase_counts(parsed, held).filter(F.col("n") >= min_count).withColumn("phrase", F.col("phrase").cast("string")),
-                    "frequent")
+    parsed = _kept(dictionary(docs, text_col, lang_col, one_in, longest), "chunks")
+    levels = []
+    for k in range(1, WORDS + 1):
+        counts = phrase_counts(parsed, k, levels[-1] if levels else None)
+        levels.append(_kept(counts.filter((F.col("n") >= min_count) | (F.col("words") == 0)), f"phrases-{k}"))
+    totals = levels[0].filter("words = 0").select("lang", F.col("n").alias("total"))
+    often = levels[0].filter("words = 1")
+    for more in levels[1:]:
+        often = often.unionByName(more)
+    often = often.withColumn("phrase", F.col("phrase").cast("string"))
     phrases = often.filter("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
 
     # every cut of a candidate, met with the counts of its two parts
@@ -201,8 +335,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     left = scored.join(inside, ["lang", "phrase"], "left").filter(
         F.coalesce(100 * F.col("longer") < PART * F.col("a"), F.lit(True)))
-    left = durable(left.select("lang", "phrase", "a", "low.l", "low.r", "low.score"), "scored")
-    return _ranked(left, top).join(word_totals(parsed), "lang").select(
+    return _ranked(left.select("lang", "phrase", "a", "low.l", "low.r", "low.score"), top).join(totals, "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 

@@ -292,33 +292,55 @@ def phrase_corpus(seed=5):
     return rows + rows[:30] + [(500, None, "xx", None, None)]
 
 
-@pytest.mark.parametrize("held", [phrases.HELD_BYTES, 2000])
-def test_collocations_equal_brute_force(spark, held):
+@pytest.mark.parametrize("one_in, longest", [(phrases.ONE_IN, phrases.LONGEST_CHUNK), (2, 5), (10**9, 7)])
+def test_collocations_equal_brute_force(spark, one_in, longest):
     rows = phrase_corpus()
-    got = phrases.collocations(spark.createDataFrame(rows, SCHEMA).repartition(4), held=held, top=40)
+    got = phrases.collocations(spark.createDataFrame(rows, SCHEMA).repartition(4), one_in=one_in, longest=longest, top=40)
     want = slow_collocations(rows, top=40)
     assert sorted(tuple(r) for r in got.select(*COLLOCATION).collect()) == want and len(want) > 60
 
 
+def cut(texts, one_in, longest=512):
+    """[(text, words of a chunk, whether it is the last)] of each chunk."""
+    w = phrases.Words.of(texts)
+    spelled = w.vocabulary.take(w.ids).to_pylist()
+    return [(int(w.text[a]), spelled[a:b], bool(last)) for a, b, last in zip(*phrases.chunk_bounds(w, one_in, longest))]
+
+
 def test_chunks_assign_every_phrase_once():
     rng = random.Random(7)
-    for one_in, longest in ((1, 512), (3, 512), (10**9, 5), (10**9, 512)):
-        ws = [rng.choice([b"a", b"bb", b"c", b"dd"]) for _ in range(300)]
-        for n in (1, 2, 3, 4, 5, 300):
-            want, got = Counter(), Counter()
-            for k in (1, 2, 3):
-                want.update(b" ".join(ws[i: i + k]) for i in range(n - k + 1))
-            parts = list(phrases.chunks(ws[:n], phrases._Hashes(), one_in, longest))
-            for chunk, last in parts:
-                got.update(p for _, p in phrases.phrases_of(chunk, last))
-            assert got == want and [last for _, last in parts] == [False] * (len(parts) - 1) + [True]
+    texts = [b" ".join(rng.choice([b"a", b"bb", b"c", b"dd"]) for _ in range(n)) for n in (1, 0, 2, 3, 4, 5, 300, 0, 7, 513, 514, 515)]
+    for one_in, longest in ((1, 512), (3, 512), (10**9, 5), (10**9, 512), (4, 6)):
+        want, got = Counter(), Counter()
+        for t, text in enumerate(texts):
+            ws = text.split()
+            want.update((t, *ws[i: i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+        for t, ws, last in cut(texts, one_in, longest):
+            assert len(ws) <= longest + 2
+            got.update((t, *ws[i: i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1) if last or i < len(ws) - 2)
+        assert got == want
 
 
 def test_equal_passages_are_cut_alike():
     rng = random.Random(1)
-    shared = [w.encode() for w in words(rng, 400)]
-    cut = [dict.fromkeys(phrases.chunks([w.encode() for w in words(rng, 50)] + shared, phrases._Hashes())) for _ in range(2)]
-    assert len(set(cut[0]) & set(cut[1])) > 0.8 * len(cut[0]) - 8
+    shared = " ".join(words(rng, 4000))
+    seen = [{tuple(ws) for _, ws, _ in cut([(prose(rng, 50, words(rng, 80)) + " " + shared).encode()], phrases.ONE_IN)} for _ in range(2)]
+    assert len(seen[0] & seen[1]) > 0.9 * len(seen[0]) - 3 > 50
+
+
+def test_long_texts_are_parsed_in_parts_that_end_at_breaks():
+    text = b"one two. three, four five\nsix " * 50 + b"x" * 400 + b" y z"
+    parts = list(phrases._parts(text, 64))
+    assert b"".join(parts) == text and all(p[-1:] in b".,\n" for p in parts[:-1])
+
+
+def test_marks_never_lose_a_frequent_phrase(spark, monkeypatch):
+    """A bitmap far too small marks too much, and the result stays the same."""
+    docs = spark.createDataFrame(phrase_corpus(), SCHEMA)
+    monkeypatch.setattr(phrases, "FEWEST_BITS", 7)
+    monkeypatch.setattr(phrases, "MOST_BITS", 7)
+    got = phrases.collocations(docs, top=40)
+    assert sorted(tuple(r) for r in got.select(*COLLOCATION).collect()) == slow_collocations(phrase_corpus(), top=40)
 
 
 def test_scores_beyond_64_bits(spark):
