@@ -1,8 +1,7 @@
 """MLlib models: constructors, training, search, cross-validation, scoring.
 
-Constructors carry the hyper-parameters of the reference behaviour.  Stand-ins: extra-trees is a
-forest without bootstrap, the boosting brands are gradient-boosted trees, support vectors are
-linear, multiclass boosting and support vectors go one against the rest.
+Constructors carry the hyper-parameters of the reference behaviour.  Boosting and extra-trees are grown in
+`trees`, the others are MLlib's.
 """
 
 from __future__ import annotations
@@ -13,14 +12,14 @@ import random
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
     OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ from tabloom.functions.calendar import add, calendar_columns, period_columns
 from tabloom.operators.evaluate import classification_metrics, regression_metrics
 from tabloom.operators.neighbours import KNeighbors
 from tabloom.operators.splits import future_spine
+from tabloom.operators.trees import Boosting, ExtraTrees
 from tabloom.operators.windows import PANEL
 
 SEED = 42
@@ -83,14 +83,12 @@ def regressor(name: str, trees: int | None = None) -> Estimator:
         "DecisionTreeRegressor": lambda: DecisionTreeRegressor(maxDepth=10, minInstancesPerNode=5, seed=SEED),
         "RandomForestRegressor": lambda: RandomForestRegressor(
             numTrees=trees or 200, maxDepth=15, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=SEED),
-        "ExtraTreesRegressor": lambda: RandomForestRegressor(
-            numTrees=trees or 200, maxDepth=15, minInstancesPerNode=2, bootstrap=False, subsamplingRate=1.0,
-            featureSubsetStrategy="onethird", seed=SEED),
-        "GradientBoostingRegressor": lambda: GBTRegressor(
-            maxIter=trees or 200, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, seed=SEED),
-        "XGBRegressor": lambda: GBTRegressor(
-            maxIter=trees or 200, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED),
-        "CatBoostRegressor": lambda: GBTRegressor(maxIter=trees or 300, stepSize=0.1, maxDepth=6, seed=SEED),
+        "ExtraTreesRegressor": lambda: ExtraTrees(numTrees=trees or 200, maxDepth=15, minSplit=5, minRows=2, seed=SEED),
+        "GradientBoostingRegressor": lambda: Boosting(
+            first_order=True, l2=0.0, minRows=2, maxIter=trees or 200, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, seed=SEED),
+        "XGBRegressor": lambda: Boosting(
+            minWeight=1.0, maxIter=trees or 200, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED),
+        "CatBoostRegressor": lambda: Boosting(symmetric=True, l2=3.0, maxIter=trees or 300, stepSize=0.1, maxDepth=6, seed=SEED),
         "KNeighborsRegressor": lambda: KNeighbors(5),
     }
     return made[name]()
@@ -98,10 +96,6 @@ def regressor(name: str, trees: int | None = None) -> Estimator:
 
 def classifier(name: str, classes: int = 2, features: int = 1, trees: int | None = None) -> Estimator:
     """M2–M7, M9, M10."""
-    def boosted(step, depth, **kw):
-        one = GBTClassifier(maxIter=trees or 200, stepSize=step, maxDepth=depth, seed=SEED, **kw)
-        return one if classes == 2 else OneVsRest(classifier=one, parallelism=4)
-
     def vector():
         one = LinearSVC(maxIter=100, standardization=False)
         return Penalised(one if classes == 2 else OneVsRest(classifier=one, parallelism=4), "inverse", C=1.0)
@@ -111,11 +105,12 @@ def classifier(name: str, classes: int = 2, features: int = 1, trees: int | None
         "DecisionTreeClassifier": lambda: DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=5, seed=SEED),
         "RandomForestClassifier": lambda: RandomForestClassifier(
             numTrees=trees or 200, maxDepth=15, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=SEED),
-        "ExtraTreesClassifier": lambda: RandomForestClassifier(
-            numTrees=trees or 200, maxDepth=15, minInstancesPerNode=2, bootstrap=False, subsamplingRate=1.0,
-            featureSubsetStrategy="sqrt", seed=SEED),
-        "GradientBoostingClassifier": lambda: boosted(0.05, 3),
-        "XGBClassifier": lambda: boosted(0.1, 6, subsamplingRate=0.8, featureSubsetStrategy="0.8"),
+        "ExtraTreesClassifier": lambda: ExtraTrees(classes, numTrees=trees or 200, maxDepth=15, minSplit=5, minRows=2, seed=SEED),
+        "GradientBoostingClassifier": lambda: Boosting(
+            classes, first_order=True, l2=0.0, maxIter=trees or 200, stepSize=0.05, maxDepth=3, seed=SEED),
+        "XGBClassifier": lambda: Boosting(
+            classes, minWeight=1.0, maxIter=trees or 200, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+            seed=SEED),
         "SVC": vector,
         "GaussianNB": lambda: NaiveBayes(modelType="gaussian"),
         "KNeighborsClassifier": lambda: KNeighbors(5, classes),

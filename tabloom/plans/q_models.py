@@ -14,6 +14,7 @@ from tabloom.operators import forecast as Q
 from tabloom.operators import models as M
 from tabloom.operators import neighbours as N
 from tabloom.operators import splits as H
+from tabloom.operators import trees as T
 from tabloom.operators.prep import Preprocessor
 from tabloom.plans import runs
 from tabloom.plans.q_panel import brand_sales, pair_sales, whole_type_panel
@@ -23,6 +24,8 @@ from tabloom.sources.sinks import ModelPackage, write_predictions
 from tabloom.sources.tables import table
 
 TREES = 10
+#: A round of boosting takes a job per level, a level of extra-trees two.
+ROUNDS, LEVELS = 2, 5
 _FEATURES = ["p_partkey", "p_size", "p_brand", "p_type"]
 
 
@@ -131,17 +134,93 @@ def m3(spark, sf):
         _classify(spark, sf, ["RandomForestClassifier"]).select("model", "n", F.col("accuracy").alias("score")))
 
 
+def stump_rows(spark, sf):
+    """Parts with two small numbers as features and their price as label."""
+    part = table(spark, sf, "part").select(F.col("p_size").alias("a"), (F.col("p_partkey") % 10).alias("b"), "p_partkey", "p_retailprice")
+    return M.assemble(part, ["a", "b"], "p_retailprice").select(F.col("p_partkey").alias("row_id"), "features", "label")
+
+
+_STUMP = """WITH r AS (SELECT p_size AS a, p_partkey % 10 AS b, p_retailprice AS y FROM part),
+  x AS (SELECT 0 AS feature, a::DOUBLE AS v, y FROM r UNION ALL SELECT 1, b::DOUBLE, y FROM r),
+  w AS (SELECT count(*) AS n, avg(y) AS mean FROM r)"""
+
+
+def _stump(spark, tree):
+    low = tree.left[0]
+    return spark.createDataFrame([(tree.feature[0], tree.threshold[0], tree.value[low][0], tree.value[low + 1][0])],
+                                 "feature int, threshold double, low double, high double")
+
+
+def _mllib_stump(spark, sf, name, **values):
+    rows = stump_rows(spark, sf)
+    est = M.regressor(name, 1)
+    fit = est.fit(rows, {est.getParam(k): v for k, v in {"maxDepth": 1, "maxBins": 64, **values}.items()})
+    return fit.transform(rows).select("row_id", F.col("prediction").alias("yhat"))
+
+
+_SIDES = rnd(_STUMP + """, t AS (SELECT DISTINCT feature, v FROM x),
+  g AS (SELECT t.feature, t.v, sum(CASE WHEN x.v <= t.v THEN y END) AS s, count(*) FILTER (x.v <= t.v) AS n, sum(y) AS total, count(*) AS whole
+    FROM t JOIN x ON x.feature = t.feature GROUP BY 1, 2),
+  c AS (SELECT * FROM g WHERE n >= 5 AND whole - n >= 5 ORDER BY s * s / n + (total - s) * (total - s) / (whole - n) DESC, feature, v LIMIT 1)
+  SELECT p_partkey AS row_id, CASE WHEN CASE WHEN feature = 0 THEN p_size ELSE p_partkey % 10 END <= v THEN s / n
+    ELSE (total - s) / (whole - n) END AS yhat FROM part, c""", "yhat", 2)
+
+
+@query("M2_stump", _SIDES, 2)
+def m2_stump(spark, sf):
+    return _mllib_stump(spark, sf, "DecisionTreeRegressor")
+
+
+@query("M3_stump", _SIDES, 2)
+def m3_stump(spark, sf):
+    """A forest of one tree over all rows and features is the tree."""
+    return _mllib_stump(spark, sf, "RandomForestRegressor", bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy="all", minInstancesPerNode=5)
+
+
 @query("M4_extra_trees")
 def m4(spark, sf):
-    return _regress(spark, sf, ["ExtraTreesRegressor"]).select("model", "n", F.col("r2").alias("score")).unionByName(
-        _classify(spark, sf, ["ExtraTreesClassifier"]).select("model", "n", F.col("accuracy").alias("score")))
+    low = lambda est: {type(est).__name__: est.set(est.maxDepth, LEVELS)}
+    return _held_out(part_rows(spark, sf), low(M.regressor("ExtraTreesRegressor", TREES)), "regression").select(
+        "model", "n", F.col("r2").alias("score")).unionByName(
+        _held_out(document_rows(spark, sf), low(M.classifier("ExtraTreesClassifier", 2, 3, TREES)), "classification").select(
+            "model", "n", F.col("accuracy").alias("score")))
+
+
+@query("M4_extra_tree_stump", rnd(_STUMP + f""", d AS (SELECT feature, min(v) + CASE feature WHEN 0 THEN {T.uniform(42, 'cut', 0, 0, 0)!r}
+    ELSE {T.uniform(42, 'cut', 0, 0, 1)!r} END * (max(v) - min(v)) AS cut FROM x GROUP BY 1),
+  s AS (SELECT feature, cut, sum(CASE WHEN v <= cut THEN y END) AS l, count(*) FILTER (v <= cut) AS n, sum(y) AS t, count(*) AS m
+    FROM x JOIN d USING (feature) GROUP BY 1, 2)
+  SELECT CAST(feature AS INTEGER) AS feature, cut AS threshold, l / n AS low, (t - l) / (m - n) AS high FROM s
+  ORDER BY l * l / n + (t - l) * (t - l) / (m - n) DESC, feature LIMIT 1""", "threshold low high"))
+def m4_stump(spark, sf):
+    return _stump(spark, T.ExtraTrees(numTrees=1, maxDepth=1).fit(stump_rows(spark, sf)).trees[0])
 
 
 @query("M5_gradient_boosting")
 def m5(spark, sf):
-    return _regress(spark, sf, ["GradientBoostingRegressor", "XGBRegressor"]).select(
-        "model", "n", F.col("r2").alias("score")).unionByName(
-        _classify(spark, sf, ["GradientBoostingClassifier"]).select("model", "n", F.col("accuracy").alias("score")))
+    rows, labelled = part_rows(spark, sf), document_rows(spark, sf)
+    boosted = {m: M.regressor(m, ROUNDS) for m in ("GradientBoostingRegressor", "XGBRegressor", "CatBoostRegressor")}
+    classed = {m: M.classifier(m, 2, 3, ROUNDS) for m in ("GradientBoostingClassifier", "XGBClassifier")}
+    return _held_out(rows, boosted, "regression").select("model", "n", F.col("r2").alias("score")).unionByName(
+        _held_out(labelled, classed, "classification").select("model", "n", F.col("accuracy").alias("score")))
+
+
+@query("M5_one_round", rnd(_STUMP + """, t AS (SELECT DISTINCT feature, v FROM x),
+  g AS (SELECT t.feature, t.v, sum(CASE WHEN x.v <= t.v THEN mean - y END) AS gl, count(*) FILTER (x.v <= t.v) AS hl,
+    sum(mean - y) AS g, count(*) AS h FROM t JOIN x ON x.feature = t.feature, w GROUP BY 1, 2)
+  SELECT CAST(feature AS INTEGER) AS feature, v AS threshold, -0.1 * gl / (hl + 1) AS low, -0.1 * (g - gl) / (h - hl + 1) AS high
+  FROM g WHERE hl < h ORDER BY gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) DESC, feature, v LIMIT 1""", "threshold low high"))
+def m5_round(spark, sf):
+    """One round of squared loss with a tree of one cut."""
+    return _stump(spark, T.Boosting(maxIter=1, maxDepth=1).fit(stump_rows(spark, sf)).trees[0])
+
+
+@query("M5_ordered_statistics", rnd("""SELECT p_partkey, (coalesce(sum(p_size) OVER e, 0) + 25) / (count(*) OVER e + 1) AS p_brand_stat
+  FROM (SELECT *, CAST('0x' || substr(md5('42|' || p_partkey), 1, 15) AS BIGINT) AS h FROM part)
+  WINDOW e AS (PARTITION BY p_brand ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "p_brand_stat", 6), 6)
+def m5_statistics(spark, sf):
+    out = T.ordered_target_statistics(table(spark, sf, "part"), ["p_brand"], "p_size", ["p_partkey"], 25.0)
+    return out.select("p_partkey", "p_brand_stat")
 
 
 @query("M6_logistic_regression")
@@ -149,6 +228,19 @@ def m6(spark, sf):
     return _classify(spark, sf, ["LogisticRegression"], vector_rows(spark, sf), 10, 64)
 
 
+@query("M6_one_feature", rnd("""WITH r AS (SELECT quality AS y, CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END AS x FROM labels JOIN documents USING (doc_id)),
+  p AS (SELECT ln(avg(y) FILTER (x = 0) / (1 - avg(y) FILTER (x = 0))) AS a, ln(avg(y) FILTER (x = 1) / (1 - avg(y) FILTER (x = 1))) AS b FROM r)
+  SELECT a AS intercept, b - a AS slope FROM p""", "intercept slope", 3), 3)
+def m6_one(spark, sf):
+    """With one feature of two values and almost no penalty the optimum is the log odds on both sides."""
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = M.assemble(d.withColumn("x", (F.col("n_chars") >= 1000).cast("int")), ["x"], "quality")
+    est = M.classifier("LogisticRegression")
+    est.inner.setTol(1e-12)
+    fit = est.fit(rows, {est.C: 1e9})
+    return spark.createDataFrame([(float(fit.intercept), float(fit.coefficients[0]))], "intercept double, slope double")
+
+
 @query("M7_support_vectors")
 def m7(spark, sf):
     return _classify(spark, sf, ["SVC"])
@@ -285,7 +377,7 @@ def e3_weighted(spark, sf):
 def e4(spark, sf):
     train = part_rows(spark, sf).filter("part = 'train'").withColumn("fold", F.col("fold") % 3)
     _, found = M.grid_search(train, "GradientBoostingRegressor", M.regressor("GradientBoostingRegressor", TREES), "regression",
-                             3, {"maxIter": [5, 10], "maxDepth": [3, 6]})
+                             3, {"maxIter": [1, 2], "maxDepth": [2, 3]})
     return found
 
 
@@ -303,6 +395,13 @@ def e8(spark, sf):
     return M.rank_features(M.feature_importance(fit, _FEATURES, rows))
 
 
+@query("E8_one_feature", rnd("SELECT 'l_quantity' AS feature, abs(regr_slope(l_extendedprice, l_quantity)) AS importance FROM lineitem",
+                             "importance"))
+def e8_one(spark, sf):
+    rows = M.assemble(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"), ["l_quantity"], "l_extendedprice")
+    return M.feature_importance(M.regressor("LinearRegression").fit(rows), ["l_quantity"], rows)
+
+
 def _package(spark, sf, features=None):
     part, features = table(spark, sf, "part"), features or _FEATURES
     prep = Preprocessor.fit(part, features)
@@ -357,14 +456,14 @@ def e15(spark, sf):
 @query("E16_run_both")
 def e16(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-    out = runs.batch_run({"part": (part, ["p_partkey"])}, trees=5, folds=3)
+    out = runs.batch_run({"part": (part, ["p_partkey"])}, trees=ROUNDS, folds=3)
     return out["part"]["comparison"].withColumn("dataset", F.lit("part"))
 
 
 @query("E17_two_target_run")
 def e17(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
-    out = runs.two_target_run(c, ["c_custkey"], features=None, trees=5, folds=3)
+    out = runs.two_target_run(c, ["c_custkey"], features=None, trees=ROUNDS, folds=3)
     rows = [(t, r.task, r.best, ",".join(r.features)) for t, r in out.items()]
     return spark.createDataFrame(rows, "target string, task string, best string, features string")
 
