@@ -1,9 +1,8 @@
 """Per-series model fits (Q1–Q5): the only operators that need Python workers.
 
-Spark groups a daily panel by series and each group is one series, bounded by its days.  The
-estimators are least-squares stand-ins and differ from maximum-likelihood ones: ARIMA uses the
-two-stage Hannan–Rissanen regression with additive seasonal lags, exponential smoothing a small
-grid of smoothing weights, trend-season a regression on Fourier terms.
+Spark groups a daily panel by series and each group is one series, bounded by its days.  ARIMA and seasonal ARIMA have
+the exact Gaussian likelihood, exponential smoothing estimates its first states with its weights, trend and season has
+bends; all four are in `likelihood`.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators import likelihood as L
 from tabloom.operators.project import nonzero_filter
 from tabloom.operators.splits import holdout_fraction
 
@@ -29,187 +29,90 @@ SMOOTHING_PERIOD = 12
 FORECAST_SCHEMA = "unique_id string, ds date, step int, yhat double, sigma double, aic double, train_size long"
 
 
-def _shifted(x: np.ndarray, by: list[int], start: int) -> np.ndarray:
-    return np.column_stack([x[start - k: len(x) - k] for k in by]) if by else np.empty((len(x) - start, 0))
-
-
-def _stable(coef: np.ndarray, lags: list[int]) -> np.ndarray:
-    """Own-lag coefficients shrunk until their recursion no longer grows."""
-    if not lags:
-        return coef
-    top = np.zeros(max(lags))
-    np.add.at(top, np.array(lags) - 1, coef[: len(lags)])
-    companion = np.diag(np.ones(len(top) - 1), -1)
-    companion[0] = top
-    radius = np.abs(np.linalg.eigvals(companion)).max()
-    if radius < 0.99:
-        return coef
-    out = coef.copy()
-    out[: len(lags)] *= (0.99 / radius) ** np.array(lags)
-    return out
-
-
 @dataclass
 class Fit:
-    """A forecast with its spread, its one-step errors at the last rows of the series, and what it cost in parameters."""
+    """A forecast with its spread, its one-step errors, the number of its parameters and its criterion."""
 
     out: np.ndarray
     sigma: float
     err: np.ndarray
     params: int
     order: tuple = ()
+    loglik: float | None = None
 
-    def aic(self, rows: int | None = None, floor: float = 0.0) -> float:
-        err = self.err[-rows:] if rows else self.err
-        return len(err) * np.log(max(float(err @ err) / len(err), floor, 1e-300)) + 2 * self.params
+    def aic(self) -> float:
+        if self.loglik is not None:
+            return 2 * self.params - 2 * self.loglik
+        return len(self.err) * np.log(max(float(self.err @ self.err) / len(self.err), 1e-300)) + 2 * self.params
 
 
-def _arima(y: np.ndarray, h: int, ar: list[int], diffs: list[int], ma: list[int], order: tuple = ()) -> Fit | None:
-    """A regression on own lags and on lagged long-AR residuals.
-
-    One-step errors of the differenced series are those of the level, so errors of all orders compare.
-    """
-    w, stack = y.astype(float), []
-    for k in diffs:
-        stack.append(w)
-        w = w[k:] - w[:-k]
-    const = 0.0 if diffs else float(w.mean())
-    w = w - const
-    long = min(max([20, *ar, *ma]), len(w) // 4)
-    if len(w) < 10 or long < 1:
-        return None
-    resid = np.zeros(len(w))
-    if ma:
-        X = _shifted(w, list(range(1, long + 1)), long)
-        resid[long:] = w[long:] - X @ np.linalg.lstsq(X, w[long:], rcond=None)[0]
-    start = max([0, *ar, *ma]) + (long if ma else 0)
-    if len(w) - start <= len(ar) + len(ma) + 2:
-        return None
-    X = np.hstack([_shifted(w, ar, start), _shifted(resid, ma, start)])
-    coef = np.linalg.lstsq(X, w[start:], rcond=None)[0] if X.shape[1] else np.empty(0)
-    coef = _stable(coef, ar)  # errors are those of the weights that forecast
-    err = w[start:] - (X @ coef if X.shape[1] else 0.0)
-    past, noise = list(w), list(np.concatenate([np.zeros(start), err]))
-    for _ in range(h):
-        terms = [past[-k] for k in ar] + [noise[-k] for k in ma]
-        past.append(float(np.dot(coef, terms)) if terms else 0.0)
-        noise.append(0.0)
-    out = np.array(past[len(w):]) + const
-    for k, base in zip(reversed(diffs), reversed(stack)):
-        level = list(base[-k:])
-        for v in out:
-            level.append(level[-k] + v)
-        out = np.array(level[k:])
-    if not np.all(np.isfinite(out)):
-        return None
-    return Fit(out, float(np.sqrt(err @ err / len(err))), err, len(coef) + 1 + (not diffs), order)
-
+def _mean(y: np.ndarray, h: int):
+    sd = float(y.std(ddof=1)) if len(y) > 1 else 0.0
+    return Fit(np.full(h, y.mean()), sd, y - y.mean(), 1, ("mean",))
 
-def _best(candidates, y: np.ndarray) -> Fit | None:
-    """The least criterion over the last rows that every candidate has an error for.
 
-    The floor of a variance is relative to the series, so the choice does not depend on its unit.
-    """
-    found = [c for c in candidates if c is not None]
+def _orders(y: np.ndarray, h: int, orders: list[L.Order], names: list[tuple], rounds: int = L.ROUNDS) -> Fit | None:
+    """The forecast of the order with the least criterion; a series without spread goes on as it is."""
+    y = np.asarray(y, float)
+    fits = L.fit_orders(y, orders, rounds)
+    found = [(f["compared"], i) for i, f in enumerate(fits) if f is not None]
     if not found:
+        w = orders[0].differenced(y)
+        if len(w) < 1 or w.std() > 1e-12 * (1 + abs(y).max()):
+            return None
+        out, levels = np.full(h, w.mean()), y
+        for k in reversed(orders[0].steps()):
+            level = list(levels[-k:])
+            for v in out:
+                level.append(level[-k] + v)
+            out = np.array(level[k:])
+        return Fit(out, 0.0, np.zeros(len(w)), 1, names[0]) if len(orders[0].steps()) <= 1 else None
+    best = min(found)[1]
+    out, errors = L.forecast_order(y, fits[best], h)
+    if not np.all(np.isfinite(out)):
         return None
-    rows = min(len(c.err) for c in found)
-    floor = 1e-24 * float(y @ y) / max(len(y), 1)
-    return min(found, key=lambda c: c.aic(rows, floor))
+    return Fit(out, float(np.sqrt(fits[best]["variance"])), errors, orders[best].free + 1, names[best], fits[best]["loglik"])
 
 
-def _mean(y: np.ndarray, h: int):
-    sd = float(y.std(ddof=1)) if len(y) > 1 else 0.0
-    return Fit(np.full(h, y.mean()), sd, y - y.mean(), 1, ("mean",))
-
-
-def _order(p: int, d: int, q: int):
-    return list(range(1, p + 1)), [1] * d, list(range(1, q + 1))
+def _plain(p: int, d: int, q: int) -> L.Order:
+    return L.Order(p, d, q, mean=d == 0)
 
 
 def fit_arima(y, h, order=(1, 1, 1)):
-    return _arima(y, h, *_order(*order), tuple(order))
+    return _orders(y, h, [_plain(*order)], [tuple(order)], L.ROUNDS if sum(order) < 10 else 8)
 
 
 def fit_arima_grid(y, h):
-    return _best([_arima(y, h, *_order(*o), o) for o in ARIMA_GRID], y) or fit_arima(y, h)
+    return _orders(y, h, [_plain(*o) for o in ARIMA_GRID], ARIMA_GRID) or fit_arima(y, h)
 
 
 def fit_sarima_grid(y, h):
-    tried = []
-    for s in PERIODS_LONG if len(y) > 50 else PERIODS_SHORT:
-        if len(y) > 2 * s:
-            tried += [_arima(y, h, [1] + [s] * P, [1] + [s] * D, [1] + [s] * Q, (P, D, Q, s)) for P, D, Q in SEASONAL_GRID]
-    return _best(tried, y) or fit_arima(y, h)
-
-
-def _smooth(y: np.ndarray, h: int, trend, seasonal, m: int):
-    """Holt–Winters recursion for a grid of weights at once; the best weights by squared error."""
-    if len(y) < 3 or (seasonal and len(y) <= 2 * m) or ((trend == "mul" or seasonal == "mul") and y.min() <= 0):
-        return None
-    grid = np.array(list(itertools.product((0.05, 0.2, 0.5, 0.8), (0.05, 0.2) if trend else (0.0,),
-                                           (0.05, 0.2) if seasonal else (0.0,))))
-    a, b, g = grid.T
-    ones = np.ones(len(grid))
-    if seasonal:
-        level, slope = ones * y[:m].mean(), ones * (y[m:2 * m].mean() - y[:m].mean()) / m
-        season = [ones * (v - y[:m].mean() if seasonal == "add" else v / y[:m].mean()) for v in y[:m]]
-    else:
-        level, season = ones * y[0], [ones * 0.0]
-        slope = ones * (y[1] / y[0] if trend == "mul" else y[1] - y[0])
-    if not trend:
-        slope = ones * 0.0
-    sse = np.zeros(len(grid))
-    errors = []
-    for t, v in enumerate(y):
-        s = season[t % m] if seasonal else 0.0
-        base = level * slope if trend == "mul" else level + slope
-        if not seasonal and t == 0:
-            continue
-        err = v - (base * s if seasonal == "mul" else base + s)
-        sse += err * err
-        errors.append(err)
-        clean = v / s if seasonal == "mul" else v - s
-        new = a * clean + (1 - a) * base
-        if trend == "mul":
-            slope = b * new / level + (1 - b) * slope
-        elif trend:
-            slope = b * (new - level) + (1 - b) * slope
-        if seasonal:
-            season[t % m] = g * (v / new if seasonal == "mul" else v - new) + (1 - g) * s
-        level = new
-    if not np.isfinite(sse).any():
-        return None
-    i = int(np.nanargmin(sse))
-    steps = np.arange(1, h + 1)
-    out = level[i] * slope[i] ** steps if trend == "mul" else level[i] + slope[i] * steps
-    if seasonal:
-        tail = np.array([season[(len(y) + k) % m][i] for k in range(h)])
-        out = out * tail if seasonal == "mul" else out + tail
-    if not np.all(np.isfinite(out)):
-        return None
-    free = 2 + (2 if trend else 0) + (1 + m if seasonal else 0)
-    err = np.array(errors)[:, i]
-    return Fit(out, float(np.sqrt(err @ err / len(err))), err, free, (trend, seasonal))
+    names = [(P, D, Q, s) for s in (PERIODS_LONG if len(y) > 50 else PERIODS_SHORT) if len(y) > 2 * s for P, D, Q in SEASONAL_GRID]
+    if not names:
+        return fit_arima(y, h)
+    return _orders(y, h, [L.Order(1, 1, 1, *o) for o in names], names) or fit_arima(y, h)
 
 
 def fit_smoothing(y, h):
-    return _best([_smooth(y, h, t, s, SMOOTHING_PERIOD) for t, s in SMOOTHING_CONFIGS], y) or _mean(y, h)
+    y = np.asarray(y, float)
+    best = None
+    for config, got in zip(SMOOTHING_CONFIGS, L.fit_smoothing_models(y, list(SMOOTHING_CONFIGS), SMOOTHING_PERIOD)):
+        out = L.forecast_smoothing(got, len(y), h, SMOOTHING_PERIOD) if got else None
+        if out is None or not np.all(np.isfinite(out)):
+            continue
+        # the floor of a variance is relative to the series, so the choice does not depend on its unit
+        variance = max(got["variance"], 1e-20 * float(y @ y) / len(y), 1e-300)
+        made = Fit(out, float(np.sqrt(got["variance"])), got["errors"], got["free"] + 1, config,
+                   -0.5 * len(y) * (np.log(2 * np.pi * variance) + 1))
+        best = made if best is None or made.aic() < best.aic() - 1e-9 else best
+    return best or _mean(y, h)
 
 
 def fit_trend_season(y, h, days):
-    """Linear trend, ten yearly and three weekly waves; `days` are day numbers of history and future."""
-    t = np.asarray(days, float)
-    cols = [np.ones_like(t), (t - t[0]) / 365.25]
-    for period, waves in ((365.25, 10), (7.0, 3)):
-        for k in range(1, waves + 1):
-            cols += [np.sin(2 * np.pi * k * t / period), np.cos(2 * np.pi * k * t / period)]
-    X = np.column_stack(cols)
-    past = X[: len(y)]
-    ridge = 1e-6 * len(y) * np.eye(X.shape[1])
-    coef = np.linalg.solve(past.T @ past + ridge, past.T @ y)
-    err = y - past @ coef
-    return Fit(X[len(y):] @ coef, float(np.sqrt(err @ err / len(y))), err, X.shape[1], ("trend", "season"))
+    """A trend with bends, ten yearly and three weekly waves; `days` are day numbers of history and future."""
+    y = np.asarray(y, float)
+    values, weights, sigma = L.fit_trend(y, days)
+    return Fit(values[len(y):], sigma, y - values[: len(y)], len(weights), ("trend", "season"))
 
 
 METHODS = {"arima": fit_arima, "arima_grid": fit_arima_grid, "sarima_grid": fit_sarima_grid,
@@ -252,7 +155,11 @@ def backtest_attempts(panel: DataFrame, method: str = "arima", min_points: int =
                       **params) -> DataFrame:
     """Every series with sales: its test days with yhat, or one row that says why there is no forecast."""
     active = nonzero_filter(panel).select("unique_id", "ds", "y")
-    split = holdout_fraction(active, ["unique_id"], ["ds"], F.trunc("ds", "year"), fraction)
+    # series that are too short are told by their counts and never reach a Python worker
+    sizes = active.groupBy("unique_id").agg(F.count(F.lit(1)).alias("n"))
+    short = sizes.filter(F.col("n") < min_points).select("unique_id", F.lit(f"fewer than {min_points} days with sales").alias("reason"))
+    enough = active.join(sizes.filter(F.col("n") >= min_points), "unique_id", "left_semi")
+    split = holdout_fraction(enough, ["unique_id"], ["ds"], F.trunc("ds", "year"), fraction)
     columns = ["unique_id", "ds", "y", "yhat", "aic", "train_size", "reason"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,8 +169,6 @@ def backtest_attempts(panel: DataFrame, method: str = "arima", min_points: int =
         def skipped(why: str) -> pd.DataFrame:
             return pd.DataFrame([[pdf["unique_id"].iloc[0], None, None, None, None, len(train), why]], columns=columns)
 
-        if len(pdf) < min_points:
-            return skipped(f"fewer than {min_points} days with sales")
         if not len(test) or not len(train):
             return skipped("no days to train on or to test")
         days = pd.to_datetime(pdf["ds"]).to_numpy().astype("datetime64[D]").astype(int)
@@ -274,8 +179,9 @@ def backtest_attempts(panel: DataFrame, method: str = "arima", min_points: int =
         return pd.DataFrame({"unique_id": pdf["unique_id"].iloc[0], "ds": test["ds"].to_numpy(), "y": test["y"].to_numpy(float),
                              "yhat": got.out, "aic": got.aic(), "train_size": len(train), "reason": None})
 
-    return split.groupBy("unique_id").applyInPandas(
+    tried = split.groupBy("unique_id").applyInPandas(
         one, "unique_id string, ds date, y double, yhat double, aic double, train_size long, reason string")
+    return tried.unionByName(short, allowMissingColumns=True)
 
 
 def backtest_fitted(panel: DataFrame, method: str = "arima", min_points: int = 20, fraction: float = 0.8,

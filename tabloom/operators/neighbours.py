@@ -8,7 +8,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -207,9 +207,158 @@ def kmeans(rows: DataFrame, k: int = 5, seed: int = 42, max_iter: int = 300) ->
     return KMeans(k=k, seed=seed, maxIter=max_iter).fit(rows).transform(rows).withColumnRenamed("prediction", "cluster")
 
 
-def agglomerative(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Hierarchical clusters by repeated splitting; merging needs all pairs and is not built."""
-    return BisectingKMeans(k=k, seed=seed).fit(rows).transform(rows).withColumnRenamed("prediction", "cluster")
+#: Clusters that one task merges to the end.
+FINISH = 256
+
+
+def _ward(na, nb, squares):
+    """The height at which clusters of these sizes merge, from the squared distance of their centres."""
+    return np.sqrt(2 * na * nb / (na + nb) * squares)
+
+
+def _nearest_in_cells(queries: DataFrame, clusters: DataFrame, block_rows: int) -> DataFrame:
+    """(id, other, height): the best other cluster of each query within each of its cells, cells cut into blocks."""
+    # both sides may be the same table: its columns are named anew, so that they can meet
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in ("id", "vec", "n", "cell")])
+    queries, clusters = fresh(queries), fresh(clusters)
+    blocks = lambda df, n: fresh(df).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(n))
+    sizes = blocks(queries, "nq").join(blocks(clusters, "nr"), "cell")
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(sizes, "cell").select("cell", "id", "vec", "n", slot("nq").alias("bq"), every("nr").alias("br"))
+    again = blocks(queries, "nq").join(blocks(clusters, "nr"), "cell")
+    right = clusters.join(again, "cell").select("cell", "id", "vec", "n", slot("nr").alias("br"), every("nq").alias("bq"))
+
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            r = r.sort_values("id")
+            R, rn, rid = np.stack(r["vec"].to_numpy()).astype(float), r["n"].to_numpy(), r["id"].to_numpy()
+            step = max(1, min(256, int(2e7 // max(R.size, 1))))
+            for start in range(0, len(q), step):
+                part = q.iloc[start: start + step]
+                Q, qn, qid = np.stack(part["vec"].to_numpy()).astype(float), part["n"].to_numpy(), part["id"].to_numpy()
+                h = _ward(qn[:, None], rn[None], ((Q[:, None, :] - R[None, :, :]) ** 2).sum(axis=2))
+                h[qid[:, None] == rid[None]] = np.inf
+                # equal heights: the pair with the smaller ids, the same from both ends
+                low = h == h.min(axis=1, keepdims=True)
+                ends = np.where(low, np.minimum(qid[:, None], rid[None]), np.iinfo(np.int64).max)
+                low &= ends == ends.min(axis=1, keepdims=True)
+                take = low.argmax(axis=1)
+                ok = np.isfinite(h[np.arange(len(Q)), take])
+                out.append(pd.DataFrame({"id": qid, "other": rid[take], "height": h[np.arange(len(Q)), take]})[ok])
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "height": []})
+
+    keys = ["cell", "bq", "br"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "id long, other long, height double")
+
+
+def nearest_clusters(clusters: DataFrame, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, other, height): the cluster with which each of (id, vec, n) merges at the least height, exactly.
+
+    A cluster first asks its own cell, then the cells that may hold a better one: a cell's clusters are no nearer than its
+    centre less its radius and no smaller than its smallest one.
+    """
+    pick = lambda df: df.groupBy("id").agg(F.min(F.struct("height", F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi"))).alias("m")).select(
+        "id", F.when(F.col("m.lo") == F.col("id"), F.col("m.hi")).otherwise(F.col("m.lo")).alias("other"), "m.height")
+    centres = _centres(clusters, clusters.count(), cell_rows)
+    placed = durable(_in_cells(clusters.select("id", "vec", "n"), centres), "cells")
+    own = _nearest_in_cells(placed, placed, block_rows)
+    if len(centres) == 1:
+        return pick(own)
+    own = durable(pick(own), "own")
+    radius, small = np.full(len(centres), -np.inf), np.full(len(centres), np.inf)
+    for r in placed.groupBy("cell").agg(F.max("off").alias("r"), F.min("n").alias("n")).collect():  # one row per cell
+        radius[r["cell"]], small[r["cell"]] = r["r"], r["n"]
+    shared = clusters.sparkSession.sparkContext.broadcast((centres, radius, small))
+
+    def reach(frames):
+        centre, size, least = shared.value
+        for pdf in frames:
+            ids, vecs, ns, cells = [], [], [], []
+            for id_, vec, n, cell, height in zip(pdf["id"], pdf["vec"], pdf["n"], pdf["cell"], pdf["height"]):
+                gap = np.maximum(0, np.sqrt(((centre - np.asarray(vec, dtype=float)) ** 2).sum(axis=1)) - size)
+                floor = np.where(np.isfinite(size), _ward(n, np.where(np.isfinite(least), least, 1.0), gap * gap), np.inf)
+                limit = height * (1 + 1e-9) + 1e-12 if np.isfinite(height) else np.inf
+                for c in np.flatnonzero((floor <= limit) & np.isfinite(size)).tolist():
+                    if c != cell:
+                        ids.append(id_), vecs.append(vec), ns.append(n), cells.append(c)
+            if ids:
+                yield pd.DataFrame({"id": ids, "vec": pd.Series(vecs, dtype=object), "n": ns, "cell": np.array(cells, dtype="int32")})
+
+    asked = placed.join(own, "id", "left").fillna(float("inf"), ["height"]).select("id", "vec", "n", "cell", "height")
+    further = durable(asked.mapInPandas(reach, "id long, vec array<double>, n double, cell int"), "further")
+    return pick(own.unionByName(_nearest_in_cells(further, placed, block_rows)))
+
+
+def mutual_pairs(nearest_: DataFrame) -> DataFrame:
+    """(a, b, height), a < b: clusters that are each other's nearest."""
+    pairs = nearest_.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "height")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("ends"), F.min("height").alias("height")).filter("ends = 2").drop("ends")
+
+
+def ward_merges(points: DataFrame, finish: int = FINISH, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b, height): all merges of Ward's method on (id, vec), clusters being named by their smallest id.
+
+    Ward's heights never fall and a merge never brings a third cluster nearer, so all pairs that are each other's nearest
+    merge in one round and the tree is that of merging one pair at a time.  Equal vectors merge first, at height 0.  The
+    last `finish` clusters are merged by one task.
+    """
+    same = points.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("n"))
+    clusters = durable(same, "clusters")
+    copies = points.join(clusters.filter("n > 1").select("vec", F.col("id").alias("a")), "vec").filter("id <> a")
+    merges = durable(copies.select("a", F.col("id").alias("b"), F.lit(0.0).alias("height")), "merges")
+    left = clusters.count()
+    while left > max(1, finish):
+        pairs = durable(mutual_pairs(nearest_clusters(clusters, cell_rows)), "pairs")
+        ends = pairs.select("a", F.col("a").alias("id")).unionByName(pairs.select("a", F.col("b").alias("id")))
+        # the centre of a pair is the mean of both, weighted by their sizes; the other clusters stay
+        named = clusters.join(ends, "id", "left").withColumn("to", F.coalesce("a", "id"))
+        part = F.transform("vec", lambda v: v * F.col("n"))
+        joined = named.filter("a is not null").groupBy("to").agg(F.collect_list(part).alias("parts"), F.sum("n").alias("n"))
+        joined = joined.select(F.zip_with(F.col("parts")[0], F.col("parts")[1], lambda x, y: (x + y) / F.col("n")).alias("vec"),
+                               F.col("to").alias("id"), "n")
+        clusters = durable(joined.unionByName(named.filter("a is null").select("vec", "id", "n")), "clusters")
+        merges = durable(merges.unionByName(pairs), "merges")
+        left = clusters.count()
+    if left > 1:
+        ended = clusters.groupBy(F.lit(0).alias("_all")).applyInPandas(_merge_all, "a long, b long, height double")
+        merges = merges.unionByName(ended)
+    return merges
+
+
+def _merge_all(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All merges of a few clusters, one pair at a time."""
+    pdf = pdf.sort_values("id")
+    C, n, ids = np.stack(pdf["vec"].to_numpy()).astype(float), pdf["n"].to_numpy(float), pdf["id"].to_numpy()
+    H = _ward(n[:, None], n[None], ((C[:, None] - C[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(H, np.inf)
+    out = []
+    for _ in range(len(ids) - 1):
+        i, j = sorted(np.unravel_index(H.argmin(), H.shape))
+        out.append((ids[i], ids[j], H[i, j]))
+        C[i], n[i] = (C[i] * n[i] + C[j] * n[j]) / (n[i] + n[j]), n[i] + n[j]
+        H[j], H[:, j] = np.inf, np.inf
+        row = np.where(np.isfinite(H[i]), _ward(n[i], n, ((C - C[i]) ** 2).sum(axis=1)), np.inf)
+        row[i] = np.inf
+        H[i], H[:, i] = row, row
+    return pd.DataFrame(out, columns=["a", "b", "height"])
+
+
+def agglomerative(rows: DataFrame, k: int = 5, key: str | None = None, finish: int = FINISH) -> DataFrame:
+    """Ward clusters of rows with a `features` vector: the k - 1 highest merges are taken back.
+
+    Clusters are numbered by their smallest row; rows without a key column are numbered first.
+    """
+    named = rows.withColumn("_id", F.col(key).cast("long") if key else F.monotonically_increasing_id())
+    named = durable(named, "rows")
+    merges = durable(ward_merges(named.select(F.col("_id").alias("id"), vector_to_array("features").alias("vec")), finish), "merges")
+    high = merges.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).limit(k - 1)
+    kept = merges.join(high.select("a", "b"), ["a", "b"], "left_anti")
+    roots = components(named.select(F.col("_id").alias("node")).distinct(), kept)
+    number = dense_number(roots.select("root").distinct(), [], "root", "cluster")
+    labels = roots.join(number, "root").select(F.col("node").alias("_id"), F.col("cluster").cast("int").alias("cluster"))
+    return named.join(labels, "_id").drop("_id")
 
 
 # ---------------------------------------------------------------- density

@@ -6,6 +6,7 @@ Tree counts are set low here to keep the runs short; the constructors' own count
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.operators import evaluate as E
@@ -18,7 +19,7 @@ from tabloom.operators import trees as T
 from tabloom.operators.prep import Preprocessor
 from tabloom.plans import runs
 from tabloom.plans.q_panel import brand_sales, pair_sales, whole_type_panel
-from tabloom.plans.registry import query, rnd
+from tabloom.plans.registry import RETAIL, TYPE_KEY, panel_sql, query, rnd
 from tabloom.session import durable, scratch_path
 from tabloom.sources.sinks import ModelPackage, write_predictions
 from tabloom.sources.tables import table
@@ -179,10 +180,12 @@ def m3_stump(spark, sf):
 
 @query("M4_extra_trees")
 def m4(spark, sf):
-    low = lambda est: {type(est).__name__: est.set(est.maxDepth, LEVELS)}
-    return _held_out(part_rows(spark, sf), low(M.regressor("ExtraTreesRegressor", TREES)), "regression").select(
+    reg, cls = M.regressor("ExtraTreesRegressor", TREES), M.classifier("ExtraTreesClassifier", 2, 3, TREES)
+    for est in (reg, cls):
+        est.set(est.maxDepth, LEVELS)
+    return _held_out(part_rows(spark, sf), {"ExtraTreesRegressor": reg}, "regression").select(
         "model", "n", F.col("r2").alias("score")).unionByName(
-        _held_out(document_rows(spark, sf), low(M.classifier("ExtraTreesClassifier", 2, 3, TREES)), "classification").select(
+        _held_out(document_rows(spark, sf), {"ExtraTreesClassifier": cls}, "classification").select(
             "model", "n", F.col("accuracy").alias("score")))
 
 
@@ -309,7 +312,18 @@ def m11(spark, sf):
 
 @query("M11_agglomerative")
 def m11b(spark, sf):
-    return _cluster_sizes(N.agglomerative(vector_rows(spark, sf).select("row_id", "features")))
+    return _cluster_sizes(N.agglomerative(vector_rows(spark, sf).select("row_id", "features"), key="row_id"))
+
+
+@query("M11_ward_first_merges", rnd("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+  d AS (SELECT x.id AS a, y.id AS b, list_distance(x.e, y.e) AS d FROM v x, v y WHERE x.id <> y.id),
+  n AS (SELECT a, b, d FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, least(a, b), greatest(a, b)) = 1)
+  SELECT x.a, x.b, x.d AS height FROM n x JOIN n y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b""", "height", 5), 5)
+def m11_ward(spark, sf):
+    """Single rows that are nearest to each other merge first, at their distance."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"),
+                                              F.lit(1.0).alias("n"))
+    return N.mutual_pairs(N.nearest_clusters(v)).select("a", "b", "height")
 
 
 def density_points(spark, sf):
@@ -484,18 +498,55 @@ def q1b(spark, sf):
     return Q.forecast_summary(Y.backtest_fitted(_train(spark, sf), "arima", order=(20, 2, 20)))
 
 
-@query("Q1_skipped_series", """WITH a AS (SELECT l_partkey % 40 AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_partkey % 40 < 30
-    AND (l_partkey % 40 >= 15 OR l_orderkey % 97 = l_partkey % 40)),
-  s AS (SELECT k, count(DISTINCT d) AS n FROM a GROUP BY 1)
-  SELECT CAST(k AS VARCHAR) AS unique_id, 'fewer than 20 days with sales' AS reason FROM s WHERE n < 20""")
+@query("Q1_skipped_series", """WITH s AS (SELECT l_partkey || '-' || l_suppkey AS unique_id, count(DISTINCT CAST(l_shipdate AS DATE)) AS n
+    FROM lineitem GROUP BY 1)
+  SELECT unique_id, 'fewer than 20 days with sales' AS reason FROM s WHERE n < 20""")
 def q1_skipped(spark, sf):
-    """Some series keep only a few of their days; these are listed, not dropped in silence."""
-    li = table(spark, sf, "lineitem").withColumn("k", F.col("l_partkey") % 40)
-    kept = li.filter("k < 30 and (k >= 15 or l_orderkey % 97 = k)")
-    days = kept.groupBy(F.col("k").cast("string").alias("unique_id"), F.to_date("l_shipdate").alias("ds")).agg(F.sum("l_quantity").alias("y"))
+    """Series by part and supplier are short; these are listed, not dropped in silence."""
+    key = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("unique_id")
+    days = table(spark, sf, "lineitem").groupBy(key, F.to_date("l_shipdate").alias("ds")).agg(F.sum("l_quantity").alias("y"))
     return Y.skipped_series(days, order=(1, 0, 0))
 
 
+_AHEAD = f"""WITH {RETAIL}, {panel_sql(TYPE_KEY)}, s AS (SELECT unique_id, min(ds) AS first, max(ds) AS last, count(*) AS n FROM panel GROUP BY 1)
+  SELECT unique_id, CAST(last + CAST(k AS INTEGER) AS DATE) AS ds, CAST(k AS INTEGER) AS step, {{yhat}} AS yhat FROM s, range(1, 15) t(k)"""
+
+
+def _plain_ahead(spark, sf, method, y):
+    """The forecast of series that are replaced by a constant or a line through their days."""
+    days = Window.partitionBy("unique_id")
+    train = _train(spark, sf).withColumns({"n": F.count(F.lit(1)).over(days), "day": F.date_diff("ds", F.min("ds").over(days))})
+    return Q.forecast_panel(train.select("unique_id", "ds", y.alias("y")), 14, method).select("unique_id", "ds", "step", "yhat")
+
+
+@query("Q2_constant_series", rnd(_AHEAD.format(yhat="n::DOUBLE"), "yhat", 2), 2)
+def q2_plain(spark, sf):
+    return _plain_ahead(spark, sf, "arima_grid", F.col("n").cast("double"))
+
+
+@query("Q3_constant_series", rnd(_AHEAD.format(yhat="n::DOUBLE"), "yhat", 2), 2)
+def q3_plain(spark, sf):
+    return _plain_ahead(spark, sf, "sarima_grid", F.col("n").cast("double"))
+
+
+@query("Q4_constant_series", rnd(_AHEAD.format(yhat="n::DOUBLE"), "yhat", 2), 2)
+def q4_plain(spark, sf):
+    return _plain_ahead(spark, sf, "exp_smoothing", F.col("n").cast("double"))
+
+
+@query("Q5_linear_series", rnd(_AHEAD.format(yhat="CAST(100 + 0.5 * (last + CAST(k AS INTEGER) - first) AS DOUBLE)"), "yhat", 2), 2)
+def q5_plain(spark, sf):
+    return _plain_ahead(spark, sf, "trend_season", 100 + 0.5 * F.col("day"))
+
+
+@query("Q6_series_mean", rnd(f"""WITH {RETAIL}, {panel_sql(TYPE_KEY, whole=True)},
+  r AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS k FROM panel)
+  SELECT unique_id, ds, y, avg(CASE WHEN k > 21 THEN y END) OVER (PARTITION BY unique_id) AS yhat FROM r QUALIFY k <= 21""", "y yhat", 2), 2)
+def q6_mean(spark, sf):
+    """Without features the forecast is the mean of the days that are known."""
+    return M.forecast_on_features(H.holdout_tail(_train(spark, sf), 21), features=[])
+
+
 @query("Q2_forecast_arima_grid")
 def q2(spark, sf):
     return Q.forecast_panel(_train(spark, sf), 14, "arima_grid")
