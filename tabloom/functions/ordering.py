@@ -71,65 +71,60 @@ def hash_order(key: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def order_code(v: Column) -> Column:
-    """A double's bits as a long that keeps the order of the values; NaN is the largest."""
-    one = F.lit(2.0**52)
-    size = F.abs(v)
-    scale = lambda e: F.pow(F.lit(2.0), e)
-    near = F.greatest(F.floor(F.log2(F.when(size > 0, size))), F.lit(-1022))
-    # beside a power of two the logarithm may be one off
-    up, down = size / scale(near) >= 2, (size / scale(near) < 1) & (near > -1022)
-    e = F.when(up, near + 1).when(down, near - 1).otherwise(near)
-    bits = (e + 1022).cast("long") * F.lit(2**52) + (size / scale(e) * one).cast("long")
-    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 * 2**52)).otherwise(bits).cast("long")
-    return F.when(F.isnan(v), F.lit(2**63 - 1)).when(v < 0, -bits).otherwise(bits)
+#: Parts of equal width into which the values between two bounds are cut in a round.
+PARTS = 1 << 12
 
 
-#: Bits of a code that one round of the selection looks at.
-RADIX_BITS = 16
+def _part(value: Column, lo: Column, hi: Column) -> Column:
+    """The part of a value between two bounds; the least value lies in the first part, the greatest in the last."""
+    half = F.lit(0.5)  # the width of all doubles is no double
+    width = hi * half - lo * half
+    share = F.when(width > 0, (value * half - lo * half) / width).when(value == hi, 1.0).otherwise(0.0)
+    return F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("int")
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles as rows (by…, column, p, q).
 
-    Radix selection: the leading bits of all values are counted with map-side combining, the slices that
-    hold a wanted rank are kept, and their rows are counted by the next bits until a slice holds one
-    value.  At most four rounds; a slice's counts, not its rows, meet in a task, so neither a hot group
-    nor a hot slice is ever ordered.  The rows left after the first round are written once.
+    The values between the least and the greatest one are cut into parts of equal width and counted with map-side
+    combining; the parts that hold a wanted rank are cut between their own least and greatest value, until they hold
+    one value: a few rounds on usual data, more only where most values crowd beside a few far ones.  Counts, not values,
+    meet in a task, so neither a hot group nor a crowded part is ever ordered.  From the third round on, the rows left
+    are written.  NaN is above all numbers.
     """
     key = F.struct(*by, "column").alias("_key")
-    cells = unpivot(df, cols, "double", by).filter("value is not null").select(
-        key, "value", order_code(F.col("value")).alias("_code"))
+    cells = unpivot(df, cols, "double", by).filter("value is not null").select(key, (F.col("value") + 0.0).alias("value"))
     count = [F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")]
-    shift = 64 - RADIX_BITS
-    hist = cells.groupBy("_key", F.shiftright("_code", shift).alias("_slice")).agg(*count)
+    kind = F.when(F.isnan("value"), 2).when(F.col("value") == float("inf"), 1).when(F.col("value") == float("-inf"), -1).otherwise(0)
+    whole = cells.groupBy("_key", kind.alias("_slice")).agg(*count)
     upto = Window.partitionBy("_key").orderBy("_slice")
     ranks = F.explode(F.flatten(F.array(*[F.array(*[
         F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"),
                  fn(F.lit(float(p)) * (F.col("_total") - 1)).alias("rank")) for side, fn in (("lo", F.floor), ("hi", F.ceil))])
         for p in probs])))
-    placed = hist.withColumn("_end", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(Window.partitionBy("_key")))
+    placed = whole.withColumn("_end", F.sum("_n").over(upto)).withColumn("_total", F.sum("_n").over(Window.partitionBy("_key")))
     found = placed.withColumn("_w", ranks).withColumn("_before", F.col("_end") - F.col("_n")).filter(
         F.col("_w.rank").between(F.col("_before"), F.col("_end") - 1))
-    state = ["_key", "_w", "_slice", "_before", "_lo", "_hi"]
+    state = ["_key", "_w", "_before", "_lo", "_hi"]
     found = durable(found.select(*state), "ranks")
-    done, left = found.filter("_lo <=> _hi"), None
-    while shift:
-        open_ = found.filter("not (_lo <=> _hi)")
+    done, left, rounds = found.filter("_lo <=> _hi"), cells, 0
+    while True:
+        open_ = found.filter("not (_lo <=> _hi)").withColumnsRenamed({"_lo": "_from", "_hi": "_to"})
         if open_.limit(1).count() == 0:
             break
-        slices = open_.select("_key", "_slice").distinct()
-        rows = (cells if left is None else left).withColumn("_slice", F.shiftright("_code", shift)).join(slices, ["_key", "_slice"])
-        if left is None:
-            left = durable(rows.select("_key", "value", "_code"), "slices")
-            rows = left.withColumn("_slice", F.shiftright("_code", shift))
-        shift -= RADIX_BITS
-        finer = rows.groupBy("_key", "_slice", F.shiftright("_code", shift).alias("_next")).agg(*count)
-        inside = Window.partitionBy("_key", "_slice").orderBy("_next")
-        finer = finer.withColumn("_end", F.sum("_n").over(inside)).join(open_.select("_key", "_w", "_slice", "_before"), ["_key", "_slice"])
+        # open parts of a key do not overlap, so a value lies in one of them at most; a key has no more than wanted ranks
+        spots = open_.select("_key", "_from", "_to").distinct()
+        rows = left.join(spots, "_key").filter("value >= _from and value <= _to")
+        rounds += 1
+        if rounds > 2:
+            rows = durable(rows, "slices")
+            left = rows.select("_key", "value")
+        finer = rows.groupBy("_key", "_from", "_to", _part(F.col("value"), F.col("_from"), F.col("_to")).alias("_part")).agg(*count)
+        running = Window.partitionBy("_key", "_from", "_to").orderBy("_part")
+        finer = finer.withColumn("_end", F.sum("_n").over(running)).join(open_, ["_key", "_from", "_to"])
         first = F.col("_before") + F.col("_end") - F.col("_n")
         hit = finer.filter(F.col("_w.rank").between(first, F.col("_before") + F.col("_end") - 1))
-        found = durable(hit.select("_key", "_w", F.col("_next").alias("_slice"), first.alias("_before"), "_lo", "_hi"), "ranks")
+        found = durable(hit.select("_key", "_w", first.alias("_before"), "_lo", "_hi"), "ranks")
         done = done.unionByName(found.filter("_lo <=> _hi"))
     value = lambda side: F.max(F.when(F.col("_w.side") == side, F.col("_lo")))
     share = F.first(F.col("_w.at") - F.floor(F.col("_w.at")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import get_close_matches
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,14 +79,26 @@ def parse_response(text: Column | str, schema: str) -> Column:
     return F.from_json(clean_response(text), schema, {"mode": "PERMISSIVE"})
 
 
-def _resolve_line(line: Column, aliases: dict[str, str], names: tuple[str, ...], cutoff: float) -> Column:
-    similarity = lambda n: 1 - F.levenshtein(line, F.lit(n.lower())) / F.greatest(F.length(line), F.lit(len(n)))
-    # a distance cannot be small when the lengths are far apart, so long lines are not compared
-    near = lambda n: F.when(F.abs(F.length(line) - len(n)) <= (1 - cutoff) * F.greatest(F.length(line), F.lit(len(n))),
-                            similarity(n)).otherwise(F.lit(0.0))
-    best = F.array_max(F.array(*[F.struct(near(n).alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("n"))
-                                 for i, n in enumerate(names)]))
-    out = F.when(best["s"] >= cutoff, best["n"])
+def closest_names(names: tuple[str, ...], cutoff: float = 0.6):
+    """A function of an array of lines: per line the name with the greatest share of matching blocks, null below the cutoff.
+
+    The share is twice the letters in matching blocks, the longest common block first and then those on both sides of it,
+    over the letters of both; capitals differ from small letters.  Ties go to the later name.
+    """
+
+    @F.pandas_udf("array<string>")
+    def closest(lines: pd.Series) -> pd.Series:
+        def of(line):
+            found = get_close_matches(line, names, n=1, cutoff=cutoff)
+            return found[0] if found else None
+
+        return pd.Series([None if x is None else [of(line) for line in x] for x in lines], dtype=object)
+
+    return closest
+
+
+def _resolve_line(line: Column, near: Column, aliases: dict[str, str]) -> Column:
+    out = near
     for alias, name in reversed(list(aliases.items())):
         out = F.when(F.contains(line, F.lit(alias)), F.lit(name)).otherwise(out)
     return out
@@ -94,14 +109,13 @@ def resolve_algorithms(text: Column | str, aliases: dict[str, str] = REGRESSION_
                        most: int = 4, least: int = 2, cutoff: float = 0.6) -> Column:
     """F16: canonical names found line by line, distinct, topped up with defaults, at most four.
 
-    A line that contains no alias is compared by edit distance, which stands in for a
-    sequence matcher and can differ from it near the cutoff.
+    A line that contains no alias is compared with the names by matching blocks.
     """
     t = F.col(text) if isinstance(text, str) else text
     lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(F.lower(F.trim(x)), _LIST_MARKER, ""))
     lines = F.filter(lines, lambda x: (F.length(x) > 0) & ~F.contains(x, F.lit("<think>")) & ~F.contains(x, F.lit("</think>")))
-    found = F.array_distinct(F.filter(F.transform(lines, lambda x: _resolve_line(x, aliases, names, cutoff)),
-                                      lambda n: n.isNotNull()))
+    named = F.zip_with(lines, closest_names(names, cutoff)(lines), lambda x, near: _resolve_line(x, near, aliases))
+    found = F.array_distinct(F.filter(named, lambda n: n.isNotNull()))
     extra = F.array(*[F.lit(d) for d in defaults])
     full = F.when(F.size(found) < least, F.array_distinct(F.concat(found, extra))).otherwise(found)
     return F.slice(full, 1, most)

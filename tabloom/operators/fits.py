@@ -129,6 +129,11 @@ def _fit(method: str, y: np.ndarray, h: int, days: np.ndarray, skip_failures: bo
     return found if found is not None or skip_failures else _mean(y, h)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Series dealt to a stated number of tasks: their fits take long though their rows are few, so they are not to be packed."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "unique_id")
+
+
 def forecast_fitted(train: DataFrame, horizon: int, method: str, skip_failures: bool = False, **params) -> DataFrame:
     """Fit each series and forecast the `horizon` days after its end."""
     if method != "trend_season" and method not in METHODS:
@@ -148,7 +153,7 @@ def forecast_fitted(train: DataFrame, horizon: int, method: str, skip_failures:
                              "aic": None if got.order == ("mean",) else got.aic(), "train_size": len(y)})
 
     rows = train.filter(F.col("y").isNotNull()).select("unique_id", "ds", "y")
-    return rows.groupBy("unique_id").applyInPandas(one, FORECAST_SCHEMA)
+    return _dealt(rows).groupBy("unique_id").applyInPandas(one, FORECAST_SCHEMA)
 
 
 def backtest_attempts(panel: DataFrame, method: str = "arima", min_points: int = 20, fraction: float = 0.8,
@@ -179,7 +184,7 @@ def backtest_attempts(panel: DataFrame, method: str = "arima", min_points: int =
         return pd.DataFrame({"unique_id": pdf["unique_id"].iloc[0], "ds": test["ds"].to_numpy(), "y": test["y"].to_numpy(float),
                              "yhat": got.out, "aic": got.aic(), "train_size": len(train), "reason": None})
 
-    tried = split.groupBy("unique_id").applyInPandas(
+    tried = _dealt(split).groupBy("unique_id").applyInPandas(
         one, "unique_id string, ds date, y double, yhat double, aic double, train_size long, reason string")
     return tried.unionByName(short, allowMissingColumns=True)
 

@@ -1,7 +1,7 @@
 """MLlib models: constructors, training, search, cross-validation, scoring.
 
 Constructors carry the hyper-parameters of the reference behaviour.  Boosting and extra-trees are grown in
-`trees`, the others are MLlib's.
+`trees`, the kernel machine and the neural regressor are in `kernels`, the others are MLlib's.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.calendar import add, calendar_columns, period_columns
 from tabloom.operators.evaluate import classification_metrics, regression_metrics
+from tabloom.operators.kernels import KernelMachine, NeuralRegressor
 from tabloom.operators.neighbours import KNeighbors
 from tabloom.operators.splits import future_spine
 from tabloom.operators.trees import Boosting, ExtraTrees
@@ -72,7 +73,7 @@ class Penalised(Estimator):
 
 # The hyper-parameters of the constructors below.
 def regressor(name: str, trees: int | None = None) -> Estimator:
-    """M1–M5."""
+    """M1–M5, M8, M10."""
     flat = {"standardization": False}
     made = {
         "LinearRegression": lambda: LinearRegression(**flat),
@@ -90,6 +91,7 @@ def regressor(name: str, trees: int | None = None) -> Estimator:
             minWeight=1.0, maxIter=trees or 200, stepSize=0.1, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED),
         "CatBoostRegressor": lambda: Boosting(symmetric=True, l2=3.0, maxIter=trees or 300, stepSize=0.1, maxDepth=6, seed=SEED),
         "KNeighborsRegressor": lambda: KNeighbors(5),
+        "MLPRegressor": lambda: NeuralRegressor((100, 50), maxIter=1000, seed=SEED),
     }
     return made[name]()
 
@@ -98,7 +100,7 @@ def classifier(name: str, classes: int = 2, features: int = 1, trees: int | None
     """M2–M7, M9, M10."""
     def vector():
         one = LinearSVC(maxIter=100, standardization=False)
-        return Penalised(one if classes == 2 else OneVsRest(classifier=one, parallelism=4), "inverse", C=1.0)
+        return KernelMachine(Penalised(one if classes == 2 else OneVsRest(classifier=one, parallelism=4), "inverse", C=1.0))
 
     made = {
         "LogisticRegression": lambda: Penalised(LogisticRegression(maxIter=2000, standardization=False), "inverse", C=1.0),

@@ -301,6 +301,13 @@ def m10(spark, sf):
     return _classify(spark, sf, ["MLPClassifier"], vector_rows(spark, sf), 10, 64)
 
 
+@query("M10_neural_regressor")
+def m10b(spark, sf):
+    est = M.regressor("MLPRegressor")
+    est.set(est.maxIter, TREES)
+    return _held_out(part_rows(spark, sf), {"MLPRegressor": est}, "regression")
+
+
 def _cluster_sizes(clustered):
     return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
