@@ -12,7 +12,7 @@ registry.load_all()
 
 #: Long model runs; the full comparison script covers them.
 SLOW = {"E16_run_both", "E17_two_target_run", "E3_cross_validate", "M5_gradient_boosting", "M10_neural_net",
-        "M7_support_vectors", "M4_extra_trees", "M3_random_forests", "E4_grid_search", "E5_random_search", "M1_linear_family"}
+        "M7_support_vectors", "M10_neural_regressor", "M4_extra_trees", "M3_random_forests", "E4_grid_search", "E5_random_search", "M1_linear_family"}
 
 
 @pytest.fixture(scope="module")
