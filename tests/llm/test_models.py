@@ -316,17 +316,18 @@ def slow_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     fit = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     rows = [r.asDict() for r in docs.collect() if fit[r["doc_id"]]["lang_pred"] != "und" and fit[r["doc_id"]]["score"] >= 0.5]
-    sites = {}
+    sites, first = {}, {}
     bare = lambda x: x.strip(" ")
     for r in rows:
-        for x in r["text"].split("\n"):
+        first[r["text"]] = min(r["source"] or "", first.get(r["text"], r["source"] or ""))
+    for text, site in first.items():
+        for x in text.split("\n"):
             if bare(x):
-                sites.setdefault(bare(x), set()).add(r["source"] or "")
+                sites.setdefault(bare(x), set()).add(site)
     for r in rows:
         parts = r["text"].split("\n")
         kept = [x for x in parts if not bare(x) or len(sites[bare(x)]) < lines.MIN_SITES]
-        cut = sum(map(len, parts)) - sum(map(len, kept))
-        if len(kept) < len(parts) and cut <= lines.MAX_SHARE * sum(map(len, parts)):
+        if len(kept) < len(parts):
             r["text"] = "\n".join(kept)
             r["n_chars"] = len(r["text"])
     rows.sort(key=lambda r: r["doc_id"])

@@ -134,6 +134,17 @@ def test_copies_of_a_page_stay_whole(spark):
     page = "First line of a page\nSecond line of a page\nThird line of a page"
     rows = [(k, page, "en", f"s{k}", len(page)) for k in range(9)]
     assert {r["text"] for r in lines.drop_spread_lines(line_table(spark, rows)).collect()} == {page}
+    # three more texts hold its first line: with the copies' one site that makes four sites, with a fourth text five
+    more = lambda n: rows + [(100 + k, f"First line of a page\nOnly here {k}", "en", f"t{k}", 1) for k in range(n)]
+    removed = lambda n: sum(r["n_removed"] for r in lines.drop_spread_lines(line_table(spark, more(n)), report=True).collect())
+    assert (removed(3), removed(4)) == (0, 13)
+
+
+def test_boilerplate_goes_whatever_its_share(spark):
+    notice = "All rights reserved. " * 20
+    rows = [(k, f"Short {k}\n{notice}", "en", f"s{k}", 1) for k in range(6)] + [(50, notice, "en", "s9", 1), (51, notice, "en", "s9", 1)]
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.drop_spread_lines(line_table(spark, rows)).collect()}
+    assert out == {**{k: (f"Short {k}", 7) for k in range(6)}, 50: ("", 0), 51: ("", 0)}
 
 
 def test_lines_agree_with_sql(spark):
