@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.common import column_of, map_slices, slices
-from tabloom.llm.pieces import TOGETHER, PieceTable, load_pieces, vocabulary_path, word_groups
+from tabloom.llm.pieces import TOGETHER, WINDOW, PieceTable, load_pieces, vocabulary_path, word_groups
 
 #: A letter run; digits, marks and punctuation say little about a language.
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: A longer run of letters is read as consecutive words of this length, so that memory per word is bounded.
+#: A longer run of letters is cut where no piece spans, which leaves its sums as they are; what is still longer is
+#: summed alone, in logarithms.
 LONGEST = 48
 #: Added to every expected count, so that no piece is impossible in a language.
 SMOOTH = 0.05
@@ -27,17 +28,18 @@ UNKNOWN = 1e-7
 UNDECIDED = "und"
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str, table: PieceTable) -> list[str]:
     found = _LETTERS.findall(text.lower())
     if max(map(len, found), default=0) <= LONGEST:
         return found
-    return [w[i: i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    return [x for w in found for x in (table.parts(w) if len(w) > LONGEST else [w])]
 
 
 class Words:
     """Numbers the distinct words of texts in the order they are met."""
 
-    def __init__(self) -> None:
+    def __init__(self, table: PieceTable) -> None:
+        self.table = table
         self.number: dict[str, int] = {}
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,7 @@ class Words:
         counts = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
             if t:
-                words = words_of(t)
+                words = words_of(t, self.table)
                 counts[i] = len(words)
                 order.extend([add(w, len(number)) for w in words])
         return np.frombuffer(order, dtype=np.int32) if order else np.zeros(0, dtype=np.int32), counts
@@ -87,6 +89,48 @@ def _spelled(table: PieceTable, chars: np.ndarray) -> tuple[list[list[tuple[int,
     return out, n
 
 
+def _hits(table: PieceTable, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, length, piece number or -1) of all steps through one word, by end; a character that is no piece is a step."""
+    n, prefix = len(word), table.word_prefixes(word)
+    found = [table.hits(prefix, low, min(n, low + WINDOW)) for low in range(0, n, WINDOW)]
+    end, length, piece = (np.concatenate(x) for x in zip(*found))
+    bare = np.setdiff1d(np.arange(1, n + 1), end[length == 1])
+    end, length = np.append(end, bare), np.append(length, np.ones(len(bare), dtype=np.int64))
+    order = np.argsort(end, kind="stable")
+    return end[order], length[order], np.append(piece, np.full(len(bare), -1))[order]
+
+
+def _log_sums(n: int, end: np.ndarray, length: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Per place of one word, the logarithm of the sum over all ways to it; `logs` has a row per step, ordered by end."""
+    out = np.zeros((n + 1, logs.shape[1]))
+    start = np.searchsorted(end, np.arange(n + 2)).tolist()
+    back = end - length
+    for at in range(1, n + 1):
+        a, b = start[at], start[at + 1]
+        ways = out[back[a:b]] + logs[a:b]
+        top = ways.max(axis=0)
+        out[at] = top + np.log(np.exp(ways - top).sum(axis=0))
+    return out
+
+
+def _expected_long(table: PieceTable, word: str, p0: float, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, expected uses) in one long word, every piece of probability `p0`."""
+    n = len(word)
+    end, length, piece = _hits(table, word)
+    logs = np.where(piece >= 0, np.log(p0), np.log(unknown))[:, None]
+    forward = _log_sums(n, end, length, logs)[:, 0]
+    turned = np.argsort(n - (end - length), kind="stable")  # the same steps, walked from the other end
+    backward = _log_sums(n, n - (end - length)[turned], length[turned], logs[turned])[::-1, 0]
+    share = np.exp(forward[end - length] + logs[:, 0] + backward[end] - forward[n])
+    return piece[piece >= 0], share[piece >= 0]
+
+
+def _long_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that advance together, and of those that are summed alone."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    return np.flatnonzero(sizes <= LONGEST), np.flatnonzero(sizes > LONGEST)
+
+
 def expected_counts(table: PieceTable, words: list[str], weights: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations, every piece equally likely; columns follow `weights`.
 
@@ -97,7 +141,13 @@ def expected_counts(table: PieceTable, words: list[str], weights: np.ndarray) ->
     p0 = 1.0 / len(table.pieces)
     lift = 30.0
     total = np.zeros((len(table.pieces), weights.shape[1]))
-    for rows, chars in word_groups(words):
+    short, long = _long_words(words)
+    for i in long.tolist():
+        piece, share = _expected_long(table, words[i], p0, 1e-3 * p0)
+        for lang in np.flatnonzero(weights[i]).tolist():
+            total[:, lang] += np.bincount(piece, share * weights[i, lang], len(table.pieces))
+    for rows, chars in word_groups([words[i] for i in short.tolist()]):
+        rows = short[rows]
         spelled, n = _spelled(table, chars)
         w = len(rows)
         forward, backward = np.zeros((n + 1, w)), np.zeros((n + 1, w))
@@ -126,7 +176,15 @@ def expected_counts(table: PieceTable, words: list[str], weights: np.ndarray) ->
 def log_likelihoods(table: PieceTable, probs: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language: the forward algorithm sums over all segmentations."""
     out = np.zeros((len(words), probs.shape[1]))
-    for rows, chars in word_groups(words, TOGETHER * 4 // max(4, probs.shape[1])):
+    short, long = _long_words(words)
+    for i in long.tolist():
+        end, length, piece = _hits(table, words[i])
+        few = max(1, HELD // len(end))  # languages at once, so that the table of steps is bounded
+        for k in range(0, probs.shape[1], few):
+            logs = np.log(np.maximum(np.where(piece[:, None] >= 0, probs[piece, k: k + few], UNKNOWN), 1e-300))
+            out[i, k: k + few] = _log_sums(len(words[i]), end, length, logs)[-1]
+    for rows, chars in word_groups([words[i] for i in short.tolist()], TOGETHER * 4 // max(4, probs.shape[1])):
+        rows = short[rows]
         spelled, n = _spelled(table, chars)
         forward = np.zeros((n + 1, len(rows), probs.shape[1]))
         forward[0] = 1.0
@@ -153,11 +211,12 @@ class Model:
     def __init__(self, langs: list[str], probs: np.ndarray, prior: np.ndarray) -> None:
         self.langs, self.probs, self.prior = langs, probs, prior
 
-        self._words, self._scores = Words(), np.zeros((0, len(langs)))
+        self._words, self._scores = None, np.zeros((0, len(langs)))
 
     def predict(self, table: PieceTable, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and posterior of each text; `und` and 0 without a letter or without a learned language."""
         known = len(self._scores)
+        self._words = self._words or Words(table)
         order, counts = self._words.read(texts)
         best, score = [UNDECIDED] * len(texts), np.zeros(len(texts))
         if not len(order) or not self.langs:
@@ -206,7 +265,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", vocabul
 
     def count(batches):
         table = load_pieces(path)
-        words, names, rows, weights = Words(), {}, {}, np.zeros((0, 0), dtype=np.float32)
+        words, names, rows, weights = Words(table), {}, {}, np.zeros((0, 0), dtype=np.float32)
 
         def work_out():
             """Expected counts of all words held, and the rows read, per language."""
@@ -231,7 +290,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", vocabul
             weights = _sum(weights, held.reshape(-1, len(names)))
             if weights.size > HELD:
                 yield work_out()
-                words, names, rows, weights = Words(), {}, {}, np.zeros((0, 0), dtype=np.float32)
+                words, names, rows, weights = Words(table), {}, {}, np.zeros((0, 0), dtype=np.float32)
         if rows:
             yield work_out()
 

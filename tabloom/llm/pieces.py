@@ -80,6 +80,21 @@ class PieceTable:
         order = np.lexsort((length, end))
         return end[order], length[order], piece[order]
 
+    def word_prefixes(self, word: str) -> np.ndarray:
+        """Rolling hashes of the prefixes of one word."""
+        return self.prefixes(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(1, -1).astype(np.uint64))
+
+    def parts(self, word: str) -> list[str]:
+        """The word cut at every place that no piece spans; every segmentation passes through these cuts."""
+        n, prefix = len(word), self.word_prefixes(word)
+        spans = np.zeros(n + 1, dtype=np.int64)
+        for low in range(0, n, WINDOW):
+            end, length, _ = self.hits(prefix, low, min(n, low + WINDOW))
+            np.add.at(spans, end - length + 1, 1)
+            np.add.at(spans, end, -1)
+        cuts = [0, *(np.flatnonzero(np.cumsum(spans)[1:n] == 0) + 1).tolist(), n]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
 #: Words of one length that advance together; bounds the arrays of a step.
 TOGETHER = 1 << 16
@@ -145,23 +160,13 @@ class Codec:
         for i in plain:
             self._spelling[i] = pieces[i].replace(SPACE, " ").encode("utf-8", "surrogatepass")
 
-    def _prefixes(self, word: str) -> np.ndarray:
-        return self.table.prefixes(np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(1, -1).astype(np.uint64))
-
     def parts(self, word: str) -> list[str]:
         """The word cut at every place that no piece spans: its best segmentation is that of the parts."""
-        n, prefix = len(word), self._prefixes(word)
-        spans = np.zeros(n + 1, dtype=np.int64)
-        for low in range(0, n, WINDOW):
-            end, length, _ = self.table.hits(prefix, low, min(n, low + WINDOW))
-            np.add.at(spans, end - length + 1, 1)
-            np.add.at(spans, end, -1)
-        cuts = [0, *(np.flatnonzero(np.cumsum(spans)[1:n] == 0) + 1).tolist(), n]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+        return self.table.parts(word)
 
     def _encode_long(self, word: str) -> list[int]:
         """The ids of one long word: the same search, position by position over the pieces that end there."""
-        n, prefix, scores = len(word), self._prefixes(word), self.table.scores
+        n, prefix, scores = len(word), self.table.word_prefixes(word), self.table.scores
         best, back, used = array("d", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
         for low in range(0, n, WINDOW):
             high = min(n, low + WINDOW)

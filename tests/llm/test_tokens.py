@@ -253,7 +253,40 @@ def test_long_words_of_unknown_letters_stay_finite():
     words = ["ꙮ" * 48, "z" * 48, "ꙮz" * 24]
     assert np.isfinite(langid.expected_counts(table, words, np.ones((3, 1)))).all()
     assert np.isfinite(langid.log_likelihoods(table, np.full((len(table.pieces), 2), 1 / len(table.pieces)), words)).all()
-    assert langid.words_of("x" * 100 + " y1z") == ["x" * 48, "x" * 48, "xxxx", "y", "z"]
+    toy = pieces.PieceTable(["a", "b", "ab", "ba", "x"], np.zeros(5))
+    assert langid.words_of("x" * 60 + "ab y1z", toy) == [*"x" * 60, "ab", "y", "z"]  # cut where no piece spans
+    assert langid.words_of("ab" * 60, toy) == ["ab" * 60]
+
+
+def test_long_runs_are_summed_whole(monkeypatch):
+    table = pieces.PieceTable(["a", "b", "ab", "ba", "abab", "c", "bc"], np.zeros(7))
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcz") for _ in range(n)) for n in (1, 2, 9, 30, 48, 49, 130, 300)] + ["ab" * 400]
+    probs = np.random.default_rng(2).random((7, 3))
+    weights = np.random.default_rng(3).random((len(words), 2))
+    monkeypatch.setattr(langid, "LONGEST", 0)  # all words alone, in logarithms
+    alone, counted = langid.log_likelihoods(table, probs, words), langid.expected_counts(table, words, weights)
+    monkeypatch.setattr(langid, "HELD", 5)
+    assert np.allclose(langid.log_likelihoods(table, probs, words), alone)
+    monkeypatch.setattr(langid, "LONGEST", 1000)  # all together
+    assert np.allclose(langid.log_likelihoods(table, probs, words), alone)
+    short = [k for k, w in enumerate(words) if len(w) <= 48]
+    monkeypatch.setattr(langid, "LONGEST", 0)
+    some = langid.expected_counts(table, [words[k] for k in short], weights[short])
+    monkeypatch.setattr(langid, "LONGEST", 48)
+    assert np.allclose(langid.expected_counts(table, [words[k] for k in short], weights[short]), some)
+    # every letter but z, which no piece spells, is spelled once by the expected pieces
+    letters = np.array([len(p) for p in table.pieces]) @ counted
+    assert np.allclose(letters, np.array([len(w) - w.count("z") for w in words]) @ weights)
+
+
+def test_languages_of_joined_text(spark):
+    rng = random.Random(13)
+    syllables = {"xx": ["la", "mo", "ri"], "yy": ["sch", "ung", "ker"]}
+    make = lambda lang, n: "".join(rng.choice(syllables[lang]) for _ in range(n))
+    rows = [(k, make("xx" if k % 2 else "yy", 400), "xx" if k % 2 else "yy") for k in range(40)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r["lang_pred"] == ("xx" if r["doc_id"] % 2 else "yy") for r in got)
 
 
 def test_held_out_languages_are_found(spark, sf):
