@@ -5,6 +5,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from tabloom.llm.common import column_of, map_slices
 SPACE = "▁"
 #: Base of a rolling hash of 64 bits.  Code points are mixed first, so that all bits of a key count.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Lowest bit of a key's first 20 bits, which mark whether any piece has them.
+_TOP = 44
 #: What a byte piece costs beside the worst piece: spelling in bytes is the last resort.
 BYTE_PENALTY = 10.0
 
@@ -40,6 +43,8 @@ class PieceTable:
             keys[rows] = self._key(prefix, 0, chars.shape[1])
         self._order = np.argsort(keys, kind="stable")
         self._sorted = keys[self._order]
+        self._maybe = np.zeros(1 << (64 - _TOP), dtype=bool)
+        self._maybe[keys >> np.uint64(_TOP)] = True
         if (self._sorted[1:] == self._sorted[:-1]).any():
             raise ValueError("two pieces share a hash key")
 
@@ -58,10 +63,23 @@ class PieceTable:
 
     def probe(self, prefix: np.ndarray, start: int, end: int) -> np.ndarray:
         """The piece that each word spells between two positions, or -1."""
-        key = self._key(prefix, start, end)
+        which, piece = self.find(self._key(prefix, start, end))
+        out = np.full(prefix.shape[1], -1)
+        out[which] = piece
+        return out
+
+    def spelled(self, prefix: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, piece) of the words that spell a piece between two positions."""
+        return self.find(self._key(prefix, start, end))
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, piece) of the keys that are a piece's; keys whose first bits no piece has are not searched for."""
+        ask = np.flatnonzero(self._maybe[key >> np.uint64(_TOP)])
+        key = key[ask]
         at = np.searchsorted(self._sorted, key)
         at[at == len(self._sorted)] = 0
-        return np.where(self._sorted[at] == key, self._order[at], -1)
+        same = self._sorted[at] == key if len(ask) else np.zeros(0, dtype=bool)
+        return ask[same], self._order[at[same]]
 
     def hits(self, prefix: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(end, length, piece) of every piece of one word that ends after `low` and up to `high`, in this order."""
@@ -70,12 +88,10 @@ class PieceTable:
             end = np.arange(max(low + 1, length), high + 1)
             # prefixes of one word: the ends stand in place of the words that advance together
             key = prefix[end, 0] - prefix[end - length, 0] * self._powers[length]
-            at = np.searchsorted(self._sorted, key)
-            at[at == len(self._sorted)] = 0
-            hit = np.flatnonzero(self._sorted[at] == key)
+            hit, piece = self.find(key)
             ends.append(end[hit])
             lengths.append(np.full(len(hit), length))
-            found.append(self._order[at[hit]])
+            found.append(piece)
         end, length, piece = np.concatenate(ends), np.concatenate(lengths), np.concatenate(found)
         order = np.lexsort((length, end))
         return end[order], length[order], piece[order]
@@ -118,6 +134,8 @@ def word_groups(words: list[str], together: int = TOGETHER) -> Iterator[tuple[np
 
 #: A longer word is cut where no piece spans; a part that is still longer is searched alone.
 LONGEST_WORD = 256
+#: Distinct words a worker remembers; later ones are encoded anew for each slice of text.
+REMEMBERED = 800_000
 #: Positions of a long word whose pieces are looked up at once.
 WINDOW = 1 << 15
 
@@ -153,6 +171,8 @@ class Codec:
         if any(SPACE in p.lstrip(SPACE) for p in self.table.pieces):
             raise ValueError("a piece spans two words")
         self._unknown = float(self.table.scores[self.table.scores > -1e8].min()) - BYTE_PENALTY
+        self._number: dict[str, int] = {}
+        self._known, self._counts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
         #: bytes of every id, for decoding; control and unknown ids spell nothing
         self._spelling = [b""] * n
         for b, i in enumerate(self.byte_id.tolist()):
@@ -229,15 +249,15 @@ class Codec:
             back = np.zeros((n + 1, w), dtype=np.int32)
             used = np.full((n + 1, w), -1, dtype=np.int32)
             for end in range(1, n + 1):
+                # one character is always a way, in bytes if no piece spells it
+                best[end], back[end] = best[end - 1] + self._unknown, 1
                 for length in range(1, min(end, table.longest) + 1):
-                    piece = table.probe(prefix, end - length, end)
-                    if length > 1 and not (piece >= 0).any():
-                        continue
-                    score = best[end - length] + np.where(piece >= 0, table.scores[piece], self._unknown if length == 1 else -np.inf)
-                    better = score >= best[end] if length > 1 else np.ones(w, dtype=bool)
-                    best[end] = np.where(better, score, best[end])
-                    back[end] = np.where(better, length, back[end])
-                    used[end] = np.where(better, piece, used[end])
+                    which, piece = table.spelled(prefix, end - length, end)
+                    score = best[end - length, which] + table.scores[piece]
+                    if length > 1:
+                        better = score >= best[end, which]
+                        which, piece, score = which[better], piece[better], score[better]
+                    best[end, which], back[end, which], used[end, which] = score, length, piece
             # walk all words back at once; ids come out in reverse order
             at, live = np.full(w, n), np.arange(w)
             word_parts, id_parts, step = [], [], []
@@ -272,16 +292,30 @@ class Codec:
         return ids[np.lexsort((step, word))], counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and the number of ids of each text."""
-        number: dict[str, int] = {}
-        order: list[int] = []
+        """The ids of all texts end to end, and the number of ids of each text.
+
+        Words met before are remembered with their ids, up to `REMEMBERED` of them.
+        """
+        number, before, kept = self._number, len(self._number), len(self._known)
+        add = number.setdefault
+        order = array("i")
         n_words = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
             if t:
                 words = split_words(t)
                 n_words[i] = len(words)
-                order.extend([number.setdefault(w, len(number)) for w in words])
-        return _in_order(*self.encode_words(list(number)), order, n_words)
+                order.extend([add(w, len(number)) for w in words])
+        new = list(islice(number, before, None))
+        if new:
+            ids, counts = self.encode_words(new)
+            self._known = np.concatenate([self._known, ids])
+            self._counts = np.concatenate([self._counts, counts])
+        out = _in_order(self._known, self._counts, order, n_words)
+        if len(number) > REMEMBERED:  # words met late are mostly rare
+            for w in new:
+                del number[w]
+            self._known, self._counts = self._known[:kept], self._counts[:before]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids spell, without the space put before its first word."""
