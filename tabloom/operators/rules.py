@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.ordering import column_medians, quantile_columns
+from tabloom.functions.ordering import column_medians, quantile_columns, with_position
 from tabloom.functions.stats import describe_dtype, numeric_columns, paired_corr, text_columns, unpivot
 from tabloom.operators.prep import label_encode
 from tabloom.operators.profile import _tall, distinct_counts
+from tabloom.session import durable
 
 # Name parts that mark likely targets and time columns.
 REGRESSION_WORDS = (
@@ -259,6 +260,66 @@ def mutual_information(df: DataFrame, target: str, features: list[str], classes:
     return all_.groupBy("column").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
 
 
+def _digamma(n: Column) -> Column:
+    """The digamma function of a whole number above 0: six steps up, then the asymptotic series."""
+    x = n.cast("double")
+    z = x + 6
+    series = F.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6)
+    return series - sum((1 / (x + i) for i in range(6)), F.lit(0.0))
+
+
+def nearest_information(df: DataFrame, target: str, features: list[str], k: int = 3, block: int = 1 << 16) -> DataFrame:
+    """(column, mi), the nearest-neighbour estimate of what numeric features tell about a class.
+
+    The radius of a row is the distance to its k-th nearest row of the same class (of fewer, the farthest);
+    m counts the rows of all classes that lie nearer, the row itself included, or the equal ones where the
+    radius is zero.  mi = psi(N) + mean psi(k) - mean psi(class size) - mean psi(m), not below zero.
+
+    Rows whose feature is null or no finite number or whose class is null, and classes of one row, play no
+    part in a column; a column without rows is not listed.  Equal values are counted before they move.  Sorted
+    values of a class are cut into blocks that overlap by k, so no class meets in one task, and m comes from
+    running counts over ranges of values: no pair of rows is ever formed.
+    """
+    rows = df.select(F.col(target).alias("_cls"), *features)
+    cells = unpivot(rows, features, "double", ("_cls",)).filter(F.col("_cls").isNotNull() & (F.abs("value") < float("inf")))
+    # 0.0 turns -0.0 into 0.0: both are one value
+    cells = cells.groupBy("column", F.col("_cls").alias("cls"), (F.col("value") + 0.0).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    cells = durable(cells.repartitionByRange("column", "cls", "value").withColumn("_p", F.spark_partition_id()), "cells")
+    sizes = cells.groupBy("column", "cls").agg(F.sum("c").alias("n")).filter("n > 1")
+    placed = with_position(cells, ["column", "cls"], ["value"], F.col("_p"), "pos").drop("_p").join(sizes, ["column", "cls"])
+    home = F.floor(F.col("pos") / block)
+    near = placed.withColumn("home", home).withColumn("block", F.explode(F.array_distinct(F.array(
+        home, F.floor((F.col("pos") - k) / block), F.floor((F.col("pos") + k) / block)))))
+    inside = Window.partitionBy("column", "cls", "block").orderBy("pos")
+    rank = F.least(F.lit(k), F.col("n") - 1).cast("int")
+    gap = lambda at: F.array_repeat(F.abs(at(F.col("value")) - F.col("value")), F.least(at(F.col("c")), F.lit(k)).cast("int"))
+    gaps = [F.array_repeat(F.lit(0.0), F.least(F.col("c") - 1, F.lit(k)).cast("int"))]
+    for j in range(1, k + 1):
+        for step in (F.lag, F.lead):
+            gaps.append(F.coalesce(gap(lambda x: step(x, j).over(inside)), F.array().cast("array<double>")))
+    far = near.select("column", "cls", "value", "c", "n", "home", "block", rank.alias("k"),
+                      F.array_sort(F.concat(*gaps)).alias("gaps")).filter("block = home")
+    far = durable(far.select("column", "cls", "value", "c", "n", "k", F.element_at("gaps", F.col("k")).alias("r")), "radii")
+    # at one value: ends that leave it out, the rows, ends that take it in
+    none = F.lit(None)
+    rows = far.groupBy("column", "value").agg(F.sum("c").alias("w")).select(
+        "column", F.col("value").alias("at"), F.lit(1).alias("kind"), "w", none.cast("int").alias("sign"),
+        none.cast(cells.schema["cls"].dataType).alias("cls"), none.cast("double").alias("value"))
+    end = lambda at, kind, sign: far.select(
+        "column", at.alias("at"), F.when(F.col("r") > 0, kind).otherwise(2 - kind).alias("kind"), F.lit(0).cast("long").alias("w"),
+        F.lit(sign).alias("sign"), "cls", "value")
+    ends = end(F.col("value") - F.col("r"), 2, -1).unionByName(end(F.col("value") + F.col("r"), 0, 1))
+    events = durable(rows.unionByName(ends).repartitionByRange("column", "at", "kind").withColumn("_p", F.spark_partition_id()), "events")
+    before = events.groupBy("column", "_p").agg(F.sum("w").alias("total")).select(
+        "column", "_p", (F.sum("total").over(Window.partitionBy("column").orderBy("_p")) - F.col("total")).alias("before"))
+    running = F.sum("w").over(Window.partitionBy("column", "_p").orderBy("at", "kind")) + F.col("before")
+    counted = events.join(before, ["column", "_p"]).withColumn("upto", running).filter("sign is not null").groupBy(
+        "column", "cls", "value").agg(F.sum(F.col("sign") * F.col("upto")).alias("m"))
+    mean = lambda x: F.sum(F.col("c") * _digamma(x)) / F.sum("c")
+    mi = _digamma(F.sum("c")) + mean(F.col("k")) - mean(F.col("n")) - mean(F.col("m"))
+    return far.join(counted, ["column", "cls", "value"]).groupBy("column").agg(F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
 def filter_features_regression(df: DataFrame, profile: DataFrame, target: str, features: list[str]) -> DataFrame:
     """Correlation on encoded text with the target's median filled in, and R13."""
     coded = _encoded(df.select(*features, target), features)

@@ -300,6 +300,30 @@ def r13(spark, sf):
     return R.mutual_information(table(spark, sf, "orders"), "o_orderstatus", [c for c, _ in _OF], classes=True)
 
 
+def _psi(n):
+    """The digamma function of a whole number by its asymptotic series six steps up."""
+    z = f"({n} + 6.0)"
+    return (f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6)"
+            + "".join(f" - 1.0 / ({n} + {i})" for i in range(6)) + ")")
+
+
+_NEAREST = f"""WITH l AS (SELECT o_orderstatus AS cls, unnest(['o_custkey', 'o_totalprice']) AS col,
+    unnest([CAST(o_custkey AS DOUBLE), CAST(o_totalprice AS DOUBLE)]) AS v FROM orders),
+  t AS (SELECT *, count(*) OVER (PARTITION BY col, cls) AS n FROM l QUALIFY n > 1),
+  d AS (SELECT *, least(3, n - 1) AS k, list_sort(list_filter([{", ".join(f"abs({f}(v, {j}) OVER w - v)" for f in ("lag", "lead")
+    for j in (1, 2, 3))}], lambda x: x IS NOT NULL))[least(3, n - 1)] AS r FROM t WINDOW w AS (PARTITION BY col, cls ORDER BY v)),
+  u AS (SELECT col, v, CAST(count(*) AS DOUBLE) AS here, sum(count(*)) OVER (PARTITION BY col ORDER BY v) AS upto FROM d GROUP BY 1, 2),
+  lo AS (SELECT d.*, coalesce(u.upto, 0) AS below FROM d ASOF LEFT JOIN u ON d.col = u.col AND d.v - d.r >= u.v),
+  hi AS (SELECT lo.*, u.upto AS above FROM lo ASOF LEFT JOIN u ON lo.col = u.col AND lo.v + lo.r > u.v),
+  m AS (SELECT hi.*, CASE WHEN r > 0 THEN above - below ELSE u.here END AS m FROM hi JOIN u ON hi.col = u.col AND hi.v = u.v)
+  SELECT col AS "column", greatest({_psi("count(*)")} + avg({_psi("k")}) - avg({_psi("n")}) - avg({_psi("m")}), 0) AS mi FROM m GROUP BY 1"""
+
+
+@query("R13_nearest_information", rnd(_NEAREST, "mi", 7), 7)
+def r13_nearest(spark, sf):
+    return R.nearest_information(table(spark, sf, "orders"), "o_orderstatus", ["o_custkey", "o_totalprice"])
+
+
 _P10 = ["p_name", "p_brand", "p_type", "p_size"]
 
 
