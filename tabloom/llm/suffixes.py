@@ -366,7 +366,7 @@ def _hot(contexts: DataFrame, length: int, range_limit: int) -> DataFrame:
     """
     span, hot = int(length * SPAN_SHARE), contexts
     keyed = durable(_keys(hot, span, CUTS).select("key", "doc", "spot"), "keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    sizes = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "sizes")
     sized = durable(keyed.join(sizes, "key"), "cut")
     bytes_ = hot.select("doc", "spot", "left", "right")
     small = sized.filter(F.col("members") <= range_limit).join(bytes_, ["doc", "spot"])
@@ -385,14 +385,15 @@ def repeat_extents(texts: DataFrame, length: int = LENGTH, range_limit: int = RA
     if not 2 * GRAM <= length <= _SIDE:
         raise ValueError(f"length is between {2 * GRAM} and {_SIDE} bytes")
     rows = durable(_suffixes(texts, length), "suffixes")
-    counts = rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own")
+    # counts are written before a join: beside a plain exchange on both sides Spark splits a crowded `own`
+    counts = durable(rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("own"), "shared")
     repeated = durable(rows.join(counts, "own"), "repeated")
     classes = durable(repeated.groupBy("own", "ctx").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "spot")).alias("rep")), "classes")
     before, after = F.shiftright("spot", 10).bitwiseAND(F.lit(_SIDE)), F.col("spot").bitwiseAND(F.lit(_SIDE))
     twice = classes.filter("n > 1").select("own", "ctx")
     found = repeated.filter(before + after >= length).join(twice, ["own", "ctx"]).select(*_extent(F.col("spot"), before, after))
-    ranges = classes.groupBy("own").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    ranges = durable(classes.groupBy("own").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "ranges")
     wanted = classes.join(ranges, "own").select("own", "rep.doc", "rep.spot", (F.col("members") > range_limit).alias("crowded"))
     # written, so that the texts cross the network once for both kinds of ranges
     contexts = durable(_contexts(texts, wanted, length), "contexts")

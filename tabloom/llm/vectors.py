@@ -266,6 +266,16 @@ def _first_common(shards: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return shards[a, both.argmax(axis=1)]
 
 
+def _local_edges(nodes: np.ndarray, lists: pd.Series) -> np.ndarray:
+    """Edges by place among the ascending nodes, padded with -1; those to other shards are walked there."""
+    number = pd.Index(nodes)
+    inside = [e[e >= 0] for e in (number.get_indexer(e) for e in lists)]
+    edges = np.full((len(inside), max(1, max(map(len, inside), default=1))), -1)
+    for i, e in enumerate(inside):
+        edges[i, : len(e)] = e
+    return edges
+
+
 def _search_shards(nodes: DataFrame, width: int, centres: np.ndarray, overlap: int, least: float, piece: int, beam: int) -> DataFrame:
     """(node, links, root): per task and node the rows linked to it, and a smaller node of its component."""
     spark = nodes.sparkSession
@@ -292,39 +302,43 @@ def _search_shards(nodes: DataFrame, width: int, centres: np.ndarray, overlap: i
     graphs = member.groupBy("shard", "piece").applyInPandas(build, "node long, edges array<long>")
     united = durable(graphs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")), "edges")
 
-    # a task holds one piece of a shard and asks for the members of one piece of the same shard
-    ids = F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int"))
-    index = member.join(united, "node", "left").withColumn("block", F.explode(ids))
-    asked = member.withColumn("block", F.col("piece")).withColumn("piece", F.explode(ids)).filter("piece <> block").withColumn(
-        "edges", F.lit(None).cast("array<long>"))
-    cols = ["shard", "piece", "block", "node", "v", "rows", "shards", "edges"]
-    tasks = index.select(*cols).unionByName(asked.select(*cols))
+    # a task holds two pieces of a shard, each searched by the other, or one that is searched by itself
+    pairs = F.transform(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int")),
+                        lambda other: F.struct(F.least("piece", other).alias("low"), F.greatest("piece", other).alias("high")))
+    tasks = member.join(united, "node", "left").withColumn("pair", F.explode(pairs)).select(
+        "shard", "pair.low", "pair.high", "piece", "node", "v", "rows", "shards", "edges")
 
     def search(key, frame: pd.DataFrame) -> pd.DataFrame:
-        inside = frame["edges"].notna().to_numpy()
-        frame = pd.concat([frame[inside].sort_values("node"), frame[~inside].sort_values("node")])
-        x, n = _matrix(frame["v"].to_list(), width), int(inside.sum())
+        shard, low, high = key
+        frame = frame.sort_values(["piece", "node"])
+        x, n = _matrix(frame["v"].to_list(), width), int((frame["piece"] == low).sum())
         node, rows, dims = frame["node"].to_numpy(), frame["rows"].to_numpy(), frame["v"].map(len).to_numpy()
         shards = np.array(frame["shards"].to_list())
-        number = pd.Index(node[:n])
-        lists = [number.get_indexer(e) for e in frame["edges"].iloc[:n]]  # edges to other shards are walked there
-        edges = np.full((n, max(1, max((len(e) for e in lists), default=1))), -1)
-        for i, e in enumerate(lists):
-            e = e[e >= 0]
-            edges[i, : len(e)] = e
+        first, second = (slice(0, n), slice(0, n)) if low == high else (slice(0, n), slice(n, len(x)))
+        met = np.zeros((len(x[first]), len(x[second])), dtype=bool)  # a pair counts for both ends, whichever search met it
+        for index, queries, marks in ((first, second, met.T), (second, first, met))[: 1 if low == high else 2]:
+            if not len(x[index]) or not len(x[queries]):
+                continue
+            edges = _local_edges(node[index], frame["edges"].iloc[index])
+            medoid = int((x[index] @ x[index].mean(axis=0)).argmax())
+            for q, i in range_search(x[index], edges, x[queries], medoid, least, beam):
+                marks[q, i] = True
+        if low == high:
+            met = np.triu(met | met.T, 1)
         links, forest = np.zeros(len(x), dtype=np.int64), Forest()
-        first_query = 0 if n == len(x) else n
-        medoid = int((x[:n] @ x[:n].mean(axis=0)).argmax()) if n else 0
-        for q, i in range_search(x[:n], edges, x[first_query:], medoid, least, beam) if n else ():
-            q = q + first_query
-            good = (q != i) & (dims[q] == dims[i])
-            q, i = q[good], i[good]
-            forest.add(node[q], node[i])
-            count = _first_common(shards, q, i) == key[0]  # a pair of several shards counts in the first
-            np.add.at(links, q[count], rows[i[count]])
+        for at in range(0, len(met), 256):
+            a, b = np.nonzero(met[at: at + 256])
+            a, b = a + at, b + (0 if low == high else n)
+            good = dims[a] == dims[b]
+            a, b = a[good], b[good]
+            forest.add(node[a], node[b])
+            count = _first_common(shards, a, b) == shard  # a pair of several shards counts in the first
+            a, b = a[count], b[count]
+            np.add.at(links, a, rows[b])
+            np.add.at(links, b, rows[a])
         return pd.DataFrame({"node": node, "links": links, "root": [forest.root(v) for v in node.tolist()]})
 
-    found = tasks.groupBy("shard", "piece", "block").applyInPandas(search, "node long, links long, root long")
+    found = tasks.groupBy("shard", "low", "high").applyInPandas(search, "node long, links long, root long")
     return durable(found, "found")
 
 
@@ -345,20 +359,45 @@ def _exact_links(nodes: DataFrame, sample: list, width: int, least: float) -> di
     return {sample[r["k"]]["node"]: r["n"] - sample[r["k"]]["rows"] for r in sums}
 
 
-#: Vectors whose links the audit counts by brute force, and the share of them that must have been found.
+#: Vectors with links that the audit wants, the most vectors it draws to get them, and the least mean share found.
 AUDIT = 256
+MOST_DRAWN = 8_192
 MIN_RECALL = 0.98
 
 
+def audit_sample(nodes: DataFrame, width: int, least: float, audit: int = AUDIT, most: int = MOST_DRAWN) -> dict[int, int]:
+    """True links by node of vectors drawn in the order of a hash, until `audit` with links are held, all are seen or
+    `most` are drawn.  Vectors without links are left out."""
+    held: dict[int, int] = {}
+    drawn, block = 0, audit
+    while len(held) < audit and drawn < most:
+        block = min(block, most - drawn)
+        sample = nodes.orderBy(F.xxhash64("node", F.lit(2)), "node").offset(drawn).limit(block).collect()
+        exact = _exact_links(nodes, sample, width, least) if sample else {}
+        held |= {node: n for node, n in exact.items() if n}
+        drawn += len(sample)
+        if len(sample) < block:
+            break
+        block *= 2
+    return held
+
+
+def mean_recall(found: dict[int, int], exact: dict[int, int]) -> float | None:
+    """Mean over vectors of the share of their links that was found, so a hot group weighs no more than its members; None
+    where no vector has a link."""
+    return sum(min(found.get(v, 0), n) / n for v, n in exact.items()) / len(exact) if exact else None
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = MIN_COSINE,
                  shard: int = SHARD, piece: int = PIECE, overlap: int = OVERLAP, beam: int = BEAM, audit: int = AUDIT,
                  min_recall: float = MIN_RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept): direct links by cosine of at least `least` and their components.
 
     Rows of one vector, bit for bit after scaling, are one node that counts as many links as it has rows.
-    Every pair found is verified by its cosine in doubles before it counts.  An audit compares the links of a
-    sample with brute force; below `min_recall` the search is done again with twice the overlap and beam, in
-    the end with every shard for every vector.  Vectors that are null, empty, zero or hold null or non-finite
+    Every pair found is verified by its cosine in doubles before it counts, and counts for both ends.  An audit
+    compares the links of `audit` vectors that have links with brute force, vector by vector; while the mean share
+    found is below `min_recall` the search is done again with twice the overlap and beam, in the end with every
+    shard for every vector.  If none of the `MOST_DRAWN` vectors it may draw has a link, recall stays unmeasured.  Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing and are their own component; vectors link only with vectors of their own
     length; a null id names no component while another id is there; `kept` marks the id that names its
     component; repeated rows stay repeated; other columns play no part.
@@ -380,14 +419,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sample = _matrix([r["v"] for r in nodes.orderBy(F.xxhash64("node", F.lit(1))).limit(most).select("v").collect()], width)
     k = max(1, min(MOST_CENTRES, len(sample) // 4, -(-n * overlap // shard)))
     centres = fit_centres(sample, k)
-    checked = nodes.orderBy(F.xxhash64("node", F.lit(2))).limit(audit).collect()
-    exact = _exact_links(nodes, checked, width, least)
+    exact = audit_sample(nodes, width, least, audit)
     while True:
         found = _search_shards(nodes, width, centres, overlap, least, piece, beam)
         links = durable(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
         mine = {r["node"]: r["links"] for r in links.filter(F.col("node").isin(list(exact))).collect()}
-        wanted = sum(exact.values())
-        if overlap >= len(centres) and beam >= n or not wanted or sum(min(mine[v], exact[v]) for v in exact) >= min_recall * wanted:
+        recall = mean_recall(mine, exact)
+        if overlap >= len(centres) and beam >= n or recall is None or recall >= min_recall:
             break
         overlap, beam = min(2 * overlap, len(centres)), min(2 * beam, n)
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -83,6 +83,34 @@ def test_audit_searches_wider_until_recall_holds(spark):
     assert sum(min(got[i], n[i]) for i in got) >= 0.99 * n.sum()
 
 
+def test_hot_group_hides_no_twins(spark):
+    """A third of all vectors in one group beside 200 twins: every link of the twins is found, at both ends."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    hot = unit(unit(rng.normal(size=(1, 24))) + 0.01 * rng.normal(size=(200, 24)))
+    twins = unit(rng.normal(size=(200, 24)))
+    x = np.concatenate([hot, twins, unit(twins + 0.01 * rng.normal(size=twins.shape))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    n, root = slow_links(x)
+    for piece in (6000, 70):
+        got = {r["vec_id"]: r for r in vectors.near_vectors(table, shard=120, piece=piece).collect()}
+        assert [got[i]["n_links"] for i in range(200, 600)] == n[200:].tolist()
+        assert [got[i]["component_id"] for i in range(200, 600)] == root[200:].tolist()
+        assert sum(got[i]["n_links"] for i in range(200)) >= 0.98 * n[:200].sum()
+
+
+def test_audit_draws_until_it_holds_links(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 24))
+    x[299] = 1.001 * x[0] + 1e-4
+    nodes = vectors.unit_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+                                 ).selectExpr("id as node", "v", "1L as rows")
+    assert vectors.audit_sample(nodes, 24, 0.9, audit=2) == {0: 1, 299: 1}
+    assert vectors.mean_recall({0: 0, 299: 1}, {0: 1, 299: 1}) == 0.5
+    # two vectors of which one has lost a twin are worse than their sum of links says
+    assert vectors.mean_recall({1: 1000, 2: 0}, {1: 1000, 2: 1}) == 0.5 and vectors.mean_recall({}, {}) is None
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], "a"), (2, [2.0, 0.0], "a"), (3, [1.0, 0.1], None), (4, [0.0, 0.0], "a"), (5, None, "a"), (6, [1.0, None], "a"),
