@@ -60,3 +60,29 @@ def test_few_and_equal_rows(spark):
     assert N.agglomerative(same, 2, "row_id").select("cluster").distinct().count() == 2
     one = same.limit(1)
     assert N.agglomerative(one, 5, "row_id").collect()[0].cluster == 0
+
+
+def test_rows_move_once_per_block_of_queries(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(1500, 12))
+    X[700:900] = X[3]  # copies
+    ref = spark.createDataFrame([(i, x.tolist(), float(i % 3)) for i, x in enumerate(X)], "rid long, vec array<double>, y double")
+    ask = spark.createDataFrame([(i, X[i].tolist()) for i in range(0, 1500, 5)], "qid long, vec array<double>")
+    seen: list = []
+    got = N.nearest(ask, ref, 4, block_rows=800, cell_rows=40, cells_asked=seen).toPandas()
+    for qid in range(0, 1500, 5):
+        d = np.sqrt(((X - X[qid]) ** 2).sum(axis=1))
+        mine = got[got["qid"] == qid].sort_values(["dist", "rid"])
+        assert list(zip(mine["dist"], mine["rid"])) == sorted(zip(d, range(1500)))[:4]
+    # nearly every cell may hold a better row, yet a query moves once for a zone of cells, of which there are two or three
+    assert seen[0].count() <= 3 * 300
+
+
+def test_clusters_ask_again_only_where_a_merge_touches_them(spark):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(400, 5))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, vec array<double>")
+    asked: list = []
+    got = sorted(r.height for r in N.ward_merges(points, 150, 100, asked).collect())
+    assert np.allclose(got, slow_ward(list(range(400)), X)[0], atol=1e-9)
+    assert asked[0] == 400 and len(asked) > 1 and all(n < 320 for n in asked[1:])
