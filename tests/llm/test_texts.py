@@ -299,3 +299,22 @@ def test_repeats_on_the_test_table(spark, sf):
     rows = table.collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.cut_repeats(table).collect()}
     assert [got[r["doc_id"]] for r in rows] == slow_cut([r["text"] for r in rows], 400)
+
+
+def test_sites_of_lines_are_counted_not_estimated(spark, monkeypatch):
+    def estimate(*_):
+        raise AssertionError("an estimate")
+
+    monkeypatch.setattr(lines.F, "hll_sketch_agg", estimate)
+    rows = [(k, f"On all sites\nOn {'most' if k % 10 else 'few'} sites\nOnly here {k}", "en", f"s{k}", 1) for k in range(300)]
+    for least, want in ((271, {"On all sites"}), (270, {"On all sites", "On most sites"}), (30, {"On all sites", "On most sites", "On few sites"})):
+        got = lines.drop_spread_lines(line_table(spark, rows), min_sites=least, report=True).collect()
+        kept = {x for r in got for x in r["text"].split("\n") if not x.startswith("Only here")}
+        assert kept == {"On all sites", "On most sites", "On few sites"} - want
+
+
+def test_places_at_both_ends_and_side_by_side(spark):
+    spread = ["a notice", "b notice", "c notice"]
+    rows = [(k, "\n".join([spread[0], spread[1], f"x{k}", "", spread[2], f"y{k}", spread[0]]), "en", f"s{k}", 1) for k in range(5)]
+    got = lines.drop_spread_lines(line_table(spark, rows), report=True).collect()
+    assert {(r["text"], r["n_lines"], r["n_removed"], r["n_chars"]) for r in got} == {(f"x{k}\n\ny{k}", 7, 4, 6) for k in range(5)}
