@@ -235,8 +235,6 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- the trees
 
-#: The trees are fitted on a sample of at most this many candidates of either class; all candidates are judged.
-MOST_SAMPLES = 20_000
 #: Share of the held-back examples above a threshold that must be personal data.
 LEAST_PRECISION = 0.99
 #: Steps of a score in which thresholds are sought.
@@ -257,28 +255,27 @@ def _fit(cands: DataFrame, seed: int = 7):
     """(model, thresholds by kind) from the examples, or None without both classes.
 
     Base spans in disguise are the examples of personal data, candidates known to be plain those of plain
-    text; what is neither is judged without being an example.  A part of the examples is held back; there the
-    threshold of each kind is the lowest score that keeps the precision, each example counting for all
-    it was sampled from.  A kind without held-back examples of both classes takes the threshold of all kinds.
+    text; what is neither is judged without being an example.  Every example counts: three quarters fit the trees, a
+    quarter is held back; there the threshold of each kind is the lowest score that keeps the precision.  A kind without held-back examples of both classes takes the threshold of all kinds.
     """
-    known = cands.filter(F.col("base") | F.col("plain")).select("kind", "x", F.col("base").cast("double").alias("label"), "order")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return None
-    share = {k: min(1.0, MOST_SAMPLES / n) for k, n in counts.items()}
-    bounded = F.pmod(F.col("order"), F.lit(1_000_003)) < F.when(F.col("label") == 1, share[1.0]).otherwise(share[0.0]) * 1_000_003
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    sample = durable(known.filter(bounded).select("kind", "label", "order", *[F.col("x")[k].alias(f) for k, f in enumerate(FEATURES)]), "sample")
+    known = cands.filter(F.col("base") | F.col("plain")).select(
+        "kind", F.col("base").cast("double").alias("label"), "order", *[F.col("x")[k].alias(f) for k, f in enumerate(FEATURES)])
+    known = durable(known, "examples")
     held = F.pmod(F.xxhash64("order"), F.lit(4)) == 0
-    train, test = sample.filter(~held), sample.filter(held)
+    if known.select("label").distinct().count() < 2:
+        return None
+    # equal examples are one row with their number, so that the trees read no more rows than there are different ones
+    train = durable(known.filter(~held).groupBy("label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight")), "train")
     if train.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=20, maxDepth=4, seed=seed, subsamplingRate=0.8).fit(assembled.transform(train))
-    scored = model.transform(assembled.transform(test)).select("kind", "label", F.floor(vector_to_array("probability")[1] * STEPS).alias("step"))
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    model = GBTClassifier(maxIter=20, maxDepth=4, seed=seed, subsamplingRate=0.8, weightCol="weight").fit(assembled.transform(train))
+    scored = model.transform(assembled.transform(known.filter(held))).select(
+        "kind", "label", F.floor(vector_to_array("probability")[1] * STEPS).alias("step"))
     steps: dict[str | None, dict[int, list[float]]] = {k: {} for k in (None, *KINDS)}
-    for r in scored.groupBy("kind", "label", "step").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in scored.groupBy("kind", "label", "step").agg(F.count(F.lit(1)).alias("n")).collect():  # kinds, classes and steps bound it
         for k in (None, r["kind"]):
-            steps[k].setdefault(r["step"], [0.0, 0.0])[int(r["label"])] += r["n"] / share[r["label"]]
+            steps[k].setdefault(r["step"], [0.0, 0.0])[int(r["label"])] += r["n"]
     both = lambda k: all(sum(x[c] for x in steps[k].values()) for c in (0, 1))
     return model, assembled, {k: _threshold(steps[k if both(k) else None]) for k in KINDS}
 

@@ -406,3 +406,24 @@ def test_entry_lists_the_operators():
     names = set(entry.queries())
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
     assert set(entry.oracle_sql()) <= names
+
+
+def test_trees_are_fitted_on_all_examples(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    class Trees:
+        def __init__(self, **values):
+            self.weight = values.get("weightCol")
+
+        def fit(self, rows):
+            raise Seen(rows.agg(F.sum(self.weight) if self.weight else F.count(F.lit(1))).first()[0])
+
+    monkeypatch.setattr(pii, "GBTClassifier", Trees)
+    cands = spark.range(60_000).select(
+        F.lit("ip").alias("kind"), F.array(*[(F.col("id") % (2 + k)).cast("double") for k in range(len(pii.FEATURES))]).alias("x"),
+        (F.col("id") % 2 == 0).alias("base"), (F.col("id") % 2 == 1).alias("plain"), F.col("id").alias("order"))
+    with pytest.raises(Seen) as seen:
+        pii._fit(cands)
+    held = cands.filter(F.pmod(F.xxhash64("order"), F.lit(4)) == 0).count()
+    assert seen.value.args[0] == 60_000 - held
