@@ -86,3 +86,14 @@ def test_clusters_ask_again_only_where_a_merge_touches_them(spark):
     got = sorted(r.height for r in N.ward_merges(points, 150, 100, asked).collect())
     assert np.allclose(got, slow_ward(list(range(400)), X)[0], atol=1e-9)
     assert asked[0] == 400 and len(asked) > 1 and all(n < 320 for n in asked[1:])
+
+
+def test_ids_that_come_twice_still_have_a_nearest_cluster(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(60, 4))
+    rows = [(i, x.tolist(), 1.0) for i, x in enumerate(X)] * 3
+    for cell_rows in (500, 30):
+        got = {r.id: r.other for r in N.nearest_clusters(spark.createDataFrame(rows, "id long, vec array<double>, n double"), cell_rows).collect()}
+        d = ((X[:, None] - X[None]) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        assert got == dict(enumerate(d.argmin(axis=1).tolist()))
