@@ -187,3 +187,24 @@ def test_same_seed_same_tree_as_in_memory(spark, monkeypatch, classes):
     monkeypatch.setattr(T, "MOST_CELLS", 60)  # a level in several jobs makes the same nodes, numbered in the same order
     again = est.fit(frame(spark, X, y, 5))
     assert np.allclose(fit.outputs(X), again.outputs(X))
+
+
+def test_narrow_rows_are_dealt_to_more_tasks(spark, monkeypatch):
+    assert T._tasks(900_000, 2) >= 12 and T._tasks(100, 2) == 1
+    X, y = data(width=2)
+    whole = T.Boosting(maxIter=2, maxDepth=2).fit(frame(spark, X, y, 1)).outputs(X)
+    monkeypatch.setattr(T, "TASK_ROWS", 100)
+    parts = []
+    monkeypatch.setattr(T, "durable", lambda df, label: (parts.append((label, df.rdd.getNumPartitions())), df.cache())[1])
+    dealt = T.Boosting(maxIter=2, maxDepth=2).fit(frame(spark, X, y, 1)).outputs(X)
+    assert parts[0] == ("binned", 4)
+    assert np.allclose(whole, dealt)
+
+
+def test_matrix_reads_a_slice():
+    import pyarrow as pa
+    rows = np.arange(12.0).reshape(4, 3)
+    column = pa.array([r.tobytes() for r in rows], pa.binary())
+    assert (T._matrix(column.slice(1, 2), np.float64, 3) == rows[1:3]).all()
+    assert (T._matrix(column.cast(pa.large_binary()).slice(2), np.float64, 3) == rows[2:]).all()
+    assert T._matrix(column.slice(4), np.float64, 3).shape == (0, 3)
