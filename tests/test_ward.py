@@ -97,3 +97,24 @@ def test_ids_that_come_twice_still_have_a_nearest_cluster(spark):
         d = ((X[:, None] - X[None]) ** 2).sum(axis=2)
         np.fill_diagonal(d, np.inf)
         assert got == dict(enumerate(d.argmin(axis=1).tolist()))
+
+
+@pytest.mark.parametrize("direct", [0, 14_000])
+def test_few_pairs_meet_without_cells(spark, monkeypatch, direct):
+    rng = np.random.default_rng(13)
+    X = np.round(rng.normal(size=(130, 4)) + 3 * rng.integers(0, 4, (130, 1)), 3)
+    X[120:] = X[:10]  # copies
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, vec array<double>")
+    written, fitted, write, centres = [], [], N.durable, N._centres
+    monkeypatch.setattr(N, "DIRECT", direct, raising=False)
+    monkeypatch.setattr(N, "durable", lambda df, label: (written.append(label), write(df, label))[1])
+    monkeypatch.setattr(N, "_centres", lambda *a: (fitted.append(1), centres(*a))[1])
+    asked: list = []
+    got = sorted(r.height for r in N.ward_merges(points, 60, 40, asked).collect())
+    assert np.allclose(got, slow_ward(list(range(130)), X)[0], atol=1e-9)
+    cells = written.count("cells")
+    if direct:  # the first round has more pairs than the bound, the later ones have fewer
+        assert len(fitted) == cells == 1 and len(asked) > 1
+        assert len(written) <= 2 + 7 + 4 * (len(asked) - 1)
+    else:
+        assert cells == len(asked)
