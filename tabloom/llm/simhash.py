@@ -115,7 +115,8 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS, bucket_limit:
         raise ValueError("max_bits is 0, 2 or 4: three segments find up to four bits, and balls need an even number")
     variants = prints.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     crowded = durable(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_limit).select("key"), "crowded")
-    ordinary = variants.join(crowded, "key", "left_anti")
+    # Spark sizes the variants like the fingerprints, which have 64 times fewer rows, and would send them all to the driver
+    ordinary = variants.join(crowded, "key", "left_anti").hint("merge")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     links = ordinary.withColumnRenamed("fp", "a").join(ordinary.withColumnRenamed("fp", "b"), "key").filter(
         (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & _first_meeting(differ, F.shiftright("key", 22))).select("a", "b")

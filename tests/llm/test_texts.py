@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 from odd_rows import clashing, empty, odd  # noqa: F401
+from pyspark.sql import functions as F
 
 from tabloom.llm import decontaminate, lines, simhash, suffixes
 from tabloom.llm.common import components
@@ -111,6 +112,12 @@ def test_simhash_odd_rows(odd, clashing, empty):
         simhash.fingerprint_links(odd, 3)
 
 
+def test_variants_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    spark.range(2000).select((F.col("id") * 7919).alias("fp")).write.parquet(f"{tmp_path}/prints")
+    plan = simhash.fingerprint_links(spark.read.parquet(f"{tmp_path}/prints"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[key#\d+\], \[key#\d+\], Inner", plan) and not re.search(r"BroadcastHashJoin .*Inner", plan)
+
+
 # ---------------------------------------------------------------- lines
 
 def line_table(spark, rows):
