@@ -13,6 +13,7 @@ many costs a counted phrase that is dropped later, never a result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,16 +51,30 @@ RANK_PARTS = 64
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_KINDS = _KIND.tobytes()
+_LOWER = bytes(range(256)).lower()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word of an array of large binaries without empty ones; equal words have equal hashes everywhere."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset: words.offset + len(words) + 1]
+    sizes = np.diff(at)
+    raw = np.frombuffer(data, np.uint8)[at[0]: at[-1]].astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.full(sizes.max(), _MIX))
+    h = np.add.reduceat(raw * powers[np.arange(len(raw)) - np.repeat(at[:-1] - at[0], sizes)], at[:-1] - at[0])
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 @dataclass
 class Words:
     """The words of several texts in one buffer of lower-cased bytes."""
 
-    data: np.ndarray
+    data: bytes
     starts: np.ndarray  # first byte of each word
     ends: np.ndarray
     text: np.ndarray  # the text of each word
@@ -70,29 +85,27 @@ class Words:
 
     @classmethod
     def of(cls, texts: list) -> Words:
-        sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
-        kind = _KIND[data]
+        # a break before, between and after the texts ends words and pieces there
+        data = b"".join([b"\n", b"\n".join(texts), b"\n"]).translate(_LOWER)
+        kind = np.frombuffer(data.translate(_KINDS), np.uint8)
         inside = kind == 0
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        filled = bounds[:-1][sizes > 0]
-        first[filled] = inside[filled]
-        filled = bounds[1:][sizes > 0] - 1
-        last[filled] = inside[filled]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        text = np.searchsorted(bounds, starts, side="right") - 1
-        breaks = np.flatnonzero(kind == 2)
-        joined = np.zeros(len(starts), bool)
-        if len(starts):
-            joined[:-1] = (np.searchsorted(breaks, starts[1:]) == np.searchsorted(breaks, ends[:-1])) & (text[1:] == text[:-1])
-        offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        upto = np.searchsorted(starts, bounds)
+        text = np.repeat(np.arange(len(texts)), np.diff(upto, prepend=0))
+        # most words are one byte apart, and that byte tells
+        joined = kind[ends] == 1
+        wide = np.flatnonzero(starts[1:] - ends[:-1] > 1)
+        if len(wide):
+            breaks = np.flatnonzero(kind == 2)
+            joined[wide] = np.searchsorted(breaks, starts[wide + 1]) == np.searchsorted(breaks, ends[wide])
+        joined[-1:] = False
+        offsets = np.append(0, np.cumsum(ends - starts, dtype=np.int64))
+        letters = np.frombuffer(data, np.uint8)[inside]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
         coded = coded.dictionary_encode()
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        return cls(data, starts, ends, text, joined, coded.indices.to_numpy().astype(np.int64), coded.dictionary, hashes)
+        return cls(data, starts, ends, text, joined, coded.indices.to_numpy().astype(np.int64), coded.dictionary, _word_hashes(coded.dictionary))
 
 
 def chunk_bounds(words: Words, one_in: int = ONE_IN, longest: int = LONGEST_CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +147,7 @@ def _parts(text: bytes, most: int) -> Iterator[bytes]:
     yield text
 
 
-_CHUNK = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("last", pa.bool_())])
+_CHUNK = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("last", pa.bool_()), ("n", pa.int64())])
 _PHRASE = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
 
 
@@ -148,12 +161,12 @@ def _parse(one_in: int, longest: int):
             first, end, last = chunk_bounds(words, one_in, longest)
             if not len(first):
                 continue
-            begin, sizes = words.starts[first], words.ends[end - 1] - words.starts[first]
-            places = np.concatenate([[0], np.cumsum(sizes)])
-            data = words.data[np.repeat(begin - places[:-1], sizes) + np.arange(places[-1])]
-            chunk = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(data)])
-            lang = pa.array([p for p, _ in pieces], pa.string()).take(pa.array(words.text[first]))
-            yield pa.RecordBatch.from_arrays([lang, chunk.cast(pa.binary()), pa.array(last)], schema=_CHUNK)
+            langs = [pieces[t][0] for t in words.text[first].tolist()]
+            # equal chunks of a slice are one row, so that frequent ones need no sums before they are dealt
+            found = Counter(zip(langs, (words.data[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[end - 1].tolist())),
+                                last.tolist()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*found), _CHUNK.types)), pa.array(found.values(), pa.int64())],
+                                             schema=_CHUNK)
 
     return run
 
@@ -179,7 +192,7 @@ def _lang_hashes(langs: list) -> np.ndarray:
 
 def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of one row of each key, sum of its weights)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     edges = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else order
     return order[edges], np.add.reduceat(weights[order], edges) if len(keys) else weights
 
@@ -201,7 +214,7 @@ def _count(k: int, bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = bitmap.value if bitmap is not None else None
-        for table in _gathered(batches, 2 * SLICE):
+        for table in _gathered(batches, SLICE):
             batch = table.combine_chunks().to_batches()[0] if len(table) else None
             if batch is None:
                 continue
@@ -226,19 +239,21 @@ def _count(k: int, bitmap):
                 part = _marked(marks, _phrase_hash(*[hashes[j: n - k + 2 + j] for j in range(k - 1)]))
                 ok &= part[:-1] & part[1:]
             at = np.flatnonzero(ok)
-            key = lang_of[at]
+            key, most = lang_of[at], len(lang.dictionary)
             for j in range(k):
-                key = np.unique(key * len(words.vocabulary) + words.ids[at + j], return_inverse=True)[1]
+                if most * len(words.vocabulary) >= 1 << 63:  # numbers that are too large are replaced by their ranks
+                    key, most = np.unique(key, return_inverse=True)[1], len(key)
+                key, most = key * len(words.vocabulary) + words.ids[at + j], most * len(words.vocabulary)
             one, total = _sums(key, weight[at])
             texts = [words.vocabulary.take(pa.array(words.ids[at[one] + j])) for j in range(k)]
             phrase = pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.large_binary())) if k > 1 else texts[0]
-            langs, counts, size = lang.dictionary.take(pa.array(lang_of[at[one]])), pa.array(total), [k] * len(one)
+            langs, counts, size = lang.dictionary.take(pa.array(lang_of[at[one]])), pa.array(total), np.full(len(one), k, np.int32)
             phrase = phrase.cast(pa.binary())
             if k == 1:
                 some, whole = _sums(lang_of[at], weight[at])
                 langs = pa.concat_arrays([langs, lang.dictionary.take(pa.array(lang_of[at[some]]))])
                 phrase = pa.concat_arrays([phrase, pa.array([b""] * len(some), pa.binary())])
-                counts, size = pa.concat_arrays([counts, pa.array(whole)]), size + [0] * len(some)
+                counts, size = pa.concat_arrays([counts, pa.array(whole)]), np.append(size, np.zeros(len(some), np.int32))
             yield pa.RecordBatch.from_arrays([langs, pa.array(size, pa.int32()), phrase, counts], schema=_PHRASE)
 
     return run
@@ -259,8 +274,16 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """
     plain = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("__lang"),
                         F.col(f"`{text_col}`").cast("string").alias("__text"))
-    parsed = plain.mapInArrow(_parse(one_in, longest), "lang string, chunk binary, last boolean")
-    return parsed.groupBy("lang", "chunk", "last").agg(F.count("*").alias("n"))
+    parsed = plain.mapInArrow(_parse(one_in, longest), "lang string, chunk binary, last boolean, n long")
+    return _summed(parsed, ["lang", "chunk", "last"])
+
+
+def _summed(counted: DataFrame, by: list[str]) -> DataFrame:
+    """The sums of n, dealt before they are added: most keys come once in a task, so sums in its memory would only fill it.
+
+    Tasks add up what they read a slice at a time, so a key has at most one row per slice, however frequent it is.
+    """
+    return counted.repartition(*by).groupBy(*by).agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(chunk_table: DataFrame, k: int, shorter: DataFrame | None = None) -> DataFrame:
@@ -271,7 +294,8 @@ def phrase_counts(chunk_table: DataFrame, k: int, shorter: DataFrame | None = No
     """
     marks = None if shorter is None or k == 1 else chunk_table.sparkSession.sparkContext.broadcast(_bitmap(shorter, k - 1))
     counted = chunk_table.mapInArrow(_count(k, marks), "lang string, words int, phrase binary, n long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    by = ["lang", "words", "phrase"]
+    return _summed(counted, by) if k > 1 else counted.groupBy(*by).agg(F.sum("n").alias("n"))  # words come again and again in a task
 
 
 def _bitmap(frequent: DataFrame, k: int) -> np.ndarray:
@@ -283,7 +307,7 @@ def _bitmap(frequent: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             langs = _lang_hashes(column_of(batch, "lang").to_pylist())
             split = [bytes(v).split(b" ") for v in binary_views(column_of(batch, "phrase"))]
-            words = [np.fromiter((xxhash.xxh64_intdigest(p[j]) for p in split), np.uint64, len(split)) ^ langs for j in range(k)]
+            words = [_word_hashes(pa.array([p[j] for p in split], pa.large_binary())) ^ langs for j in range(k)]
             bit = (_phrase_hash(*words) >> np.uint64(64 - bits)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bit)], names=["bit"])
 

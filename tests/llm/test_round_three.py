@@ -343,6 +343,30 @@ def test_marks_never_lose_a_frequent_phrase(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.select(*COLLOCATION).collect()) == slow_collocations(phrase_corpus(), top=40)
 
 
+def test_keys_are_dealt_before_they_are_added(spark):
+    """Sums in the memory of a task before the exchange would hold nearly every phrase of its chunks."""
+    chunks = phrases.dictionary(spark.createDataFrame(phrase_corpus(), SCHEMA))
+    read = spark.createDataFrame([], chunks.schema)
+    for df in (chunks, phrases.phrase_counts(read, 2), phrases.phrase_counts(read, 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange"):]
+
+
+def test_a_slice_gives_a_frequent_chunk_once(spark):
+    rows = [(k, "one same text of a few words", "en", "s", 0) for k in range(500)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1).select(F.col("lang").alias("__lang"), F.col("text").alias("__text"))
+    got = docs.mapInArrow(phrases._parse(10**9, 512), "lang string, chunk binary, last boolean, n long").collect()
+    assert [(r["lang"], bytes(r["chunk"]), r["last"], r["n"]) for r in got] == [("en", b"one same text of a few words", True, 500)]
+
+
+def test_words_and_pieces_by_hand():
+    w = phrases.Words.of([b"", b" A b,c \t d. .e", b"\x0b", b"f"])
+    spelled = w.vocabulary.take(w.ids).to_pylist()
+    assert spelled == [b"a", b"b", b"c", b"d", b"e", b"f"] and w.text.tolist() == [1, 1, 1, 1, 1, 3]
+    assert w.joined.tolist() == [True, False, True, False, False, False]
+    assert len(set(w.hashes.tolist())) == 6 and not len(phrases.Words.of([]).ids)
+
+
 def test_scores_beyond_64_bits(spark):
     a, left, right = 3 * 10**14, 7 * 10**14, 5 * 10**14
     got = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(
