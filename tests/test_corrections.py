@@ -190,6 +190,24 @@ def test_neighbours_in_cells_are_exact_and_few(spark):
 
 # ---------------------------------------------------------------- runs
 
+@pytest.mark.parametrize("name", ["E16_run_both", "E17_two_target_run"])
+def test_registered_runs_are_whole(spark, sf, monkeypatch, name):
+    """Full counts of trees and rounds, five folds and the whole search, for every run of the query."""
+    from tabloom.plans import registry, runs
+
+    registry.load_all()
+    seen = []
+
+    def stop(df, key, task=None, target=None, features=None, algorithms=None, trees=None, folds=5, draws=0):
+        seen.append((trees, folds, draws))
+        raise ValueError("seen")
+
+    monkeypatch.setattr(runs, "table_run", stop)
+    with pytest.raises((ValueError, AttributeError)):
+        registry.QUERIES[name](spark, sf)
+    assert seen and set(seen) == {(None, 5, None)}
+
+
 def test_small_table_run_tunes_and_combines(spark):
     from tabloom.plans import runs
 
